@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callframe.llm import copies, groups, overlap, repetition, stable_sample
+from callframe.llm import copies, groups, leakage, overlap, repetition, stable_sample
 from callframe.llm.sql import ORACLES  # noqa: F401
 from callframe.sources.tables import table
 
@@ -55,6 +55,24 @@ def p6_report(spark: SparkSession, d: str) -> DataFrame:
     return overlap.report(samples, splits, *overlap.class_pairs(samples, splits))
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    found = leakage.search(table(spark, d, "documents"), table(spark, d, "eval_items"))
+    return found.filter("run").select("doc_id", "item_id").distinct()
+
+
+def p7_report(spark: SparkSession, d: str) -> DataFrame:
+    """Leaked items with the documents that hold a run of them, by source."""
+    docs = table(spark, d, "documents")
+    found = leakage.search(docs, table(spark, d, "eval_items")).filter("run").select("doc_id", "item_id").distinct()
+    return found.join(docs.select("doc_id", "source"), "doc_id").groupBy("item_id", "source").agg(F.count("*").alias("documents"))
+
+
+def p7_paraphrases(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that hold most of an item's words in order."""
+    found = leakage.search(table(spark, d, "documents"), table(spark, d, "eval_items"), paraphrases=True)
+    return found.filter(F.col("lcs_share").isNotNull()).select("doc_id", "item_id", "run", F.round("lcs_share", 6).alias("lcs_share"))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return repetition.repetitive(table(spark, d, "documents"))
 
@@ -73,6 +91,9 @@ QUERIES = {
     "p5_growth": p5_growth,
     "p6_found": p6_found,
     "p6_report": p6_report,
+    "p7_found": p7_found,
+    "p7_report": p7_report,
+    "p7_paraphrases": p7_paraphrases,
     "p9_found": p9_found,
     "p9_scores": p9_scores,
 }

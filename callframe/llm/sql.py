@@ -44,6 +44,12 @@ c AS (SELECT a.w AS aw, b.w AS bw FROM (SELECT DISTINCT w FROM m WHERE t AND len
 SELECT DISTINCT least(x.sample_id, y.sample_id) AS left_id, greatest(x.sample_id, y.sample_id) AS right_id
 FROM c JOIN m x ON x.w = c.aw AND x.t JOIN m y ON y.w = c.bw AND y.e
 UNION SELECT sample_id, sample_id FROM m WHERE t AND e
+""",
+    "p7_found": f"""
+WITH d AS (SELECT doc_id, {_words('text')} AS w FROM documents), i AS (SELECT item_id, {_words('text')} AS w FROM eval_items),
+dr AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - 10), lambda i: array_to_string(w[i:i + 11], ' '))) AS r FROM d WHERE len(w) >= 12),
+ir AS (SELECT item_id, unnest(list_transform(range(1, len(w) - 10), lambda i: array_to_string(w[i:i + 11], ' '))) AS r FROM i WHERE len(w) >= 12)
+SELECT DISTINCT doc_id, item_id FROM dr JOIN ir USING (r)
 """,
     "p9_found": f"""
 WITH d AS (SELECT doc_id, {_words('text')} AS w FROM documents),
