@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callframe.llm import copies, groups, leakage, overlap, repetition, stable_sample
+from callframe.llm import copies, groups, leakage, mixing, overlap, repetition, stable_sample
 from callframe.llm.sql import ORACLES  # noqa: F401
 from callframe.sources.tables import table
 
@@ -73,6 +73,15 @@ def p7_paraphrases(spark: SparkSession, d: str) -> DataFrame:
     return found.filter(F.col("lcs_share").isNotNull()).select("doc_id", "item_id", "run", F.round("lcs_share", 6).alias("lcs_share"))
 
 
+def p8_mix(spark: SparkSession, d: str) -> DataFrame:
+    """The whole mix: which tokens of which document stand in which slot."""
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
+
+
+def p8_report(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return repetition.repetitive(table(spark, d, "documents"))
 
@@ -94,6 +103,8 @@ QUERIES = {
     "p7_found": p7_found,
     "p7_report": p7_report,
     "p7_paraphrases": p7_paraphrases,
+    "p8_mix": p8_mix,
+    "p8_report": p8_report,
     "p9_found": p9_found,
     "p9_scores": p9_scores,
 }
