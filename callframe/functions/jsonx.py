@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from callframe.functions.batched import batched
+
 PARSED = T.StructType(
     [
         T.StructField("ok", T.BooleanType()),
@@ -96,19 +98,19 @@ def parse_frame(texts: pd.Series, constants: bool = True) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["ok", "kind", "canon", "error_type", "error"])
 
 
-@F.pandas_udf(PARSED)
+@batched(PARSED)
 def json_strict(texts: pd.Series) -> pd.DataFrame:
     """Parse of the data side: NaN and Infinity are accepted, NULL is a TypeError."""
     return parse_frame(texts)
 
 
-@F.pandas_udf(PARSED)
+@batched(PARSED)
 def json_strict_finite(texts: pd.Series) -> pd.DataFrame:
     """Parse of the prediction side: NaN and Infinity are refused."""
     return parse_frame(texts, constants=False)
 
 
-@F.pandas_udf(PARSED)
+@batched(PARSED)
 def py_literal(texts: pd.Series) -> pd.DataFrame:
     """Python literal to a JSON kind; what JSON has no kind for (sets, bytes, complex) is not ok, tuples are arrays."""
     rows = []
@@ -140,7 +142,7 @@ def object_nodes(value: Any) -> list[dict]:
     return out
 
 
-@F.pandas_udf(T.ArrayType(NODE))
+@batched(T.ArrayType(NODE))
 def json_nodes(texts: pd.Series) -> pd.Series:
     """Node list of an object (see object_nodes); text that does not parse has none."""
     out = []

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from callframe.plans import training
+from callframe.plans import evaluation, training
 
-QUERIES = {**training.QUERIES}
-ORACLES = {**training.ORACLES}
+QUERIES = {**training.QUERIES, **evaluation.QUERIES}
+ORACLES = {**training.ORACLES, **evaluation.ORACLES}
