@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from callframe.plans import evaluation, training
+from callframe.plans import data, evaluation, training
 
-QUERIES = {**training.QUERIES, **evaluation.QUERIES}
-ORACLES = {**training.ORACLES, **evaluation.ORACLES}
+QUERIES = {**training.QUERIES, **evaluation.QUERIES, **data.QUERIES}
+ORACLES = {**training.ORACLES, **evaluation.ORACLES, **data.ORACLES}
