@@ -40,3 +40,13 @@ def _remove(spark: SparkSession, path: str) -> None:
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
     except Exception:  # the session may be gone already
         pass
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df in at least as many partitions as there are cores, for work that Python does row by row.
+
+    Only inputs of fewer splits than cores are moved (a file of one row group cannot be
+    split), so what is shuffled is bounded by cores times the split size.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
