@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from callframe.functions.jsonx import loads, same_number
 from callframe.functions.skew import lookup_join
-from callframe.functions.staging import stage
+from callframe.functions.staging import spread, stage
 from callframe.functions.text import user_text, words
 
 
@@ -65,13 +65,14 @@ def fingerprints(samples: DataFrame) -> DataFrame:
             )
 
     calls = F.col("assistant.tool_calls")
-    return samples.filter(F.col("sample_id").isNotNull()).select(
+    rows = samples.filter(F.col("sample_id").isNotNull()).select(
         "sample_id",
         F.col("line_number").cast("bigint").alias("line_number"),
         user_text("messages").alias("text"),
         F.transform(calls, lambda c: c["function"]["name"]).alias("names"),
         F.transform(calls, lambda c: c["function"]["arguments"]).alias("args"),
-    ).mapInArrow(run, "sample_id string, line_number bigint, key binary, check bigint")
+    )
+    return spread(rows).mapInArrow(run, "sample_id string, line_number bigint, key binary, check bigint")
 
 
 def one_per_sample(prints: DataFrame) -> DataFrame:

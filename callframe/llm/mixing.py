@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from callframe.functions.staging import stage
+from callframe.functions.staging import spread, stage
 
 #: Vocabulary file (ranks) of a public tokenizer; a parameter, never part of the repository.
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -50,7 +50,7 @@ def token_counts(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64())], names=["doc_id", "source", "tokens"])
 
     rows = documents.filter(F.col("source").isNotNull()).select(F.col("doc_id").cast("bigint"), "source", "text")
-    return rows.mapInArrow(run, "doc_id bigint, source string, tokens bigint").filter("tokens > 0")
+    return spread(rows).mapInArrow(run, "doc_id bigint, source string, tokens bigint").filter("tokens > 0")
 
 
 def offsets(counted: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from callframe.functions.skew import lookup_join
-from callframe.functions.staging import stage
+from callframe.functions.staging import spread, stage
 from callframe.functions.text import user_text, words
 
 BANDS, ROWS = 32, 4
@@ -71,7 +71,7 @@ def word_sets(samples: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cls, pa.binary()), pa.array(sets, pa.string())], names=["sample_id", "line_number", "cls", "word_set"])
 
     rows = samples.filter(F.col("sample_id").isNotNull()).select("sample_id", F.col("line_number").cast("bigint"), user_text("messages").alias("text"))
-    return rows.mapInArrow(run, "sample_id string, line_number bigint, cls binary, word_set string")
+    return spread(rows).mapInArrow(run, "sample_id string, line_number bigint, cls binary, word_set string")
 
 
 def memberships(splits: DataFrame) -> DataFrame:

@@ -25,6 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from callframe.functions.staging import spread
 from callframe.functions.text import words
 
 RUN = 5
@@ -135,7 +136,7 @@ def scores(documents: DataFrame, share: float = SHARE) -> DataFrame:
                 names=["doc_id", "n_words", "ratio", "chunk_ratio", "raw_ratio", "band", "share"],
             )
 
-    return documents.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, SCORES)
+    return spread(documents.select(F.col("doc_id").cast("bigint"), "text")).mapInArrow(run, SCORES)
 
 
 def repetitive(documents: DataFrame, share: float = SHARE) -> DataFrame:
