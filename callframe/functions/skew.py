@@ -32,7 +32,9 @@ def lookup_join(big: DataFrame, small: DataFrame, key: str, how: str = "inner",
     hot = hot_keys(big, key)
     if not hot:
         return big.join(small, key, how)
-    salt = F.when(F.col(key).isin(hot), F.floor(F.rand(7) * salts)).otherwise(F.lit(0)).cast("int")
+    # The salt is a hash of the row, so a task that is run again after a loss gives the same rows.
+    hashed = [c for c, kind in big.dtypes if not kind.startswith("map<")]
+    salt = F.when(F.col(key).isin(hot), F.pmod(F.xxhash64(*hashed), F.lit(salts))).otherwise(F.lit(0)).cast("int")
     copies = F.when(F.col(key).isin(hot), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
     left = big.withColumn("_salt", salt)
     right = small.withColumn("_salt", F.explode(copies))

@@ -82,7 +82,7 @@ def benchmark_results(queue: DataFrame, predictions: DataFrame, partial: bool =
     if not partial and not queue.join(predictions, "id", "left_anti").isEmpty():
         raise ValueError("predictions are missing")
     p = predictions.select("id", F.col("raw_prediction").alias("result"), *[F.col(c).alias(n) for c, n in (("prompt_tokens", "input_token_count"), ("response_tokens", "output_token_count"), ("latency", "latency")) if c in predictions.columns])
-    return queue.select("ordinal", "id").join(p, "id").orderBy("ordinal")
+    return queue.select("id", "ordinal").join(p, "id").select("ordinal", *p.columns).orderBy("ordinal")
 
 
 def preference_pairs(rejected: DataFrame, training: DataFrame) -> DataFrame:

@@ -155,16 +155,31 @@ def evidence_rules(spark: SparkSession, d: str) -> DataFrame:
     text = (
         F.when(k == 0, F.concat(F.lit("take "), pct.cast("string"), F.lit("% off")))
         .when(k == 1, F.concat(F.lit("send "), n.cast("string"), F.lit(" dozen boxes")))
-        .when(k == 2, F.concat(F.lit("show page "), n.cast("string"), F.lit(" of the list")))
+        .when(k == 2, F.concat(F.lit("show page "), n.cast("string"), F.lit(" with 20 rows each")))
         .otherwise(F.concat(F.lit("ship it on "), F.date_format("l_shipdate", "MMMM d, yyyy"), F.lit(" please")))
     )
     value = F.when(k == 0, (pct / 100).cast("decimal(4,2)").cast("string")).when(k == 1, (n * 12).cast("string")).when(k == 2, ((n - 1) * 20).cast("string")).otherwise(F.date_format("l_shipdate", "yyyy-MM-dd"))
     kind = F.when(k == 0, "number").when(k == 3, "string").otherwise("integer")
-    rows = line.select(k.alias("k"), text.alias("query"), value.alias("value"), kind.alias("kind"))
-    hit = evidence.evidence(F.col("value"), F.col("kind"), F.col("query"), F.lit("20"))
+    schema = F.element_at(F.array(*map(F.lit, ("a fraction", "", "offset of the first row", "format yyyy-mm-dd"))), (k + 1).cast("int"))
+    rows = line.select(k.alias("k"), text.alias("query"), value.alias("value"), kind.alias("kind"), schema.alias("schema"))
+    hit = evidence.evidence(F.col("value"), F.col("kind"), F.col("query"), F.col("schema"), F.lit("offset"), F.lit("20"))
     return rows.withColumn("rule", F.coalesce(hit, F.lit("none"))).groupBy("k", "rule").agg(F.count("*").alias("n"))
 
 
+def grounded_diffs(spark: SparkSession, d: str) -> DataFrame:
+    """Which differences the request or the schema grounds, by type."""
+    found = diff.argument_diffs(diff.pair_calls(_altered(spark, d)), "line_number")
+    g = evidence.ground_diffs(found, table(spark, d, "canonical_samples"), "line_number")
+    return g.groupBy("type", "passed").agg(F.count("*").alias("diffs"), F.sum("ungrounded").alias("ungrounded"))
+
+
+def enriched_wrong_values(spark: SparkSession, d: str) -> DataFrame:
+    """Wrong values with the schema type at their path."""
+    found = diff.argument_diffs(diff.pair_calls(_altered(spark, d)), "line_number")
+    e = evidence.enrich(found, table(spark, d, "canonical_samples"), "line_number")
+    return e.groupBy("value_type", "schema_type", "enum_field", "schema_ambiguous").agg(F.count("*").alias("diffs"))
+
+
 def repr_equivalence(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "part")
     copy = F.when(F.col("p_partkey") % 3 == 0, F.upper(F.replace("p_name", F.lit(" "), F.lit("-")))).when(F.col("p_partkey") % 3 == 1, F.concat("p_name", F.lit("!"))).otherwise(F.concat("p_name", F.lit(" x")))
@@ -190,6 +205,8 @@ QUERIES = {
         wrong_value_types,
         literal_in_query,
         evidence_rules,
+        grounded_diffs,
+        enriched_wrong_values,
         repr_equivalence,
     )
 }
