@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from callframe.functions.jsonx import json_nodes
+
 
 def describe(rows: DataFrame, value: Column, *by: str) -> DataFrame:
     """count, min, mean (3 places), median, p90 by nearest rank, max; NULL values are left out, an empty input gives count 0 and NULLs."""
@@ -51,3 +53,46 @@ def repeated_later(rows: DataFrame, by: str, order: str) -> DataFrame:
     """Rows whose value occurred before, in input order; NULL values are never repeats."""
     n = F.row_number().over(Window.partitionBy(by).orderBy(order))
     return rows.filter(F.col(by).isNotNull()).withColumn("_n", n).filter("_n > 1").drop("_n")
+
+
+def value_kinds(rows: DataFrame, column: str) -> DataFrame:
+    """(path, kind, n): kinds of JSON values at each path reached through objects; text that does not parse is left out."""
+    return rows.select(F.explode(json_nodes(column)).alias("n")).groupBy("n.path", "n.kind").agg(F.count("*").alias("n"))
+
+
+def decision_cube(rows: DataFrame, decision: str, labels: tuple[str, ...], *by: str) -> DataFrame:
+    """Number of rows and of each decision for every combination of the columns in `by` (CUBE), zero filled."""
+    return rows.cube(*by).agg(F.count("*").alias("rows"), *[F.count_if(F.col(decision) == x).alias(x) for x in labels])
+
+
+def retention(rows: DataFrame, passed: Column, *by: str) -> DataFrame:
+    """(by..., before, after, dropped, rate) overall and per prefix of `by` (ROLLUP)."""
+    n = rows.rollup(*by).agg(F.count("*").alias("before"), F.count_if(F.coalesce(passed, F.lit(False))).alias("after"))
+    return n.withColumn("dropped", F.col("before") - F.col("after")).withColumn("rate", F.try_divide(F.col("after").cast("double"), F.col("before").cast("double")))
+
+
+def funnel(rows: DataFrame, **stages: Column) -> DataFrame:
+    """(stage, ord, n): rows that reach each stage, every stage on top of the ones before, in one pass."""
+    so_far, counts = F.lit(True), []
+    for name, c in stages.items():
+        so_far = so_far & F.coalesce(c, F.lit(False))
+        counts.append(F.count_if(so_far).alias(name))
+    agg = rows.agg(*counts)
+    pairs = F.array(*[F.struct(F.lit(k).alias("stage"), F.lit(i).alias("ord"), F.col(k).alias("n")) for i, k in enumerate(stages)])
+    return agg.select(F.explode(pairs).alias("s")).select("s.*")
+
+
+def compare_yields(first: DataFrame, second: DataFrame, hit: Column) -> DataFrame:
+    """One row: yields of two strategies and the uplift of the second over the first; NULL over nothing."""
+    side = lambda d, p: d.agg(F.count("*").alias(f"{p}_rows"), F.count_if(F.coalesce(hit, F.lit(False))).alias(f"{p}_hits"))
+    both = side(first, "first").crossJoin(side(second, "second"))  # one row each
+    rate = lambda p: F.try_divide(F.col(f"{p}_hits").cast("double"), F.col(f"{p}_rows").cast("double"))
+    return both.withColumn("first_yield", rate("first")).withColumn("second_yield", rate("second")).withColumn("uplift", F.try_divide(F.col("second_yield"), F.col("first_yield")))
+
+
+def threshold_band(value: Column, *bands: tuple[int, str]) -> Column:
+    """Name of the first band whose bound the value reaches; bands run from high to low, the last has no bound."""
+    out = F.lit(bands[-1][1])
+    for bound, name in reversed(bands[:-1]):
+        out = F.when(value >= bound, name).otherwise(out)
+    return out

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from callframe.functions.staging import shared_dir
 from callframe.functions.text import group_key, user_text
-from callframe.operators import align, calls, export, normalize, predict, profile, repair, sampling, split, validate
+from callframe.operators import align, calls, export, legacy, normalize, predict, profile, repair, sampling, split, validate
 from callframe.plans.evaluation import predictions
 from callframe.sources import files
 from callframe.sources.tables import table
@@ -370,6 +370,57 @@ def data_tags(spark: SparkSession, d: str) -> DataFrame:
     return p.select("line_number", count(predict.DATA_TAG).alias("bodies"), chars(predict.DATA_TAG).alias("data_chars"), chars(predict.TAG).alias("trimmed_chars"))
 
 
+def legacy_modes(spark: SparkSession, d: str) -> DataFrame:
+    """How the older profiler reads each body, and the state of its call."""
+    bodies = table(spark, d, "tool_call_parses").select("call_id", "sample_id", legacy.lenient_call("raw_content").alias("c"))
+    tools = _samples(spark, d).groupBy("sample_id").agg(F.first(calls.tool_names(F.col("tools"))).alias("tool_names"))
+    from callframe.functions.skew import lookup_join
+
+    known = lookup_join(bodies, tools, "sample_id", "left")
+    state = legacy.structure(F.col("c.value"), F.col("tool_names"))
+    return known.groupBy(F.col("c.mode").alias("mode"), state.alias("structure")).agg(F.count("*").alias("calls"))
+
+
+def value_kinds(spark: SparkSession, d: str) -> DataFrame:
+    """Kinds of the argument values at each path."""
+    args = _samples(spark, d).select(F.explode("assistant.tool_calls.function.arguments").alias("args"))
+    return profile.value_kinds(args, "args")
+
+
+def size_breakdown(spark: SparkSession, d: str) -> DataFrame:
+    """Short, middle and long documents for every combination of source and language."""
+    size = F.when(F.col("n_chars") < 300, "short").when(F.col("n_chars") < 1500, "middle").otherwise("long")
+    rows = table(spark, d, "documents").select("source", "lang", size.alias("size"))
+    return profile.decision_cube(rows, "size", ("short", "middle", "long"), "source", "lang")
+
+
+def parse_retention(spark: SparkSession, d: str) -> DataFrame:
+    """Recorded parse outcomes kept per load batch."""
+    return profile.retention(table(spark, d, "tool_call_parses"), F.col("parse_success"), "batch_no")
+
+
+def document_funnel(spark: SparkSession, d: str) -> DataFrame:
+    return profile.funnel(
+        table(spark, d, "documents"),
+        all=F.lit(True),
+        has_text=F.length("text") > 0,
+        has_lang=F.col("lang").isNotNull(),
+        has_source=F.col("source").isNotNull(),
+        long_enough=F.length("text") >= 500,
+    )
+
+
+def yield_comparison(spark: SparkSession, d: str) -> DataFrame:
+    """English documents among those of even and of odd ids."""
+    docs = table(spark, d, "documents")
+    return profile.compare_yields(docs.filter("doc_id % 2 = 0"), docs.filter("doc_id % 2 = 1"), F.col("lang") == "en")
+
+
+def supplier_bands(spark: SparkSession, d: str) -> DataFrame:
+    n = table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.count("*").alias("n"))
+    return n.select("l_suppkey", profile.threshold_band(F.col("n"), (620, "high"), (580, "middle"), (0, "low")).alias("band"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -422,6 +473,13 @@ QUERIES = {
         error_sample,
         resumed_stream,
         json_arguments,
+        legacy_modes,
+        value_kinds,
+        size_breakdown,
+        parse_retention,
+        document_funnel,
+        yield_comparison,
+        supplier_bands,
     )
 }
 
@@ -543,6 +601,24 @@ p AS (SELECT sample_id, 'unlisted_call' AS category, len(list_filter(c, lambda x
 SELECT category, count(DISTINCT sample_id) AS samples, sum(n)::BIGINT AS occurrences FROM p WHERE n > 0 GROUP BY 1""",
         "error_sample": "SELECT call_id, error_type FROM tool_call_parses WHERE parse_success = false ORDER BY call_id LIMIT 200",
         "resumed_stream": "SELECT event_type, count(*) AS events, count(DISTINCT event_id) AS ids FROM events GROUP BY 1",
+        "value_kinds": """
+WITH a AS (SELECT unnest(assistant.tool_calls).function.arguments::JSON AS a FROM canonical_samples)
+SELECT CASE WHEN t.fullkey = '$' THEN '' ELSE substr(t.fullkey, 3) END AS path, CASE WHEN t.type IN ('UBIGINT', 'BIGINT', 'HUGEINT', 'UHUGEINT') THEN 'integer' WHEN t.type = 'DOUBLE' THEN 'number'
+  WHEN t.type = 'VARCHAR' THEN 'string' ELSE lower(t.type) END AS kind, count(*) AS n FROM a, json_tree(a.a) t WHERE NOT contains(t.fullkey, '[') GROUP BY ALL""",
+        "size_breakdown": """
+SELECT source, lang, count(*) AS rows, count(*) FILTER (n_chars < 300) AS short, count(*) FILTER (n_chars >= 300 AND n_chars < 1500) AS middle,
+  count(*) FILTER (n_chars >= 1500 OR n_chars IS NULL) AS long FROM documents GROUP BY CUBE (source, lang)""",
+        "parse_retention": """
+SELECT batch_no, count(*) AS before, count(*) FILTER (parse_success) AS after, count(*) - count(*) FILTER (parse_success) AS dropped, count(*) FILTER (parse_success) / count(*) AS rate
+FROM tool_call_parses GROUP BY ROLLUP (batch_no)""",
+        "document_funnel": """
+WITH d AS (SELECT coalesce(length(text) > 0, false) AS a, lang IS NOT NULL AS b, source IS NOT NULL AS c, coalesce(length(text) >= 500, false) AS e FROM documents)
+SELECT unnest(['all', 'has_text', 'has_lang', 'has_source', 'long_enough']) AS stage, unnest([0, 1, 2, 3, 4]) AS ord,
+  unnest([count(*), count(*) FILTER (a), count(*) FILTER (a AND b), count(*) FILTER (a AND b AND c), count(*) FILTER (a AND b AND c AND e)]) AS n FROM d""",
+        "yield_comparison": """
+SELECT f.r AS first_rows, f.h AS first_hits, s.r AS second_rows, s.h AS second_hits, f.h / f.r AS first_yield, s.h / s.r AS second_yield, (s.h / s.r) / (f.h / f.r) AS uplift
+FROM (SELECT count(*) AS r, count(*) FILTER (lang = 'en') AS h FROM documents WHERE doc_id % 2 = 0) f, (SELECT count(*) AS r, count(*) FILTER (lang = 'en') AS h FROM documents WHERE doc_id % 2 = 1) s""",
+        "supplier_bands": "SELECT l_suppkey, CASE WHEN count(*) >= 620 THEN 'high' WHEN count(*) >= 580 THEN 'middle' ELSE 'low' END AS band FROM lineitem GROUP BY 1",
         "json_arguments": """
 SELECT json_valid(props) AS ok, lower(json_type(props)) AS kind, len(json_keys(props))::INTEGER AS members, count(*) AS events FROM events GROUP BY ALL""",
     }
