@@ -73,7 +73,7 @@ def plan(counted: DataFrame, targets: DataFrame) -> list[dict]:
     of targets given several times the first by share counts.
     """
     have = counted.groupBy("source").agg(F.sum("tokens").alias("available"))
-    rows = targets.filter(F.col("source").isNotNull()).join(have, "source", "left").select("source", "target_share", "max_repeats", F.coalesce("available", F.lit(0)).alias("available"))
+    rows = targets.filter(F.col("source").isNotNull()).select("source", "target_share", "max_repeats").join(have, "source", "left").select("source", "target_share", "max_repeats", F.coalesce("available", F.lit(0)).alias("available"))
     rows = rows.limit(SOURCES + 1).collect()
     if len(rows) > SOURCES:
         raise ValueError(f"more than {SOURCES} sources")

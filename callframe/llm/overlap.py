@@ -107,7 +107,7 @@ def _bands(classes: DataFrame) -> DataFrame:
                         names=["key", "cls", "n", "in_train", "in_eval", "s0", "s1"],
                     )
 
-    return classes.select("cls", "word_set", "in_train", "in_eval").mapInArrow(run, "key bigint, cls binary, n int, in_train boolean, in_eval boolean, s0 bigint, s1 bigint")
+    return spread(classes.select("cls", "word_set", "in_train", "in_eval")).mapInArrow(run, "key bigint, cls binary, n int, in_train boolean, in_eval boolean, s0 bigint, s1 bigint")
 
 
 def _sized(a: Column, b: Column) -> Column:

@@ -55,6 +55,7 @@ def test_even_prefixes(spark):
 def test_edges(spark):
     t = spark.createDataFrame([("a", 1.0, 1), (None, 0.1, 1), ("b", None, 2), ("c", 0.5, 0), ("a", 0.2, 9)], TARGETS)
     d = spark.createDataFrame([(1, None, "a"), (2, "", "a"), (3, "x " * 5000, "a"), (4, "y", None), (None, "z z z", "a")], DOCS)
+    d, t = d.selectExpr("*", "1 AS tokens", "2 AS h"), t.selectExpr("*", "3 AS available", "4 AS rank")
     pieces, report = mixing.mix(d, t, block=64)
     assert {p.doc_id for p in pieces.collect()} <= {3, None} and pieces.count() > 50
     assert {r.source: r.used_tokens > 0 for r in report.collect()} == {"a": True, "b": False, "c": False}
