@@ -11,7 +11,8 @@
 4. Candidates are the passages whose cosine with some item passage in that space is at
    least COSINE.
 5. Candidates are checked: runs of RUN equal words (all items of the block are compared), and
-   for paraphrases the longest common subsequence with the most similar item.
+   for paraphrases the longest common subsequence with every item that has a passage of
+   cosine COSINE or more with the candidate.
 
 Items are a stated query set. They are taken in blocks of ITEMS, so what a task holds is
 bounded; the space is common to all blocks.
@@ -179,11 +180,17 @@ def item_blocks(items: DataFrame) -> list[list[tuple[int, np.ndarray, np.ndarray
     return out
 
 
-def lcs(a: np.ndarray, b: np.ndarray) -> int:
-    """Length of the longest common subsequence, bit-parallel over the words of a."""
+def places(a: np.ndarray) -> dict[int, int]:
+    """Word -> bits of the positions where it stands in a."""
     at: dict[int, int] = {}
     for i, x in enumerate(a.tolist()):
         at[x] = at.get(x, 0) | 1 << i
+    return at
+
+
+def lcs(a: np.ndarray, b: np.ndarray, at: dict[int, int] | None = None) -> int:
+    """Length of the longest common subsequence, bit-parallel over the words of a, whose places may be given."""
+    at = places(a) if at is None else at
     full = (1 << len(a)) - 1
     v = full
     for x in b.tolist():
@@ -224,15 +231,32 @@ class Items:
                     runs.setdefault(r, {}).setdefault(c[i : i + RUN].tobytes(), set()).add(item)
         self.runs = runs
         self.sorted_runs = np.array(sorted(runs), np.uint64)
+        self.places: dict[int, dict[int, int]] = {}
+
+    def lcs(self, k: int, near: np.ndarray) -> int:
+        text = self.items[k][1]
+        if k not in self.places:
+            self.places[k] = places(text)
+        return lcs(text, near, self.places[k])
+
+    def pairs(self, cosine: np.ndarray) -> Iterator[tuple[int, int, float]]:
+        """(passage, index of the item, cosine) of all pairs with a cosine of COSINE or more, each once."""
+        row, column = np.nonzero(cosine >= COSINE)
+        key, of = np.unique(row * len(self.items) + self.owner[column], return_inverse=True)
+        most = np.full(len(key), -1.0)
+        np.maximum.at(most, of, cosine[row, column])
+        yield from zip((key // len(self.items)).tolist(), (key % len(self.items)).tolist(), most.tolist())
 
 
 def search(documents: DataFrame, items: DataFrame, paraphrases: bool = False) -> DataFrame:
     """(doc_id, item_id, run, cosine, lcs_share): what the candidates of the latent search hold.
 
     run: document and item have RUN consecutive words in common. With paraphrases=True also
-    pairs whose longest common subsequence has LCS_SHARE of the item's words (and, where items
-    have an `answer`, the words of the answer). Empty items and documents match nothing; a pair
-    comes once.
+    pairs with a passage of cosine COSINE or more around which the longest common subsequence
+    has LCS_SHARE of the item's words (and, where items have an `answer`, the words of the
+    answer); all items are checked, not only the most similar one. Paraphrases whose passages
+    all stay below COSINE are not found. Empty items and documents match nothing; a pair comes
+    once.
     """
     spark: SparkSession = documents.sparkSession
     table = stage(coded(documents), "codes")
@@ -315,12 +339,12 @@ def _matches(ids: list, docs: list[np.ndarray], items: Items, idf: np.ndarray, b
                 for item in items.runs[int(runs[r, i])].get(grid[r, i : i + RUN].tobytes(), ()):
                     old = found.get((key, item))
                     found[(key, item)] = (True, max(float(top[k]), old[1] if old else -1.0), old[2] if old else None)
-            for k in near_items.tolist() if paraphrases else ():
+            for k, j, near_by in items.pairs(cosine) if paraphrases else ():
                 doc, start, key = part[p.owner[k]], int(p.start[k]), at + int(p.owner[k])
-                item, text, answer = items.items[items.owner[best[k]]]
+                item, text, answer = items.items[j]
                 near = doc[max(0, start - len(text)) : start + WINDOW + len(text)]
-                share = lcs(text, near) / len(text)
+                share = items.lcs(j, near) / len(text)
                 if share >= LCS_SHARE and (answer is None or np.isin(answer, near).all()):
                     old = found.get((key, item), (False, -1.0, None))
-                    found[(key, item)] = (old[0], max(old[1], float(top[k])), max(old[2] or 0.0, share))
+                    found[(key, item)] = (old[0], max(old[1], near_by), max(old[2] or 0.0, share))
     return [(ids[key], item, *v) for (key, item), v in found.items()]

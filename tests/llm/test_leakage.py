@@ -64,6 +64,17 @@ def test_paraphrase_by_subsequence(spark):
     assert [(r.doc_id, r.run, round(r.lcs_share, 2)) for r in got] == [(1, False, 0.8)]
 
 
+@pytest.mark.parametrize("block", [5_000, 1])
+def test_paraphrases_of_every_item(spark, monkeypatch, block):
+    monkeypatch.setattr(leakage, "ITEMS", block)
+    line = [f"q{i}" for i in range(30)]
+    sibling = line[:24] + [f"y{i}" for i in range(6)]
+    other = [w if i % 5 else f"x{i}" for i, w in enumerate(line)]
+    docs = [(1, " ".join(other)), (2, " ".join(sibling)), (3, " ".join(f"n{i}" for i in range(30)))]
+    got = search(spark, docs, [(1, " ".join(line)), (2, " ".join(sibling))], paraphrases=True).filter("lcs_share IS NOT NULL").collect()
+    assert sorted((r.doc_id, r.item_id, r.run, round(r.lcs_share, 2)) for r in got) == [(1, 1, False, 0.8), (1, 2, False, 0.63), (2, 1, True, 0.8), (2, 2, True, 1.0)]
+
+
 def test_answers_are_required(spark):
     words_ = " ".join(f"q{i}" for i in range(30))
     docs = spark.createDataFrame([(1, words_.replace("q7", "zz"))], DOCS)
