@@ -9,7 +9,8 @@
    pass over the corpus; partial sums meet in two levels, and their size does not depend on
    the corpus.
 4. Candidates are the passages whose cosine with some item passage in that space is at
-   least COSINE.
+   least COSINE, and those below it that hold the code of a run of some item: a short run
+   among other words can have any cosine.
 5. Candidates are checked: runs of RUN equal words (all items of the block are compared), and
    for paraphrases the longest common subsequence with every item that has a passage of
    cosine COSINE or more with the candidate.
@@ -33,8 +34,8 @@ from callframe.functions.text import words
 
 RUN = 12
 WINDOW, STEP = 24, 13  # STEP <= WINDOW - RUN + 1
-FEATURES, RANK = 1 << 15, 64
-COSINE = 0.45
+FEATURES, RANK = 1 << 15, 96
+COSINE = 0.40
 #: Items whose runs and passages a task holds at once.
 ITEMS = 5_000
 #: Passages in one matrix product.
@@ -233,6 +234,12 @@ class Items:
         self.sorted_runs = np.array(sorted(runs), np.uint64)
         self.places: dict[int, dict[int, int]] = {}
 
+    def has_run(self, runs: np.ndarray) -> np.ndarray:
+        if not len(self.sorted_runs):
+            return np.zeros(runs.shape, bool)
+        place = np.searchsorted(self.sorted_runs, runs)
+        return self.sorted_runs[np.minimum(place, len(self.sorted_runs) - 1)] == runs
+
     def lcs(self, k: int, near: np.ndarray) -> int:
         text = self.items[k][1]
         if k not in self.places:
@@ -251,7 +258,8 @@ class Items:
 def search(documents: DataFrame, items: DataFrame, paraphrases: bool = False) -> DataFrame:
     """(doc_id, item_id, run, cosine, lcs_share): what the candidates of the latent search hold.
 
-    run: document and item have RUN consecutive words in common. With paraphrases=True also
+    run: document and item have RUN consecutive words in common; no such pair is missed,
+    whatever its cosine. With paraphrases=True also
     pairs with a passage of cosine COSINE or more around which the longest common subsequence
     has LCS_SHARE of the item's words (and, where items have an `answer`, the words of the
     answer); all items are checked, not only the most similar one. Paraphrases whose passages
@@ -326,17 +334,15 @@ def _matches(ids: list, docs: list[np.ndarray], items: Items, idf: np.ndarray, b
             cosine = (d @ items.latent) / np.maximum(np.linalg.norm(d, axis=1, keepdims=True), 1e-9)
             best = cosine.argmax(axis=1)
             top = cosine[np.arange(p.n), best]
-            near_items = np.flatnonzero(top >= COSINE)
-            # Words of the candidates in rows; a short last passage is filled up with 0, whose runs are not looked at.
-            place = np.minimum(p.ptr[near_items, None] + np.arange(WINDOW), len(p.words) - 1)
-            inside = np.arange(WINDOW) < p.length[near_items, None]
+            # Words of all passages in rows, whatever their cosine; a short last passage is filled up with 0, whose runs are not looked at.
+            place = np.minimum(p.ptr[:, None] + np.arange(WINDOW), len(p.words) - 1)
+            inside = np.arange(WINDOW) < p.length[:, None]
             grid = np.where(inside, p.words[place], np.uint64(0))
             runs = _runs(grid)
-            hit = np.isin(runs, items.sorted_runs) & inside[:, RUN - 1 :]
-            for r, i in zip(*(x.tolist() for x in np.nonzero(hit))):
-                k = int(near_items[r])
+            hit = items.has_run(runs) & inside[:, RUN - 1 :]
+            for k, i in zip(*(x.tolist() for x in np.nonzero(hit))):
                 key = at + int(p.owner[k])
-                for item in items.runs[int(runs[r, i])].get(grid[r, i : i + RUN].tobytes(), ()):
+                for item in items.runs[int(runs[k, i])].get(grid[k, i : i + RUN].tobytes(), ()):
                     old = found.get((key, item))
                     found[(key, item)] = (True, max(float(top[k]), old[1] if old else -1.0), old[2] if old else None)
             for k, j, near_by in items.pairs(cosine) if paraphrases else ():

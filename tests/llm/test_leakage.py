@@ -47,6 +47,19 @@ def test_recall_is_whole(spark, monkeypatch, block, chunk):
     assert len(got) == len(set(got)) and set(got) == brute(docs, items)
 
 
+def test_runs_below_the_cosine(monkeypatch):
+    monkeypatch.setattr(leakage, "COSINE", 1.1)  # no passage reaches it
+    docs, items = corpus()
+    known: dict[str, int] = {}
+    block = [(k, leakage.codes(t, known), None) for k, t in items]
+    rows = [(k, c) for k, t in docs for c in [leakage.codes(t, known)] if len(c) >= leakage.RUN]
+    idf = np.ones(leakage.FEATURES)
+    basis = np.linalg.qr(np.random.default_rng(3).standard_normal((leakage.FEATURES, 8)))[0].astype(np.float32)
+    got = leakage._matches([k for k, _ in rows], [c for _, c in rows], leakage.Items(block, idf, basis), idf, basis, True)
+    assert {(d, k) for d, k, *_ in got} == brute(docs, items)
+    assert all(run and share is None for *_, run, _, share in got)
+
+
 def test_edges(spark):
     text = " ".join(f"w{i}" for i in range(40))
     docs = [(1, text), (2, None), (3, ""), (4, "w1 w2"), (5, " ".join(text.split()[:12])), (6, " ".join(text.split()[:11])), (7, text + " " + " ".join(f"z{i}" for i in range(60_000)))]
