@@ -3,8 +3,10 @@
 Every subtree gets a Merkle identity: a 128-bit hash of its kind and, for objects, of the
 key-sorted (key, identity of the member) pairs, for arrays of the identities in order. Equal
 subtrees thus have equal identities wherever they stand, and are stored once
-(`distinct_nodes`); every occurrence is kept by a bridge row (`bridge`) with the identities
-of the node and of its parent, the ordinal below the parent and the path.
+(`distinct_nodes`); every occurrence is kept by a bridge row (`bridge` with whole=True) with
+the identities of the node and of its parent, the ordinal below the parent and the path, so
+each text can be rebuilt from the store. The flat child tables (`flat_paths`) read only the
+rows of schema properties and of argument members, which is what `bridge` gives by default.
 
 The bridge is narrow: a task parses a text, or finds it in its bounded memo of texts that
 it has parsed already (tool schemas repeat thousands of times), and writes the rows of each
@@ -25,8 +27,8 @@ from pyspark.sql import functions as F
 from callframe.functions.jsonx import canon, kind_of, loads
 from callframe.functions.staging import spread
 
-#: Texts whose rows a task remembers, and the longest that is worth remembering.
-MEMO_TEXTS, MEMO_CHARS = 4_000, 20_000
+#: Texts whose rows a task remembers, the longest that is worth remembering, and their rows in all.
+MEMO_TEXTS, MEMO_CHARS, MEMO_NODES = 4_000, 20_000, 200_000
 BRIDGE = "child string, record_id bigint, parent_index int, node_path string, kind string, ordinal int, node binary, parent binary, body string"
 _ROWS = 20_000
 
@@ -111,40 +113,63 @@ def schema_nodes(value: Any) -> list[Node]:
     return out
 
 
+def all_nodes(value: Any) -> list[Node]:
+    """Bridge rows of every subtree, the root (empty path, no parent) included, with paths `a.b` and `a[0].b`.
+
+    Members whose paths read the same are rows of their own.
+    """
+    ids = identities(value)
+    out: list[Node] = []
+    todo: list[tuple[Any, str, int, bytes | None]] = [(value, "", 0, None)]
+    while todo:
+        v, at, i, parent = todo.pop()
+        n, kind, body = ids[id(v)]
+        out.append((at, kind, i, n, parent, body))
+        if isinstance(v, dict):
+            todo.extend((x, f"{at}.{k}" if at else k, i, n) for i, (k, x) in enumerate(v.items()))
+        elif isinstance(v, list):
+            todo.extend((x, f"{at}[{i}]", i, n) for i, x in enumerate(v))
+    return out
+
+
 _WALK = {"param": schema_nodes, "argument": argument_nodes}
 
 
-def _nodes(child: str, text: str | None) -> list[Node]:
+def _nodes(child: str, text: str | None, whole: bool) -> list[Node]:
     ok, value, _, _ = loads(text) if text is not None else (False, None, None, None)
     if not ok:
         return []
     try:
-        return _WALK[child](value)
+        return all_nodes(value) if whole else _WALK[child](value)
     except RecursionError:  # nesting near the parser's limit
         return []
 
 
-def bridge(occurrences: DataFrame, bodies: bool = True) -> DataFrame:
+def bridge(occurrences: DataFrame, bodies: bool = True, whole: bool = False) -> DataFrame:
     """Bridge rows of (child, record_id, parent_index, text) occurrences.
 
-    child is `param` or `argument`. NULL texts and texts that are no JSON give no rows.
-    Texts of any length are parsed whole. bodies=False leaves the bodies NULL.
+    whole=True gives a row for every subtree, roots included, and takes any child. Else child
+    is `param` (properties only) or `argument` (members only). NULL texts and texts that are no
+    JSON give no rows. Texts of any length are parsed whole. bodies=False leaves the bodies NULL.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict[tuple[str, str], list[Node]] = {}
         rows: list[tuple] = []
+        held = 0
         for batch in batches:
             for child, record, index, text in zip(*(c.to_pylist() for c in batch.columns)):
                 if text is None:
                     continue
                 nodes = memo.get((child, text))
                 if nodes is None:
-                    nodes = _nodes(child, text)
+                    nodes = _nodes(child, text, whole)
                     if len(text) <= MEMO_CHARS:
-                        if len(memo) >= MEMO_TEXTS:
+                        if len(memo) >= MEMO_TEXTS or held >= MEMO_NODES:
                             memo.clear()
+                            held = 0
                         memo[(child, text)] = nodes
+                        held += len(nodes)
                 for path, kind, ordinal, node, parent, body in nodes:
                     rows.append((child, record, index, path, kind, ordinal, node, parent, body if bodies else None))
                     if len(rows) >= _ROWS:

@@ -26,7 +26,7 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 def p2_nodes(spark: SparkSession, d: str) -> DataFrame:
     """The store of distinct subtrees: identity, kind and number of occurrences."""
     samples = table(spark, d, "canonical_samples")
-    store = shred.distinct_nodes(shred.bridge(shred.occurrences(samples)))
+    store = shred.distinct_nodes(shred.bridge(shred.occurrences(samples), whole=True))
     return store.select(F.lower(F.hex("node")).alias("node"), "kind", "body", "occurrences")
 
 

@@ -4,6 +4,7 @@ from hypothesis import given, settings
 
 from callframe.functions.jsonx import leaves
 from callframe.operators import shred
+from callframe.plans import training
 from tests.test_jsonx import VALUES
 
 
@@ -54,6 +55,32 @@ def test_round_trip(value):
     assert rebuild(store, ids[id(value)][0].hex()) == value
 
 
+@settings(max_examples=100, deadline=None)
+@given(VALUES)
+def test_all_nodes_hold_every_subtree(value):
+    rows = shred.all_nodes(value)
+    assert {n[3] for n in rows} == {n for n, _, _ in shred.identities(value).values()}
+    assert [n[0] for n in rows if n[4] is None] == [""] and {n[4] for n in rows[1:]} <= {n[3] for n in rows}
+
+
+def test_store_rebuilds_every_text(spark, samples, row):
+    schema = '{"type":"object","description":"d","properties":{"q":{"type":"string","enum":["x",null]},"r":{"type":"array","items":{"properties":{"s":{"type":"integer"}}}}},"required":["q"]}'
+    texts = {("param", 0): schema, ("param", 1): "{}", ("param", 2): '"odd"', ("argument", 0): '{"a":{"b":1},"a.b":2.0}', ("argument", 1): "[]", ("argument", 2): "7"}
+    of = lambda child: [("f", t) for (c, _), t in texts.items() if c == child]
+    bridged = shred.bridge(shred.occurrences(samples(row(1, "s1", tools=of("param"), calls=of("argument")))), whole=True)
+    store = {r.node.hex(): (r.kind, r.body) for r in shred.distinct_nodes(bridged).collect()}
+    rows = bridged.collect()
+    roots = {(r.child, r.parent_index): rebuild(store, r.node.hex()) for r in rows if r.parent is None}
+    assert roots == {k: json.loads(t) for k, t in texts.items()}
+    assert all(r.parent is None or r.parent.hex() in store for r in rows)
+
+
+def test_store_query_is_whole(spark, data):
+    nodes = {r.node: (r.kind, r.body) for r in training.p2_nodes(spark, data).collect()}
+    named = {h for kind, body in nodes.values() if kind in ("object", "array") for x in [json.loads(body)] for h in (x.values() if kind == "object" else x)}
+    assert named and named <= nodes.keys()
+
+
 def test_occurrences_and_store(spark, samples, row):
     args = '{"a":{"x":1},"b":[{"x":1},null]}'
     df = samples(
