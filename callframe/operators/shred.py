@@ -201,40 +201,24 @@ def occurrences(samples: DataFrame) -> DataFrame:
     return tools.unionByName(calls)
 
 
+def audit_occurrences(audits: DataFrame) -> DataFrame:
+    """The validation tree of every audit as one JSON text with the same columns as `occurrences`; NULL fields stay, as nulls."""
+    text = F.to_json("argument_schema_validation", {"ignoreNullFields": "false"})
+    return audits.select(F.lit("audit").alias("child"), F.col("audit_id").alias("record_id"), F.lit(0).alias("parent_index"), text.alias("text"))
+
+
 def audit_nodes(audits: DataFrame) -> DataFrame:
-    """Bridge rows of the audit details and of their schema errors, in the JVM.
+    """(child, record_id, parent_index, node_path) of the audit details and of their schema errors, in the JVM.
 
-    A detail's identity covers its schema errors, whose own identities are their hashes.
+    These are the flat tables; the identities of the trees come from `bridge` over `audit_occurrences`.
     Details without argument_path and errors without schema_path give no row; a schema_path
-    that a detail has several times gives one row, at its first position.
+    that a detail has several times gives one row.
     """
     v = "argument_schema_validation"
-    details = audits.select("audit_id", F.posexplode(f"{v}.issue_details").alias("parent_index", "d"))
-    identity = lambda c: F.unhex(F.md5(F.to_json(c)))
-    issue = details.filter(F.col("d.argument_path").isNotNull()).select(
-        F.lit("issue").alias("child"),
-        F.col("audit_id").alias("record_id"),
-        "parent_index",
-        F.col("d.argument_path").alias("node_path"),
-        F.lit("object").alias("kind"),
-        F.col("parent_index").alias("ordinal"),
-        identity(F.col("d")).alias("node"),
-        F.lit(None).cast("binary").alias("parent"),
-        F.to_json("d").alias("body"),
-    )
-    paths = F.transform("d.schema_errors", lambda e: e["schema_path"])
-    firsts = F.filter("d.schema_errors", lambda e, i: e["schema_path"].isNotNull() & (F.array_position(paths, e["schema_path"]) == i + 1))
-    error = details.select("audit_id", "parent_index", "d", F.posexplode(firsts).alias("ordinal", "e")).select(
-        F.lit("schema_error").alias("child"),
-        F.col("audit_id").alias("record_id"),
-        "parent_index",
-        F.col("e.schema_path").alias("node_path"),
-        F.lit("object").alias("kind"),
-        "ordinal",
-        identity(F.col("e")).alias("node"),
-        identity(F.col("d")).alias("parent"),
-        F.to_json("e").alias("body"),
-    )
+    details = audits.select(F.col("audit_id").alias("record_id"), F.posexplode(f"{v}.issue_details").alias("parent_index", "d"))
+    issue = details.filter(F.col("d.argument_path").isNotNull()).select(F.lit("issue").alias("child"), "record_id", "parent_index", F.col("d.argument_path").alias("node_path"))
+    paths = F.array_distinct(F.filter("d.schema_errors.schema_path", lambda p: p.isNotNull()))
+    error = details.select(F.lit("schema_error").alias("child"), "record_id", "parent_index", F.explode(paths).alias("node_path"))
     return issue.unionByName(error)
 
 
@@ -252,4 +236,4 @@ def flat_paths(samples: DataFrame, audits: DataFrame) -> DataFrame:
     keep = ["child", "record_id", "parent_index", "node_path"]
     trees = bridge(occurrences(samples), bodies=False)
     leaf = (F.col("child") == "param") | ~F.col("kind").isin("object", "array")
-    return trees.filter(leaf).select(keep).unionByName(audit_nodes(audits).select(keep))
+    return trees.filter(leaf).select(keep).unionByName(audit_nodes(audits))

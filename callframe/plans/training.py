@@ -24,9 +24,9 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_nodes(spark: SparkSession, d: str) -> DataFrame:
-    """The store of distinct subtrees: identity, kind and number of occurrences."""
-    samples = table(spark, d, "canonical_samples")
-    store = shred.distinct_nodes(shred.bridge(shred.occurrences(samples), whole=True))
+    """The store of distinct subtrees of parameters, arguments and audit validations: identity, kind and number of occurrences."""
+    texts = shred.occurrences(table(spark, d, "canonical_samples")).unionByName(shred.audit_occurrences(table(spark, d, "tool_call_audits")))
+    store = shred.distinct_nodes(shred.bridge(texts, whole=True))
     return store.select(F.lower(F.hex("node")).alias("node"), "kind", "body", "occurrences")
 
 

@@ -112,5 +112,23 @@ def test_audits(spark):
     assert got == [("issue", 1, 0, "$.a"), ("schema_error", 1, 1, "$.p"), ("schema_error", 1, 1, "$.q")]
 
 
+def test_audit_trees_are_in_the_store(spark):
+    kind = "audit_id bigint, argument_schema_validation struct<schema_checked boolean, issue_details array<struct<issue string, allowed_values array<string>, schema_errors array<struct<schema_path string, reason string>>>>>"
+    rows = [(1, (True, [("i", ['a"b', "c"], None), ("i", None, [("$.p", "r")] * 2), None])), (2, (None, None)), (3, None), (4, (False, []))]
+    bridged = shred.bridge(shred.audit_occurrences(spark.createDataFrame(rows, kind)), whole=True)
+    store = {r.node.hex(): (r.kind, r.body) for r in shred.distinct_nodes(bridged).collect()}
+    roots = {r.record_id: rebuild(store, r.node.hex()) for r in bridged.collect() if r.parent is None}
+    first = {"issue": "i", "allowed_values": ['a"b', "c"], "schema_errors": None}
+    second = {"issue": "i", "allowed_values": None, "schema_errors": [{"schema_path": "$.p", "reason": "r"}] * 2}
+    assert roots == {1: {"schema_checked": True, "issue_details": [first, second, None]}, 2: {"schema_checked": None, "issue_details": None}, 4: {"schema_checked": False, "issue_details": []}}
+
+
+def test_store_query_has_the_audits(spark, data):
+    audits = spark.read.parquet(f"{data}/tool_call_audits.parquet")
+    texts = {r.text for r in shred.audit_occurrences(audits).select("text").distinct().collect() if r.text}
+    want = {shred.all_nodes(json.loads(t))[0][3].hex() for t in texts}
+    assert want and want <= {r.node for r in training.p2_nodes(spark, data).collect()}
+
+
 def test_empty_table(samples):
     assert shred.bridge(shred.occurrences(samples())).count() == 0
