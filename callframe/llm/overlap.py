@@ -197,13 +197,16 @@ def expand(members: DataFrame, pairs: DataFrame) -> DataFrame:
 def report(samples: DataFrame, splits: DataFrame, members: DataFrame, pairs: DataFrame) -> DataFrame:
     """(split, source, leaked, links): samples of an evaluation split and source with a train partner, and their number of links.
 
-    Links are counted from class sizes, pairs of samples are not made. The source is that of
-    the sample's first delivery; NULL is a source of its own.
+    Links are counted from class sizes, pairs of samples are not made. A sample without words
+    that stands on both sides has one link, to itself. The source is that of the sample's first
+    delivery; NULL is a source of its own.
     """
     source = samples.filter(F.col("sample_id").isNotNull()).groupBy("sample_id").agg(F.min(F.struct(F.col("line_number"), "source")).alias("f")).select("sample_id", "f.source")
     evals = splits.filter((F.col("split") != "train") & F.col("sample_id").isNotNull()).select("sample_id", "split").distinct()
-    mine = evals.join(members.filter("in_eval AND NOT empty").select("sample_id", F.col("cls").alias("e_cls")), "sample_id").join(source, "sample_id")
+    mine = evals.join(members.filter("in_eval").select("sample_id", "empty", "in_train", F.col("cls").alias("e_cls")), "sample_id").join(source, "sample_id")
     trained = members.filter("in_train AND NOT empty").groupBy(F.col("cls").alias("t_cls")).agg(F.count("*").alias("n"))
     partners = pairs.join(trained, "t_cls").groupBy("e_cls").agg(F.sum("n").alias("n"))
-    sized = mine.groupBy("e_cls", "split", "source").agg(F.count("*").alias("members"))
-    return sized.join(partners, "e_cls").groupBy("split", "source").agg(F.sum("members").alias("leaked"), F.sum(F.col("members") * F.col("n")).alias("links"))
+    sized = mine.filter("NOT empty").groupBy("e_cls", "split", "source").agg(F.count("*").alias("members"))
+    linked = sized.join(partners, "e_cls").select("split", "source", "members", "n")
+    alone = mine.filter("empty AND in_train").groupBy("split", "source").agg(F.count("*").alias("members")).withColumn("n", F.lit(1).cast("bigint"))
+    return linked.unionByName(alone).groupBy("split", "source").agg(F.sum("members").alias("leaked"), F.sum(F.col("members") * F.col("n")).alias("links"))

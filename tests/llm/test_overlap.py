@@ -81,3 +81,12 @@ def test_report_counts_the_links(spark, samples, row):
             a, b = want.get(key, (0, 0))
             want[key] = (a + 1, b + n)
     assert {(r.split, r.source): (r.leaked, r.links) for r in overlap.report(df, sp, members, pairs).collect()} == want
+
+
+def test_report_counts_samples_without_words(spark, samples, row):
+    texts = {"a": "x y z v", "b": "x y z v", "c": "", "d": None, "e": "?!", "f": ""}
+    df = samples(*[row(i, k, text=t, source=None if k == "e" else "x") for i, (k, t) in enumerate(texts.items())])
+    on = {"a": ["train"], "b": ["dev_seen"], "c": ["train", "dev_seen", "test_seen"], "d": ["train", "dev_seen"], "e": ["train", "dev_seen"], "f": ["dev_seen"]}
+    sp = spark.createDataFrame([(k, s) for k, v in on.items() for s in v], "sample_id string, split string")
+    got = {(r.split, r.source): (r.leaked, r.links) for r in overlap.report(df, sp, *overlap.class_pairs(df, sp)).collect()}
+    assert got == {("dev_seen", "x"): (3, 3), ("test_seen", "x"): (1, 1), ("dev_seen", None): (1, 1)}
