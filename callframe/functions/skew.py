@@ -11,25 +11,27 @@ SALTS = 64
 
 
 def hot_keys(df: DataFrame, key: str, share: float = HOT_SHARE, least: int = 10_000) -> list:
-    """Keys with more than `share` of all rows and at least `least` of them.
+    """Keys with more than `share` of all rows and at least `least` of them, from one aggregation of the key column.
 
     At most 1/share values reach the driver, whatever the size of df.
     """
-    counts = df.groupBy(key).count().filter(F.col("count") >= least)
-    total = df.count()
-    if total < least:
-        return []
-    return [r[0] for r in counts.filter(F.col("count") > share * total).select(key).collect()]
+    counts = df.groupBy(key).count()
+    # The total goes beside the counts in one pass; only keys above `least` are kept with it.
+    total = counts.agg(F.sum("count").alias("_total"))
+    large = counts.filter((F.col("count") >= least) & F.col(key).isNotNull()).join(F.broadcast(total), F.col("count") > share * F.col("_total"))  # one row
+    return [r[0] for r in large.select(key).collect()]
 
 
-def lookup_join(big: DataFrame, small: DataFrame, key: str, how: str = "inner", salts: int = SALTS) -> DataFrame:
+def lookup_join(big: DataFrame, small: DataFrame, key: str, how: str = "inner", salts: int = SALTS, counted: DataFrame | None = None) -> DataFrame:
     """Equi-join big with small, which is unique on `key`, splitting the hot keys of big.
 
     Rows of big with a hot key get one of `salts` salts; the few matching rows of small
     (at most 1/HOT_SHARE) are repeated once per salt. All other keys have salt 0.
     NULL keys match nothing, as in any equi-join. Extra columns of both sides are kept.
+    `counted` names a cheaper frame with the same keys (a raw column, a staged table) to find
+    the hot ones in, so that what big computes is not computed for it.
     """
-    hot = hot_keys(big, key)
+    hot = hot_keys(big.select(key) if counted is None else counted.select(key), key)
     if not hot:
         return big.join(small, key, how)
     # The salt is a hash of the row, so a task that is run again after a loss gives the same rows.

@@ -3,34 +3,45 @@
 from __future__ import annotations
 
 import atexit
-import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_FALLBACK = "spark-checkpoints"
+_STAGED: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; only where it is unset, one under the working directory (tests)."""
+    """The folder that spark.checkpoint.dir names; it must be set, since only the cluster knows a folder that all machines share."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
-        named = "file://" + os.path.join(os.getcwd(), "spark-warehouse", _FALLBACK)
-        spark.conf.set("spark.checkpoint.dir", named)
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
     return named.rstrip("/")
 
 
-def stage(df: DataFrame, name: str = "stage") -> DataFrame:
+def stage(df: DataFrame, name: str = "stage", by: str | None = None) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back.
 
     The copy is held by the shared storage, not by executors, so losing one costs
-    only the tasks that ran on it. The table is removed when the driver ends.
+    only the tasks that ran on it. `by` keeps each value of a column in a folder of its own. The
+    table is removed by `release`, at the latest when the driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/callframe-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = df.write.option("compression", "zstd")
+    (out.partitionBy(by) if by else out).parquet(path)
+    if not _STAGED:
+        atexit.register(release, spark)
+    _STAGED[path] = spark.sparkContext.applicationId
+    kept = spark.read.schema(df.schema).parquet(path)
+    return kept.select(df.columns) if by else kept
+
+
+def release(spark: SparkSession) -> None:
+    """Remove the tables staged so far; call it between jobs of a long session, when their results have been written."""
+    paths = [*_STAGED]
+    _STAGED.clear()
+    for path in paths:
+        _remove(spark, path)
 
 
 def _remove(spark: SparkSession, path: str) -> None:
@@ -42,11 +53,18 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+def partitions(df: DataFrame) -> int:
+    """Splits that the scans below df have in all, from the plan alone: nothing is run, whatever stands above them."""
+    leaves = df._jdf.queryExecution().sparkPlan().collectLeaves()
+    return sum(leaves.apply(i).execute().getNumPartitions() for i in range(leaves.size()))
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df in at least as many partitions as there are cores, for work that Python does row by row.
 
     Only inputs of fewer splits than cores are moved (a file of one row group cannot be
-    split), so what is shuffled is bounded by cores times the split size.
+    split), so what is shuffled is bounded by cores times the split size. Meant for narrow
+    plans over files, whose splits are known without running anything.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if partitions(df) < cores else df

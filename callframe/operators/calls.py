@@ -34,9 +34,12 @@ def extract_calls(samples: DataFrame, conversations: str = "conversations", spea
     return out.select("sample_id", "c.message_index", "tool_call_index", "c.raw_content")
 
 
-def parse_calls(calls: DataFrame, key: str) -> DataFrame:
-    """calls with ok, kind, name, arguments, value, method and the issues of layers 1 and 2 (see split_calls)."""
-    return calls.join(split_calls(calls, key).withColumnRenamed("call_id", key), key)
+def parse_calls(calls: DataFrame, key: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Calls with ok, kind, name, arguments, value, method and the issues of layers 1 and 2 (see split_calls), and the columns `keep`.
+
+    One narrow pass; the calls are not joined to themselves.
+    """
+    return split_calls(calls, key, keep=keep).withColumnRenamed("call_id", key)
 
 
 def has_key(value: Column, key: str) -> Column:
@@ -221,10 +224,15 @@ def _tools_of(text: str | None) -> list:
 
 @batched(AUDITED)
 def audited_arguments(values: pd.Series, tools: pd.Series, recovered: pd.Series) -> pd.DataFrame:
-    rows = []
+    rows, known = [], {}
     for v, t, r in zip(values, tools, recovered):
         ok, value, _, _ = loads(v)
-        rows.append(audit_arguments(value if ok else None, _tools_of(t), _tools_of(r)))
+        for text in (t, r):
+            if text not in known:  # calls of one sample come with the same text
+                if len(known) > 2_000:
+                    known.clear()
+                known[text] = _tools_of(text)
+        rows.append(audit_arguments(value if ok else None, known[t] if t in known else _tools_of(t), known[r]))
     return pd.DataFrame(rows)
 
 
@@ -241,19 +249,25 @@ def tools_json(tools: Column) -> Column:
     return F.concat(F.lit("["), F.array_join(F.transform(tools, lambda t: F.regexp_replace(one(t), r'"name":\[(.*?)\],"parameters":', r'"name":$1,"parameters":')), ","), F.lit("]"))
 
 
+def sample_tools(samples: DataFrame, **columns: Column) -> DataFrame:
+    """(sample_id, columns...) of the first delivery of each sample: the row with the lowest line_number."""
+    order = F.coalesce("line_number", F.lit(1 << 62)) if "line_number" in samples.columns else F.lit(0)
+    rows = samples.filter(F.col("sample_id").isNotNull()).select("sample_id", order.alias("_n"), F.struct(*[c.alias(k) for k, c in columns.items()]).alias("_v"))
+    return rows.groupBy("sample_id").agg(F.min_by("_v", "_n").alias("_v")).select("sample_id", "_v.*")
+
+
 def audit_all(calls: DataFrame, samples: DataFrame, key: str = "call_id") -> DataFrame:
     """Layers 1 to 5 of every call: issues in layer order, each once, and the payloads of layers 3 and 5.
 
     calls (key, sample_id, raw_content); samples (sample_id, tools, and optionally
-    system_texts for recovery), of which the first by sample_id counts. A call whose sample
-    is unknown has no tools. One runaway sample_id may hold any share of the calls.
+    system_texts for recovery and line_number), of which the first delivery counts. A call whose
+    sample is unknown has no tools. One runaway sample_id may hold any share of the calls; the
+    hot ones are counted on the raw ids, so no body is parsed for it, and each is parsed once.
     """
-    parsed = split_calls(calls, key).withColumnRenamed("call_id", key)
-    with_id = calls.select(key, "sample_id").join(parsed, key)
+    parsed = parse_calls(calls, key, ("sample_id",))
     system = F.col("system_texts") if "system_texts" in samples.columns else F.array().cast("array<string>")
-    tools = samples.groupBy("sample_id").agg(F.first(tools_json(F.col("tools"))).alias("tools_json"), F.first(tool_names(F.col("tools"))).alias("tool_names"), F.first(system).alias("system_texts"))
-    known = audit_missing_tools(tools)
-    joined = audit_names(lookup_join(with_id, known, "sample_id", "left"))
+    known = audit_missing_tools(sample_tools(samples, tools_json=tools_json(F.col("tools")), tool_names=tool_names(F.col("tools")), system_texts=system))
+    joined = audit_names(lookup_join(parsed, known, "sample_id", "left", counted=calls))
     checked = joined.withColumn("arguments_audit", audited_arguments("value", "tools_json", F.col("recovery.tools")))
     lacking = F.array_contains("name_issues", "missing_tools")
     none = F.array().cast("array<string>")

@@ -2,15 +2,19 @@
 
 Every subtree gets a Merkle identity: a 128-bit hash of its kind and, for objects, of the
 key-sorted (key, identity of the member) pairs, for arrays of the identities in order. Equal
-subtrees thus have equal identities wherever they stand, and are stored once
-(`distinct_nodes`); every occurrence is kept by a bridge row (`bridge` with whole=True) with
-the identities of the node and of its parent, the ordinal below the parent and the path, so
-each text can be rebuilt from the store. The flat child tables (`flat_paths`) read only the
-rows of schema properties and of argument members, which is what `bridge` gives by default.
-
-The bridge is narrow: a task parses a text, or finds it in its bounded memo of texts that
-it has parsed already (tool schemas repeat thousands of times), and writes the rows of each
-occurrence. Only `distinct_nodes` shuffles, after map-side combining.
+subtrees thus have equal identities wherever they stand. One narrow pass over the texts
+(`shred`) writes three tables, which all results are joined from:
+
+* occurrences: (child, record_id, parent_index, tree), one row per text of a record; `tree`
+  is the identity of its root, marked with the kind of text it is;
+* trees: every distinct tree once, with its parent-child bridge (node, parent, ordinal, path,
+  kind of each place) and its flat paths;
+* nodes: every distinct subtree once (identity, kind, body); a container's body names its members
+  by identity, so each text can be rebuilt.
+
+A tree that thousands of records hold is parsed once per task and its paths are stored once;
+records get them back through their occurrence (`bridge`, `flat_paths`), with a salted join
+where one tree has a large share of all rows. Texts that are no JSON are rows of `rejects`.
 """
 
 from __future__ import annotations
@@ -18,19 +22,19 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Iterator
-from typing import Any
+from typing import Any, NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from callframe.functions.jsonx import canon, kind_of, loads
-from callframe.functions.staging import spread
+from callframe.functions.jsonx import canon, kind_of, leaves, loads
+from callframe.functions.skew import lookup_join
+from callframe.functions.staging import spread, stage
 
-#: Texts whose rows a task remembers, the longest that is worth remembering, and their rows in all.
+#: Texts whose tree a task remembers, the longest that is worth remembering, and trees and nodes that it knows to be written.
 MEMO_TEXTS, MEMO_CHARS, MEMO_NODES = 4_000, 20_000, 200_000
-BRIDGE = "child string, record_id bigint, parent_index int, node_path string, kind string, ordinal int, node binary, parent binary, body string"
-_ROWS = 20_000
+_ROWS = 5_000
 
 
 def _digest(kind: str, body: str) -> bytes:
@@ -58,41 +62,37 @@ def identities(value: Any) -> dict[int, tuple[bytes, str, str]]:
     return out
 
 
-Node = tuple[str, str, int, bytes, bytes | None, str]
+class Member(NamedTuple):
+    """A place of a tree: ordinal among the sorted keys of its object or the elements of its array, path such as `a.b` and `a[0].b`."""
 
+    node: bytes
+    parent: bytes | None
+    ordinal: int
+    path: str
+    kind: str
 
-def argument_nodes(value: Any) -> list[Node]:
-    """Bridge rows of an argument value: all subtrees but the root, with paths `a.b` and `a[0].b`.
 
-    A root that is a scalar is its own row with the empty path. Two members whose paths
-    read the same (a key with a dot) give one row, the first in document order.
-    """
-    ids = identities(value)
-    if not isinstance(value, (dict, list)):
-        n, kind, body = ids[id(value)]
-        return [("", kind, 0, n, None, body)]
-    out: list[Node] = []
-    seen: set[str] = set()
-    todo: list[tuple[Any, str]] = [(value, "")]
+def members(value: Any, ids: dict[int, tuple[bytes, str, str]]) -> list[Member]:
+    """Bridge of every subtree, the root (empty path, no parent) included. Places whose paths read the same are rows of their own."""
+    out: list[Member] = []
+    todo: list[tuple[Any, str, int, bytes | None]] = [(value, "", 0, None)]
     while todo:
-        v, at = todo.pop()
-        mine = ids[id(v)][0]
-        members = [(f"{at}.{k}" if at else k, x) for k, x in v.items()] if isinstance(v, dict) else [(f"{at}[{i}]", x) for i, x in enumerate(v)]
-        for i, (path, x) in enumerate(members):
-            n, kind, body = ids[id(x)]
-            if (path, kind in ("object", "array")) not in seen:
-                seen.add((path, kind in ("object", "array")))
-                out.append((path, kind, i, n, mine, body))
-            if isinstance(x, (dict, list)):
-                todo.append((x, path))
+        v, at, i, parent = todo.pop()
+        n, kind, _ = ids[id(v)]
+        out.append(Member(n, parent, i, at, kind))
+        if isinstance(v, dict):
+            todo.extend((v[k], f"{at}.{k}" if at else k, i, n) for i, k in enumerate(sorted(v)))
+        elif isinstance(v, list):
+            todo.extend((x, f"{at}[{i}]", i, n) for i, x in enumerate(v))
     return out
 
 
-def schema_nodes(value: Any) -> list[Node]:
-    """Bridge rows of a parameter schema: each property at any depth of `properties` and `items`."""
-    ids = identities(value)
-    out: list[Node] = []
-    seen: set[str] = set()
+Flat = tuple[str, int | None, str]
+
+
+def schema_paths(value: Any) -> list[Flat]:
+    """Each property at any depth of `properties` and `items` of a parameter schema (`a.b`, `a[].b`), once."""
+    out: dict[Flat, None] = {}
     todo: list[tuple[Any, str]] = [(value, "")]
     while todo:
         v, at = todo.pop()
@@ -100,93 +100,171 @@ def schema_nodes(value: Any) -> list[Node]:
             continue
         props = v.get("properties")
         if isinstance(props, dict):
-            for i, (k, x) in enumerate(props.items()):
+            for k, x in props.items():
                 path = f"{at}.{k}" if at else k
-                if path not in seen:
-                    seen.add(path)
-                    n, kind, body = ids[id(x)]
-                    out.append((path, kind, i, n, ids[id(v)][0], body))
+                out["param", None, path] = None
                 todo.append((x, path))
         items = v.get("items")
         for x in items if isinstance(items, list) else [items]:
             todo.append((x, f"{at}[]"))
-    return out
+    return [*out]
 
 
-def all_nodes(value: Any) -> list[Node]:
-    """Bridge rows of every subtree, the root (empty path, no parent) included, with paths `a.b` and `a[0].b`.
+def leaf_paths(value: Any) -> list[Flat]:
+    """Each scalar or null of a call's arguments (`a.b`, `a[0].b`; a scalar root has the empty path), once."""
+    return [*dict.fromkeys(("argument", None, path) for path, _ in leaves(value))]
 
-    Members whose paths read the same are rows of their own.
-    """
-    ids = identities(value)
-    out: list[Node] = []
-    todo: list[tuple[Any, str, int, bytes | None]] = [(value, "", 0, None)]
-    while todo:
-        v, at, i, parent = todo.pop()
-        n, kind, body = ids[id(v)]
-        out.append((at, kind, i, n, parent, body))
-        if isinstance(v, dict):
-            todo.extend((x, f"{at}.{k}" if at else k, i, n) for i, (k, x) in enumerate(v.items()))
-        elif isinstance(v, list):
-            todo.extend((x, f"{at}[{i}]", i, n) for i, x in enumerate(v))
-    return out
 
+def audit_paths(value: Any) -> list[Flat]:
+    """argument_path of each issue detail and each different schema_path of a detail's errors, with the index of the detail."""
+    out: dict[Flat, None] = {}
+    details = value.get("issue_details") if isinstance(value, dict) else None
+    for i, d in enumerate(details or []):
+        if d and d.get("argument_path") is not None:
+            out["issue", i, d["argument_path"]] = None
+        for e in (d.get("schema_errors") if d else None) or []:
+            if e and e.get("schema_path") is not None:
+                out["schema_error", i, e["schema_path"]] = None
+    return [*out]
 
-_WALK = {"param": schema_nodes, "argument": argument_nodes}
 
+_PATHS = {"param": schema_paths, "argument": leaf_paths, "audit": audit_paths}
 
-def _nodes(child: str, text: str | None, whole: bool) -> list[Node]:
-    ok, value, _, _ = loads(text) if text is not None else (False, None, None, None)
+
+class Tree(NamedTuple):
+    tree: bytes
+    ids: list[tuple[bytes, str, str]]
+    members: list[Member]
+    flat: list[Flat]
+
+
+def tree_of(child: str, text: str) -> Tree | str:
+    """The shredded tree of a text, or why it has none."""
+    ok, value, kind, message = loads(text)
     if not ok:
-        return []
-    try:
-        return all_nodes(value) if whole else _WALK[child](value)
-    except RecursionError:  # nesting near the parser's limit
-        return []
+        return f"{kind}: {message}"
+    ids = identities(value)
+    return Tree(child[:1].encode() + ids[id(value)][0], [*ids.values()], members(value, ids), _PATHS[child](value))
+
+
+_MEMBER = pa.struct([("node", pa.binary()), ("parent", pa.binary()), ("ordinal", pa.int32()), ("path", pa.string()), ("kind", pa.string())])
+_FLAT = pa.struct([("child", pa.string()), ("at", pa.int32()), ("path", pa.string())])
+_FIELDS = [
+    ("part", pa.string()),
+    ("child", pa.string()),
+    ("record_id", pa.int64()),
+    ("parent_index", pa.int32()),
+    ("tree", pa.binary()),
+    ("members", pa.list_(_MEMBER)),
+    ("flat", pa.list_(_FLAT)),
+    ("node", pa.binary()),
+    ("kind", pa.string()),
+    ("body", pa.string()),
+]
+_SCHEMA = (
+    "part string, child string, record_id bigint, parent_index int, tree binary, "
+    "members array<struct<node binary, parent binary, ordinal int, path string, kind string>>, "
+    "flat array<struct<child string, at int, path string>>, node binary, kind string, body string"
+)
+
+
+def _clean(text: str | None) -> str | None:
+    """Lone surrogates cannot leave as UTF-8; they come out as escapes."""
+    return text if text is None else text.encode("utf-8", "backslashreplace").decode("utf-8")
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    cols = [*zip(*rows)]
+    tidy = {"members": lambda m: m and [x._replace(path=_clean(x.path))._asdict() for x in m], "flat": lambda f: f and [{"child": c, "at": i, "path": _clean(p)} for c, i, p in f], "body": _clean}
+    return pa.RecordBatch.from_arrays([pa.array(map(tidy[n], c) if n in tidy else c, t) for c, (n, t) in zip(cols, _FIELDS)], names=[n for n, _ in _FIELDS])
+
+
+class Shredded(NamedTuple):
+    occurrences: DataFrame
+    trees: DataFrame
+    nodes: DataFrame
+    rejects: DataFrame
 
 
-def bridge(occurrences: DataFrame, bodies: bool = True, whole: bool = False) -> DataFrame:
-    """Bridge rows of (child, record_id, parent_index, text) occurrences.
+def shred(texts: DataFrame) -> Shredded:
+    """The tables of (child, record_id, parent_index, text) rows; child is `param`, `argument` or `audit`.
 
-    whole=True gives a row for every subtree, roots included, and takes any child. Else child
-    is `param` (properties only) or `argument` (members only). NULL texts and texts that are no
-    JSON give no rows. Texts of any length are parsed whole. bodies=False leaves the bodies NULL.
+    NULL texts give no rows, texts that are no JSON (or too deep for the parser) a row of
+    `rejects` (child, record_id, parent_index, error). Texts of any length are parsed whole.
+    The pass is narrow; what it writes to the shared folder is read by all results.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo: dict[tuple[str, str], list[Node]] = {}
+        memo: dict[tuple[str, str], Tree | str] = {}
+        written: set[bytes] = set()
         rows: list[tuple] = []
-        held = 0
+        held = size = 0
         for batch in batches:
             for child, record, index, text in zip(*(c.to_pylist() for c in batch.columns)):
                 if text is None:
                     continue
-                nodes = memo.get((child, text))
-                if nodes is None:
-                    nodes = _nodes(child, text, whole)
+                t = memo.get((child, text))
+                if t is None:
+                    t = tree_of(child, text)
                     if len(text) <= MEMO_CHARS:
                         if len(memo) >= MEMO_TEXTS or held >= MEMO_NODES:
                             memo.clear()
                             held = 0
-                        memo[(child, text)] = nodes
-                        held += len(nodes)
-                for path, kind, ordinal, node, parent, body in nodes:
-                    rows.append((child, record, index, path, kind, ordinal, node, parent, body if bodies else None))
-                    if len(rows) >= _ROWS:
-                        yield _batch(rows)
-                        rows = []
+                        memo[child, text] = t
+                        held += len(t.members) if isinstance(t, Tree) else 1
+                if isinstance(t, str):
+                    rows.append(("reject", child, record, index, None, None, None, None, None, t))
+                    continue
+                rows.append(("occurrence", child, record, index, t.tree, None, None, None, None, None))
+                if len(written) >= MEMO_NODES:
+                    written.clear()
+                if t.tree not in written:
+                    written.add(t.tree)
+                    rows.append(("tree", child, None, None, t.tree, t.members, t.flat, None, None, None))
+                    size += len(t.members)
+                    for n, kind, body in t.ids:
+                        if n not in written:
+                            written.add(n)
+                            rows.append(("node", None, None, None, None, None, None, n, kind, body))
+                if len(rows) + size >= _ROWS:
+                    yield _batch(rows)
+                    rows, size = [], 0
         if rows:
             yield _batch(rows)
 
-    return spread(occurrences.select("child", F.col("record_id").cast("bigint"), F.col("parent_index").cast("int"), "text")).mapInArrow(run, BRIDGE)
+    parts = spread(texts.select("child", F.col("record_id").cast("bigint"), F.col("parent_index").cast("int"), "text")).mapInArrow(run, _SCHEMA)
+    kept = stage(parts, "shredded", by="part")
+    part = lambda name: kept.filter(F.col("part") == name)
+    return Shredded(
+        part("occurrence").select("child", "record_id", "parent_index", "tree"),
+        part("tree").groupBy("tree").agg(F.first("members").alias("members"), F.first("flat").alias("flat")),
+        part("node").groupBy("node").agg(F.first("kind").alias("kind"), F.first("body").alias("body")),
+        part("reject").select("child", "record_id", "parent_index", F.col("body").alias("error")),
+    )
 
 
-_TYPES = [pa.string(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.binary(), pa.binary(), pa.string()]
-_NAMES = ["child", "record_id", "parent_index", "node_path", "kind", "ordinal", "node", "parent", "body"]
+def bridge(s: Shredded) -> DataFrame:
+    """(child, record_id, parent_index, node, parent, ordinal, path, kind): every occurrence of every subtree."""
+    met = lookup_join(s.occurrences, s.trees.select("tree", "members"), "tree")
+    return met.select("child", "record_id", "parent_index", F.explode("members").alias("m")).select("child", "record_id", "parent_index", "m.*")
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _TYPES)], names=_NAMES)
+def flat_paths(s: Shredded) -> DataFrame:
+    """(child, record_id, parent_index, node_path) of the four child tables: `param`, `argument`, `issue` and `schema_error`."""
+    met = lookup_join(s.occurrences, s.trees.select("tree", "flat").filter(F.size("flat") > 0), "tree")
+    one = met.select("record_id", "parent_index", F.explode("flat").alias("f"))
+    return one.select("f.child", "record_id", F.coalesce("f.at", "parent_index").alias("parent_index"), F.col("f.path").alias("node_path"))
+
+
+def distinct_nodes(s: Shredded) -> DataFrame:
+    """(node, kind, body, occurrences): the store, with how often each subtree occurs in all records.
+
+    Occurrences are counted per tree first, so a subtree that a third of all rows hold is
+    counted from its few trees.
+    """
+    times = s.occurrences.groupBy("tree").agg(F.count("*").alias("n"))
+    places = s.trees.select("tree", F.explode("members.node").alias("node")).join(times, "tree")
+    return s.nodes.join(places.groupBy("node").agg(F.sum("n").alias("occurrences")), "node")
 
 
 def occurrences(samples: DataFrame) -> DataFrame:
@@ -207,33 +285,6 @@ def audit_occurrences(audits: DataFrame) -> DataFrame:
     return audits.select(F.lit("audit").alias("child"), F.col("audit_id").alias("record_id"), F.lit(0).alias("parent_index"), text.alias("text"))
 
 
-def audit_nodes(audits: DataFrame) -> DataFrame:
-    """(child, record_id, parent_index, node_path) of the audit details and of their schema errors, in the JVM.
-
-    These are the flat tables; the identities of the trees come from `bridge` over `audit_occurrences`.
-    Details without argument_path and errors without schema_path give no row; a schema_path
-    that a detail has several times gives one row.
-    """
-    v = "argument_schema_validation"
-    details = audits.select(F.col("audit_id").alias("record_id"), F.posexplode(f"{v}.issue_details").alias("parent_index", "d"))
-    issue = details.filter(F.col("d.argument_path").isNotNull()).select(F.lit("issue").alias("child"), "record_id", "parent_index", F.col("d.argument_path").alias("node_path"))
-    paths = F.array_distinct(F.filter("d.schema_errors.schema_path", lambda p: p.isNotNull()))
-    error = details.select(F.lit("schema_error").alias("child"), "record_id", "parent_index", F.explode(paths).alias("node_path"))
-    return issue.unionByName(error)
-
-
-def distinct_nodes(bridged: DataFrame) -> DataFrame:
-    """The store: each distinct subtree once, with the number of its occurrences and of the records that hold it.
-
-    Counts are combined on the map side first, so a subtree that a third of all rows hold is
-    one row per task in the shuffle.
-    """
-    return bridged.groupBy("node").agg(F.first("kind").alias("kind"), F.first("body").alias("body"), F.count("*").alias("occurrences"))
-
-
-def flat_paths(samples: DataFrame, audits: DataFrame) -> DataFrame:
-    """(child, record_id, parent_index, node_path) of all four child tables."""
-    keep = ["child", "record_id", "parent_index", "node_path"]
-    trees = bridge(occurrences(samples), bodies=False)
-    leaf = (F.col("child") == "param") | ~F.col("kind").isin("object", "array")
-    return trees.filter(leaf).select(keep).unionByName(audit_nodes(audits))
+def all_texts(samples: DataFrame, audits: DataFrame) -> DataFrame:
+    """The texts of all three trees of the records."""
+    return occurrences(samples).unionByName(audit_occurrences(audits))

@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from callframe.functions.skew import lookup_join
 from callframe.functions.staging import shared_dir
 from callframe.functions.text import group_key, user_text
 from callframe.operators import align, calls, export, legacy, normalize, predict, profile, repair, sampling, split, validate
@@ -35,7 +36,7 @@ def tag_calls(spark: SparkSession, d: str) -> DataFrame:
 
 def audit_calls(spark: SparkSession, d: str) -> DataFrame:
     """Layers 1 to 5 of every parsed call: the issues in order."""
-    audited = calls.audit_all(table(spark, d, "tool_call_parses").select("call_id", "sample_id", "raw_content"), _samples(spark, d))
+    audited = calls.audit_all(table(spark, d, "tool_call_parses"), _samples(spark, d))
     return audited.select("call_id", "candidate_name", "name_source", "verified", F.array_join("issues", ",").alias("issues"))
 
 
@@ -73,20 +74,21 @@ def enum_investigation(spark: SparkSession, d: str) -> DataFrame:
     return calls.investigate_enums(defs, made)
 
 
-def repaired_calls(spark: SparkSession, d: str) -> DataFrame:
-    """Repairs of every parsed call that its audit allows."""
-    parses = table(spark, d, "tool_call_parses").select("call_id", "sample_id", "raw_content")
-    tools = _samples(spark, d).groupBy("sample_id").agg(F.first(calls.tool_names(F.col("tools"))).alias("tool_names"))
-    parsed = parses.select("call_id", "sample_id").join(calls.split_calls(parses), "call_id")
-    from callframe.functions.skew import lookup_join
+def _repaired(spark: SparkSession, d: str) -> DataFrame:
+    parses = table(spark, d, "tool_call_parses")
+    tools = calls.sample_tools(_samples(spark, d), tool_names=calls.tool_names(F.col("tools")))
+    named = calls.audit_names(lookup_join(calls.parse_calls(parses, "call_id", ("sample_id",)), tools, "sample_id", "left", counted=parses))
+    return repair.repair_calls(named)
+
 
-    named = calls.audit_names(lookup_join(parsed, tools, "sample_id", "left"))
-    return repair.repair_calls(named).select("call_id", F.array_join("repairs", ",").alias("repairs"), "failure", F.sha2("repaired", 256).alias("repaired_sha"))
+def repaired_calls(spark: SparkSession, d: str) -> DataFrame:
+    """Repairs of every parsed call that its audit allows, and the name and number of arguments of the repaired call."""
+    name, args = F.get_json_object("repaired", "$.name"), F.size(F.json_object_keys(F.get_json_object("repaired", "$.arguments")))
+    return _repaired(spark, d).select("call_id", F.array_join("repairs", ",").alias("repairs"), "failure", name.alias("name"), args.alias("arguments"))
 
 
 def repair_summary(spark: SparkSession, d: str) -> DataFrame:
-    done = repaired_calls(spark, d).select(F.filter(F.split("repairs", ","), lambda r: r != "").alias("repairs"))
-    return repair.repair_summary(done)
+    return repair.repair_summary(_repaired(spark, d))
 
 
 def normalized_flat(spark: SparkSession, d: str) -> DataFrame:
@@ -373,10 +375,8 @@ def data_tags(spark: SparkSession, d: str) -> DataFrame:
 def legacy_modes(spark: SparkSession, d: str) -> DataFrame:
     """How the older profiler reads each body, and the state of its call."""
     bodies = table(spark, d, "tool_call_parses").select("call_id", "sample_id", legacy.lenient_call("raw_content").alias("c"))
-    tools = _samples(spark, d).groupBy("sample_id").agg(F.first(calls.tool_names(F.col("tools"))).alias("tool_names"))
-    from callframe.functions.skew import lookup_join
-
-    known = lookup_join(bodies, tools, "sample_id", "left")
+    tools = calls.sample_tools(_samples(spark, d), tool_names=calls.tool_names(F.col("tools")))
+    known = lookup_join(bodies, tools, "sample_id", "left", counted=table(spark, d, "tool_call_parses"))
     state = legacy.structure(F.col("c.value"), F.col("tool_names"))
     return known.groupBy(F.col("c.mode").alias("mode"), state.alias("structure")).agg(F.count("*").alias("calls"))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from callframe.functions.skew import lookup_join
 from callframe.functions.staging import stage
 from callframe.functions.text import user_text
 from callframe.operators import align, calls, diff, export, predict, repair, score, split, validate
@@ -63,11 +64,8 @@ def audit(raw_calls: DataFrame, samples: DataFrame, key: str = "call_id") -> tup
 
 def repaired(raw_calls: DataFrame, samples: DataFrame, key: str = "call_id") -> tuple[DataFrame, DataFrame]:
     """(repaired calls, number per kind of repair)."""
-    from callframe.functions.skew import lookup_join
-
-    parsed = raw_calls.select(key, "sample_id").join(calls.split_calls(raw_calls, key).withColumnRenamed("call_id", key), key)
-    names = samples.groupBy("sample_id").agg(F.first(calls.tool_names(F.col("tools"))).alias("tool_names"))
-    done = repair.repair_calls(calls.audit_names(lookup_join(parsed, names, "sample_id", "left")))
+    names = calls.sample_tools(samples, tool_names=calls.tool_names(F.col("tools")))
+    done = repair.repair_calls(calls.audit_names(lookup_join(calls.parse_calls(raw_calls, key, ("sample_id",)), names, "sample_id", "left", counted=raw_calls)))
     return done, repair.repair_summary(done)
 
 

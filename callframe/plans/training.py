@@ -19,20 +19,49 @@ def p1_loaded(spark: SparkSession, d: str) -> DataFrame:
     return rejects.usable_calls(rejects.split_calls(table(spark, d, "tool_call_parses")))
 
 
+def _shredded(spark: SparkSession, d: str) -> shred.Shredded:
+    return shred.shred(shred.all_texts(table(spark, d, "canonical_samples"), table(spark, d, "tool_call_audits")))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return shred.flat_paths(table(spark, d, "canonical_samples"), table(spark, d, "tool_call_audits"))
+    """The four flat child tables, each row through the occurrence of a distinct tree."""
+    return shred.flat_paths(_shredded(spark, d))
 
 
 def p2_nodes(spark: SparkSession, d: str) -> DataFrame:
-    """The store of distinct subtrees of parameters, arguments and audit validations: identity, kind and number of occurrences."""
-    texts = shred.occurrences(table(spark, d, "canonical_samples")).unionByName(shred.audit_occurrences(table(spark, d, "tool_call_audits")))
-    store = shred.distinct_nodes(shred.bridge(texts, whole=True))
-    return store.select(F.lower(F.hex("node")).alias("node"), "kind", "body", "occurrences")
+    """The store of distinct subtrees of parameters, arguments and audit validations: identity, kind, body and number of occurrences."""
+    return shred.distinct_nodes(_shredded(spark, d)).select(F.lower(F.hex("node")).alias("node"), "kind", "body", "occurrences")
+
+
+def p2_bridge(spark: SparkSession, d: str) -> DataFrame:
+    """Every occurrence of every subtree with its parent, ordinal and path."""
+    hexed = lambda c: F.lower(F.hex(c)).alias(c)
+    return shred.bridge(_shredded(spark, d)).select("child", "record_id", "parent_index", hexed("node"), hexed("parent"), "ordinal", "path", "kind")
+
+
+QUERIES = {"p1_found": p1_found, "p1_loaded": p1_loaded, "p2_found": p2_found, "p2_nodes": p2_nodes, "p2_bridge": p2_bridge}
 
+#: A Python literal written as JSON: quotes, constants, tuples and commas before a bracket; what that makes no JSON was no literal of a dict.
+_AS_JSON = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(b, '''([^''"\\]*)''', '"\1"', 'g'),
+  '\bTrue\b', 'true', 'g'), '\bFalse\b', 'false', 'g'), '\bNone\b', 'null', 'g'), '([:,\[(]\s*)\(([^()]*)\)', '\1[\2]', 'g'), ',\s*([}\]])', '\1', 'g')"""
 
-QUERIES = {"p1_found": p1_found, "p1_loaded": p1_loaded, "p2_found": p2_found, "p2_nodes": p2_nodes}
+#: Value of a body as JSON and the issue of layer 1: strict, without the escaped line breaks at its ends, or as a Python literal.
+_VALUES = rf"""
+p AS (SELECT call_id, sample_id, raw_content AS raw, regexp_replace(regexp_replace(raw_content, '^\\n', ''), '\\n$', '') AS b FROM tool_call_parses),
+q AS (SELECT *, coalesce(json_valid(raw), false) AS strict, raw <> b AND coalesce(json_valid(b), false) AS edged, {_AS_JSON} AS j FROM p),
+v AS (SELECT *, NOT strict AND NOT edged AND coalesce(json_valid(j) AND json_type(CASE WHEN json_valid(j) THEN j END) = 'OBJECT', false) AS lit FROM q),
+w AS (SELECT call_id, sample_id, CASE WHEN strict THEN NULL WHEN edged THEN 'boundary_literal_escape' WHEN lit THEN 'python_literal_syntax' ELSE 'unclassified_parse_failure' END AS layer_1,
+  CASE WHEN strict THEN raw WHEN edged THEN b WHEN lit THEN j END::JSON AS v FROM v),
+t AS (SELECT *, json_type(v) AS ty, json_type(v, '$.name') AS tn, json_type(v, '$.arguments') AS ta, json_type(v, '$.arguments.name') AS tan FROM w),
+i AS (SELECT *, CASE WHEN v IS NULL THEN [] WHEN ty <> 'OBJECT' THEN ['invalid_tool_call_type'] ELSE list_filter([
+  CASE WHEN tn IS NULL THEN CASE WHEN ta = 'OBJECT' AND tan IS NOT NULL THEN 'nested_tool_name' ELSE 'missing_tool_name' END END,
+  CASE WHEN ta IS NULL THEN 'missing_arguments' WHEN ta <> 'OBJECT' THEN 'invalid_arguments_type' END], lambda x: x IS NOT NULL) END AS layer_2 FROM t)"""
 
 ORACLES = {
+    "p1_found": f"""WITH {_VALUES}
+SELECT call_id, layer_1 AS reason FROM i WHERE layer_1 IS NOT NULL UNION ALL SELECT call_id, unnest(layer_2) FROM i""",
+    "p1_loaded": f"""WITH {_VALUES}
+SELECT call_id, CASE WHEN tn = 'VARCHAR' THEN v->>'$.name' END AS name, (v->'$.arguments')::VARCHAR AS arguments FROM i WHERE layer_1 IS NULL AND len(layer_2) = 0""",
     "p2_found": """
 WITH RECURSIVE texts AS (
   SELECT DISTINCT t.tool.function.parameters AS txt

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from callframe.functions import skew
-from callframe.functions.staging import shared_dir, spread, stage
+from callframe.functions.staging import release, shared_dir, spread, stage
 
 
 @pytest.fixture
@@ -39,6 +39,29 @@ def test_stage_and_spread(spark):
     kept = stage(df)
     assert kept.collect() == df.collect() and kept.schema == df.schema
     assert all(f.startswith(shared_dir(spark)) for f in kept.inputFiles())
-    assert spread(df.coalesce(1)).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert spread(stage(df.coalesce(1))).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
     wide = spark.range(100, numPartitions=50)
     assert spread(wide).rdd.getNumPartitions() == 50
+
+
+def test_counting_hot_keys_leaves_the_big_side_alone(spark, sides):
+    big, small = sides
+    keys = big.select("k")
+    joined = skew.lookup_join(big.withColumn("x", F.raise_error(F.lit("read"))), small, "k", counted=keys)
+    assert joined.columns
+
+
+def test_a_shared_folder_is_needed(spark):
+    class Nothing:
+        conf = type("C", (), {"get": staticmethod(lambda *a: None)})
+        sparkContext = type("S", (), {"getConf": staticmethod(lambda: Nothing.conf)})
+
+    with pytest.raises(ValueError):
+        shared_dir(Nothing)
+
+
+def test_release(spark):
+    kept = stage(spark.range(3))
+    release(spark)
+    with pytest.raises(Exception):
+        spark.read.parquet(*kept.inputFiles()).count()
