@@ -57,16 +57,21 @@ def p6_report(spark: SparkSession, d: str) -> DataFrame:
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     found = leakage.search(table(spark, d, "documents"), table(spark, d, "eval_items"))
-    return found.filter("run").select("doc_id", "item_id").distinct()
+    return found.filter("run").select("doc_id", "item_id")
 
 
 def p7_report(spark: SparkSession, d: str) -> DataFrame:
     """Leaked items with the documents that hold a run of them, by source."""
     docs = table(spark, d, "documents")
-    found = leakage.search(docs, table(spark, d, "eval_items")).filter("run").select("doc_id", "item_id").distinct()
+    found = leakage.search(docs, table(spark, d, "eval_items")).filter("run").select("doc_id", "item_id")
     return found.join(docs.select("doc_id", "source"), "doc_id").groupBy("item_id", "source").agg(F.count("*").alias("documents"))
 
 
+def p7_recall(spark: SparkSession, d: str) -> DataFrame:
+    """Leaked pairs by an exact search, and how many the latent search finds."""
+    return leakage.recall(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
 def p7_paraphrases(spark: SparkSession, d: str) -> DataFrame:
     """Documents that hold most of an item's words in order."""
     found = leakage.search(table(spark, d, "documents"), table(spark, d, "eval_items"), paraphrases=True)
@@ -102,6 +107,7 @@ QUERIES = {
     "p6_report": p6_report,
     "p7_found": p7_found,
     "p7_report": p7_report,
+    "p7_recall": p7_recall,
     "p7_paraphrases": p7_paraphrases,
     "p8_mix": p8_mix,
     "p8_report": p8_report,

@@ -12,6 +12,11 @@ def _words(text: str) -> str:
 
 _SLOT = "((('0x' || substr(sha256(sample_id), 1, 5))::BIGINT * 654321 + 271828) % 1048576)"
 
+_LEAKS = f"""d AS (SELECT doc_id, {_words('text')} AS w FROM documents), i AS (SELECT item_id, {_words('text')} AS w FROM eval_items),
+dr AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - 10), lambda i: array_to_string(w[i:i + 11], ' '))) AS r FROM d WHERE len(w) >= 12),
+ir AS (SELECT item_id, unnest(list_transform(range(1, len(w) - 10), lambda i: array_to_string(w[i:i + 11], ' '))) AS r FROM i WHERE len(w) >= 12),
+leaks AS (SELECT DISTINCT doc_id, item_id FROM dr JOIN ir USING (r))"""
+
 ORACLES = {
     "p3_found": rf"""
 WITH s AS (
@@ -45,12 +50,9 @@ SELECT DISTINCT least(x.sample_id, y.sample_id) AS left_id, greatest(x.sample_id
 FROM c JOIN m x ON x.w = c.aw AND x.t JOIN m y ON y.w = c.bw AND y.e
 UNION SELECT sample_id, sample_id FROM m WHERE t AND e
 """,
-    "p7_found": f"""
-WITH d AS (SELECT doc_id, {_words('text')} AS w FROM documents), i AS (SELECT item_id, {_words('text')} AS w FROM eval_items),
-dr AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - 10), lambda i: array_to_string(w[i:i + 11], ' '))) AS r FROM d WHERE len(w) >= 12),
-ir AS (SELECT item_id, unnest(list_transform(range(1, len(w) - 10), lambda i: array_to_string(w[i:i + 11], ' '))) AS r FROM i WHERE len(w) >= 12)
-SELECT DISTINCT doc_id, item_id FROM dr JOIN ir USING (r)
-""",
+    "p7_found": f"WITH {_LEAKS} SELECT * FROM leaks",
+    "p7_report": f"WITH {_LEAKS} SELECT item_id, source, count(*) AS documents FROM leaks JOIN documents USING (doc_id) GROUP BY ALL",
+    "p7_recall": f"WITH {_LEAKS} SELECT count(*) AS pairs, count(*) AS found, 0::BIGINT AS missed FROM leaks",
     "p9_found": f"""
 WITH d AS (SELECT doc_id, {_words('text')} AS w FROM documents),
 g AS (SELECT doc_id, list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) AS runs FROM d WHERE len(w) >= 20)

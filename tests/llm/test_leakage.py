@@ -47,17 +47,97 @@ def test_recall_is_whole(spark, monkeypatch, block, chunk):
     assert len(got) == len(set(got)) and set(got) == brute(docs, items)
 
 
-def test_runs_below_the_cosine(monkeypatch):
-    monkeypatch.setattr(leakage, "COSINE", 1.1)  # no passage reaches it
+def test_candidates_come_from_the_latent_space_only(spark):
     docs, items = corpus()
-    known: dict[str, int] = {}
-    block = [(k, leakage.codes(t, known), None) for k, t in items]
-    rows = [(k, c) for k, t in docs for c in [leakage.codes(t, known)] if len(c) >= leakage.RUN]
-    idf = np.ones(leakage.FEATURES)
-    basis = np.linalg.qr(np.random.default_rng(3).standard_normal((leakage.FEATURES, 8)))[0].astype(np.float32)
-    got = leakage._matches([k for k, _ in rows], [c for _, c in rows], leakage.Items(block, idf, basis), idf, basis, True)
-    assert {(d, k) for d, k, *_ in got} == brute(docs, items)
-    assert all(run and share is None for *_, run, _, share in got)
+    assert search(spark, docs, items, paraphrases=True, cosine=1.1).count() == 0  # no passage reaches it
+
+
+def test_another_space_finds_less(spark, monkeypatch):
+    docs, items = corpus()
+    real = leakage.latent_space
+
+    def blind(*args):
+        space = real(*args)
+        noise = np.random.default_rng(3).standard_normal(space.scaled.shape).astype(np.float32)
+        noise[:, 1:] = 0
+        return space._replace(scaled=np.abs(noise) * (np.arange(leakage.FEATURES) % 2 * 2 - 1)[:, None].astype(np.float32))
+
+    monkeypatch.setattr(leakage, "latent_space", blind)
+    assert {(r.doc_id, r.item_id) for r in search(spark, docs, items).filter("run").collect()} < brute(docs, items)
+
+
+def test_recall_report(spark):
+    docs, items = corpus(n=60)
+    frames = spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS)
+    n = len(brute(docs, items))
+    assert leakage.recall(*frames).collect() == [(n, n, 0)]
+    assert leakage.recall(*frames, cosine=1.1).collect() == [(n, 0, n)]
+
+
+def test_space_is_the_svd(spark, monkeypatch):
+    """Singular vectors of the whole matrix, as a dense SVD gives them."""
+    monkeypatch.setattr(leakage, "RANK", 5)
+    r = random.Random(4)
+    docs = [(i, " ".join(r.choice([f"t{i % 3}a{k}" for k in range(12)]) for _ in range(40))) for i in range(60)]
+    table = leakage.coded(spark.createDataFrame(docs, DOCS))
+    none = lambda: iter(())
+    space = leakage.latent_space(spark, table, none)
+    rows = []
+    for d, t in docs:
+        for _, p in leakage.passages([leakage.codes(t, {})]):
+            p.weigh(space.idf)
+            a = np.zeros((p.n, leakage.FEATURES))
+            np.add.at(a, (p.row, p.terms[p.place]), space.idf[p.terms[p.place]])
+            rows.append(a / p.norm)
+    full = np.concatenate(rows)
+    values = np.linalg.svd(full, compute_uv=False)
+    mine = space.scaled / space.idf[:, None]
+    assert np.allclose(mine.T @ mine, np.eye(5), atol=1e-4)
+    assert np.linalg.norm(full @ mine) >= 0.995 * np.linalg.norm(values[:5])
+
+
+def test_scatter_and_project_are_the_matrix():
+    r = np.random.default_rng(5)
+    docs = [r.integers(0, 1 << 40, n, dtype=np.uint64) for n in (12, 13, 25, 40, 90, 300)]
+    idf = 1 + r.random(leakage.FEATURES)
+    basis = r.standard_normal((leakage.FEATURES, 3))
+    for part, p in leakage.passages(docs):
+        p.weigh(idf)
+        a = np.zeros((p.n, leakage.FEATURES))
+        for k in range(p.n):
+            for t in p.terms[p.first[k] : p.first[k] + p.length[k]]:
+                a[k, t] += idf[t]
+        a /= np.linalg.norm(a, axis=1, keepdims=True)
+        assert np.allclose(p.project(idf[:, None] * basis), a @ basis, atol=1e-5)
+        into, y = np.zeros((leakage.FEATURES, 3)), r.standard_normal((p.n, 3))
+        p.scatter(y, into)
+        assert np.allclose(into * idf[:, None], a.T @ y, atol=1e-5)
+
+
+def test_paraphrase_recall_on_data(spark, data):
+    """All pairs that satisfy the rule in some window of the document, by brute force, against the result."""
+    items = spark.read.parquet(f"{data}/eval_items.parquet").filter("text IS NOT NULL")
+    r = random.Random(6)
+    texts = [x.text for x in items.orderBy("item_id").collect()]
+    docs = [(x.doc_id, words(x.text)) for x in spark.read.parquet(f"{data}/documents.parquet").orderBy("doc_id").collect()]
+    vocabulary = [w for _, d in docs for w in d]
+    for k, (_, d) in enumerate(docs):
+        at = r.randrange(0, len(d) + 1)
+        d[at:at] = [w if r.random() < 0.72 else r.choice(vocabulary) for w in words(r.choice(texts))] if k % 2 else []
+    docs = spark.createDataFrame([(k, " ".join(d)) for k, d in docs], DOCS)
+    known = {}
+    texts = [(r.item_id, leakage.codes(r.text, known)) for r in items.collect()]
+    texts = [(k, t, leakage.places(t), set(t.tolist())) for k, t in texts if len(t)]
+    want = set()
+    for r in docs.collect():
+        c = leakage.codes(r.text, known)
+        for start in range(0, max(1, len(c) - leakage.RUN + 1), leakage.STEP) if len(c) >= leakage.RUN else ():
+            for k, t, at, bag in texts:
+                near = c[max(0, start - len(t)) : start + leakage.WINDOW + len(t)]
+                if sum(x in bag for x in near.tolist()) >= leakage.LCS_SHARE * len(t) and leakage.lcs(t, near, at) >= leakage.LCS_SHARE * len(t):
+                    want.add((r.doc_id, k))
+    got = {(r.doc_id, r.item_id) for r in leakage.search(docs, items, paraphrases=True).filter("lcs_share IS NOT NULL").collect()}
+    assert len(want) > 30 and got <= want and len(got) >= 0.9 * len(want)
 
 
 def test_edges(spark):
