@@ -4,7 +4,9 @@ The documents of a source, in a fixed shuffled order, are one stream of tokens t
 gone through max_repeats times. Slot i of the mix takes the next block of BLOCK tokens of
 the source whose stretch of the cumulative weights holds the i-th golden-ratio point, so
 after any number of slots each source is within a few blocks of its share. The mix ends at
-the first slot whose source is used up; every other source then has its share, too.
+the first slot whose source is used up; every other source then has its share, too. With a
+`deviation` it goes on: a source that is used up stays at its limit and the others grow, until
+some share would be off its target by more than that.
 
 No step orders a source in one task: offsets of documents and ranks of slots are
 prefix sums over hash ranges and chunks, whose totals are few.
@@ -15,6 +17,7 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,7 +31,8 @@ BLOCK = 1_024
 RANGE_ROWS, CHUNK_SLOTS = 50_000, 1 << 16
 #: Sources that the driver plans for.
 SOURCES = 100_000
-GOLDEN = 0.6180339887498949
+#: Fixed value: the golden ratio's fraction in units of 2^-64, so that points of any slot are exact.
+GOLDEN = 0x9E3779B97F4A7C15
 
 
 def encoding(path: str):
@@ -90,42 +94,82 @@ def plan(counted: DataFrame, targets: DataFrame) -> list[dict]:
     return out
 
 
+def extend(planned: list[dict], deviation: float, block: int = BLOCK) -> list[dict]:
+    """planned with the weights of the longest mix in which no share is off its weight by more than `deviation`.
+
+    Sources at their limit stay there and the others keep their proportions: of a level L, source s
+    gives min(limit, L * weight). The level is found by bisection, as the deviation grows with it.
+    """
+    live = [(r["weight"], r["available"] * r["max_repeats"] // block) for r in planned if r["weight"] > 0]
+    if not live:
+        return planned
+    given = lambda level: [min(cap, level * w) for w, cap in live]
+
+    def off(level: float) -> float:
+        u = given(level)
+        total = sum(u)
+        return max(abs(x / total - w) for x, (w, _) in zip(u, live)) if total else 0.0
+
+    low, high = min(cap / w for w, cap in live), max(cap / w for w, cap in live)
+    for _ in range(100):
+        middle = (low + high) / 2
+        low, high = (middle, high) if off(middle) <= deviation else (low, middle)
+    u = iter(given(low))
+    total = sum(given(low)) or 1.0
+    return [r | {"weight": next(u) / total if r["weight"] > 0 else 0.0} for r in planned]
+
+
 def schedule(spark, planned: list[dict], block: int = BLOCK) -> DataFrame:
-    """(slot, source, rank): the slots up to the first whose source has no full block left."""
+    """(slot, source, rank): the slots up to the first whose source has no full block left.
+
+    A task finds the sources of a chunk of slots by binary search in the cumulative weights (at
+    most SOURCES numbers); ranks within a source add up over the chunks.
+    """
     live = [r for r in planned if r["weight"] > 0]
     if not live:
         return spark.createDataFrame([], "slot bigint, source string, rank bigint")
-    caps = {r["source"]: r["available"] * r["max_repeats"] // block for r in live}
+    caps = [r["available"] * r["max_repeats"] // block for r in live]
     # Discrepancy of the golden-ratio points is logarithmic; a few slots more than the ratio show where a source ends.
-    slots = int(min(caps[r["source"]] / r["weight"] for r in live)) + 64 * len(live)
-    low, rows = 0.0, []
-    for i, r in enumerate(live):
-        high = 2.0 if i == len(live) - 1 else low + r["weight"]
-        rows.append((r["source"], low, high, caps[r["source"]]))
-        low = high
-    where = F.broadcast(spark.createDataFrame(rows, "source string, low double, high double, cap bigint"))  # at most SOURCES rows
-    point = (F.col("id") + F.lit(0.5)) * F.lit(GOLDEN)
-    slot = spark.range(slots).withColumn("u", point - F.floor(point)).join(where, (F.col("u") >= F.col("low")) & (F.col("u") < F.col("high")))
-    slot = slot.select(F.col("id").alias("slot"), "source", "cap", F.floor(F.col("id") / CHUNK_SLOTS).alias("chunk"))
-    counts = slot.groupBy("chunk", "source").count()
-    base = counts.withColumn("base", F.sum("count").over(Window.partitionBy("source").orderBy("chunk")) - F.col("count")).drop("count")
-    inside = F.row_number().over(Window.partitionBy("chunk", "source").orderBy("slot")) - 1
-    ranked = stage(slot.withColumn("n", inside).join(base, ["chunk", "source"]).select("slot", "source", "cap", (F.col("base") + F.col("n")).alias("rank")), "slots")
+    slots = int(min(cap / r["weight"] for cap, r in zip(caps, live))) + 64 * len(live)
+    high = np.cumsum([r["weight"] for r in live])
+    shared = spark.sparkContext.broadcast(np.minimum(high[:-1] / high[-1] * 2.0**64, 2.0**64 - 2048).astype(np.uint64))  # at most SOURCES numbers
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk in batch.column(0).to_pylist():
+                slot = np.arange(chunk * CHUNK_SLOTS, min((chunk + 1) * CHUNK_SLOTS, slots), dtype=np.int64)
+                with np.errstate(over="ignore"):
+                    point = slot.astype(np.uint64) * np.uint64(GOLDEN) + np.uint64(GOLDEN >> 1)
+                of = np.searchsorted(shared.value, point, side="right")
+                order = np.argsort(of, kind="stable")
+                first = np.searchsorted(of[order], of[order], side="left")
+                yield pa.RecordBatch.from_pydict({"chunk": np.full(len(slot), chunk), "slot": slot[order], "source_no": of[order].astype(np.int32), "n": np.arange(len(slot)) - first})
+
+    chunks = spark.range(-(-slots // CHUNK_SLOTS))
+    placed = stage(chunks.mapInArrow(run, "chunk bigint, slot bigint, source_no int, n bigint"), "slots")
+    counts = placed.groupBy("chunk", "source_no").count()
+    base = counts.withColumn("base", F.sum("count").over(Window.partitionBy("source_no").orderBy("chunk")) - F.col("count")).drop("count")
+    names = spark.createDataFrame([(i, r["source"], cap) for i, (r, cap) in enumerate(zip(live, caps))], "source_no int, source string, cap bigint")
+    ranked = placed.join(base, ["chunk", "source_no"]).join(F.broadcast(names), "source_no")  # at most SOURCES rows
+    ranked = stage(ranked.select("slot", "source", "cap", (F.col("base") + F.col("n")).alias("rank")), "ranks")
     end = ranked.filter("rank >= cap").agg(F.min("slot")).first()[0]
     return ranked.filter(F.col("slot") < F.lit(slots if end is None else end)).select("slot", "source", "rank")
 
 
-def mix(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+def mix(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER, block: int = BLOCK, deviation: float = 0.0) -> tuple[DataFrame, DataFrame]:
     """(pieces, report).
 
     pieces (slot, source, doc_id, epoch, from_token, to_token): what each slot holds, in tokens of
     the document; epoch is the repeat, from 0. report, one row per target: shares, tokens and repeats
     reached. Documents without source, target or token are not used; neither is a source
-    that has no document, whose share goes to the others in proportion.
+    that has no document, whose share goes to the others in proportion. A share may be off by
+    `deviation` if that makes the mix longer.
     """
     spark = documents.sparkSession
     counted = stage(token_counts(documents, tokenizer).join(targets.select("source").distinct(), "source", "left_semi"), "tokens")
     planned = plan(counted, targets)
+    if deviation:
+        planned = extend(planned, deviation, block)
     slots = stage(schedule(spark, planned, block), "schedule")
     used = {r["source"]: r["n"] * block for r in slots.groupBy("source").agg(F.count("*").alias("n")).collect()}
     rows = [(r["source"], r["target_share"], r["max_repeats"], r["available"], used.get(r["source"], 0)) for r in planned]

@@ -87,6 +87,11 @@ def p8_report(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
 
 
+def p8_extended(spark: SparkSession, d: str) -> DataFrame:
+    """Report of the mix that goes on until a share is off by two points of a hundred."""
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"), deviation=0.02)[1]
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return repetition.repetitive(table(spark, d, "documents"))
 
@@ -111,6 +116,7 @@ QUERIES = {
     "p7_paraphrases": p7_paraphrases,
     "p8_mix": p8_mix,
     "p8_report": p8_report,
+    "p8_extended": p8_extended,
     "p9_found": p9_found,
     "p9_scores": p9_scores,
 }

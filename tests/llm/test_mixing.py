@@ -67,3 +67,28 @@ def test_edges(spark):
 def test_special_strings_are_ordinary_text(spark):
     d = spark.createDataFrame([(1, "<|endoftext|> <|fim|>", "a")], DOCS)
     assert mixing.token_counts(d).first().tokens > 2
+
+
+def test_schedule_by_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "CHUNK_SLOTS", 64)
+    planned = [{"source": s, "weight": w, "available": n, "max_repeats": 2} for s, w, n in (("a", 0.5, 400), ("b", 0.3, 10**6), ("c", 0.2, 10**6), ("d", 0.0, 9))]
+    frame = mixing.schedule(spark, planned, block=4)
+    want, used = [], dict.fromkeys("abc", 0)
+    for slot in range(10_000):
+        u = (slot * mixing.GOLDEN + (mixing.GOLDEN >> 1)) % 2**64 / 2**64
+        s = "a" if u < 0.5 else "b" if u < 0.8 else "c"
+        if used[s] >= {"a": 200}.get(s, 10**6):
+            break
+        want.append((slot, s, used[s]))
+        used[s] += 1
+    assert sorted(map(tuple, frame.collect())) == want and len(want) > 350
+    assert "NestedLoop" not in frame._jdf.queryExecution().toString()
+
+
+def test_extended_mix_keeps_its_promise(spark):
+    d = docs(spark, a=300, b=30, c=100)
+    t = spark.createDataFrame([("a", 0.5, 1), ("b", 0.3, 1), ("c", 0.2, 2)], TARGETS)
+    short, long = (mixing.mix(d, t, block=8, deviation=x)[1].collect() for x in (0.0, 0.1))
+    assert sum(r.used_tokens for r in long) > 1.2 * sum(r.used_tokens for r in short)
+    assert all(abs(r.reached_share - r.target_share) < 0.12 and r.used_tokens <= r.available_tokens * r.max_repeats for r in long)
+    assert mixing.extend([{"weight": 0.0, "available": 1, "max_repeats": 1}], 0.5)[0]["weight"] == 0.0
