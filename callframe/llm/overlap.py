@@ -6,9 +6,12 @@ whose one-bit sketches are far apart are dropped in the join, the others are ver
 their exact Jaccard similarity, and confirmed class pairs are expanded to their members or
 counted by split and source without expanding them.
 
-BANDS and ROWS miss a pair at the threshold with probability 5e-6, the sketch with 1e-6. A
-bucket with more than HEAVY classes is not joined: its classes meet by prefix filtering
-instead (pairs that reach the threshold share one of their rarest words), which is exact.
+BANDS and ROWS miss a pair at the threshold with probability 5e-6, the sketch with 1e-6. A train
+row whose bucket no evaluation class uses is dropped before the shuffle, by a bit field of
+fixed size (a bit that two buckets share only lets a row pass in vain). A bucket in which more
+than HEAVY pairs would meet is not joined: its classes meet by prefix filtering instead (pairs that
+reach the threshold share one of their rarest words), which is exact. Keys that many rows of both
+sides share are cut into blocks on both sides, so no task sees more than BLOCK x BLOCK of them.
 """
 
 from __future__ import annotations
@@ -29,9 +32,11 @@ from callframe.functions.text import user_text, words
 BANDS, ROWS = 32, 4
 SKETCH_BITS, SKETCH_LEAST = 128, 94
 THRESHOLD = (3, 4)  # intersection / union >= 3/4
-HEAVY = 5_000
-#: Members of a class that one block holds when class pairs are expanded.
+HEAVY = 1_000_000
+#: Rows of a key that one block holds, on either side.
 BLOCK = 2_000
+#: Bits of the field of used buckets, so at most FIELD_BITS / 64 rows are broadcast.
+FIELD_BITS = 1 << 25
 #: Seed of the hash functions.
 SEED = 20_240_601
 
@@ -82,7 +87,7 @@ def memberships(splits: DataFrame) -> DataFrame:
 
 
 def _bands(classes: DataFrame) -> DataFrame:
-    """(key, cls, n, in_train, in_eval, s0, s1): one row per class and band."""
+    """(key, cls, n, s0, s1): one row per class and band."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mult, add = _hashers()
@@ -92,22 +97,47 @@ def _bands(classes: DataFrame) -> DataFrame:
                 for at in range(0, len(sets), 2_000):
                     tokens = [s.split(" ") for s in sets[at : at + 2_000]]
                     made = [signature(t, mult, add) for t in tokens]
-                    many = lambda i, at=at, k=len(tokens): batch.column(i).slice(at, k).take(pa.array(np.repeat(np.arange(k), BANDS)))
                     sketch = np.repeat(np.array([s for _, s in made]), BANDS, axis=0)
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array(np.concatenate([k for k, _ in made])),
-                            many(0),
+                            batch.column(0).slice(at, len(tokens)).take(pa.array(np.repeat(np.arange(len(tokens)), BANDS))),
                             pa.array(np.repeat([len(t) for t in tokens], BANDS), pa.int32()),
-                            many(2),
-                            many(3),
                             pa.array(sketch[:, 0]),
                             pa.array(sketch[:, 1]),
                         ],
-                        names=["key", "cls", "n", "in_train", "in_eval", "s0", "s1"],
+                        names=["key", "cls", "n", "s0", "s1"],
                     )
 
-    return spread(classes.select("cls", "word_set", "in_train", "in_eval")).mapInArrow(run, "key bigint, cls binary, n int, in_train boolean, in_eval boolean, s0 bigint, s1 bigint")
+    return spread(classes.select("cls", "word_set")).mapInArrow(run, "key bigint, cls binary, n int, s0 bigint, s1 bigint")
+
+
+def used_buckets(rows: DataFrame, others: DataFrame) -> DataFrame:
+    """Rows whose key may be a key of `others`: all that are, and of the rest those that share a bit with one."""
+    bit = F.pmod("key", F.lit(FIELD_BITS))
+    word, mask = F.shiftrightunsigned(bit, 6), F.expr(f"shiftleft(1L, CAST(pmod(key, {FIELD_BITS}) & 63 AS INT))")
+    field = others.select(word.alias("_word"), mask.alias("_mask")).groupBy("_word").agg(F.bit_or("_mask").alias("_bits"))
+    met = rows.withColumn("_word", word).join(F.broadcast(field), "_word")  # at most FIELD_BITS / 64 rows
+    return met.filter(F.col("_bits").bitwiseAND(mask) != 0).drop("_word", "_bits")
+
+
+def blocked_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Equi-join in which a key's rows are cut into blocks of about BLOCK on both sides; every pair of blocks is a join key of its own.
+
+    Both sides have a column `cls` of their own name (`t_cls`, `e_cls`), which decides the block.
+    """
+    l, r = (d.groupBy(key).agg(F.count("*").alias(n)) for d, n in ((left, "_l"), (right, "_r")))
+    large = l.join(r, key).filter(F.greatest("_l", "_r") > BLOCK).select(key, F.ceil(F.col("_l") / BLOCK).cast("int").alias("_l"), F.ceil(F.col("_r") / BLOCK).cast("int").alias("_r"))
+    large = stage(large, "large-keys")
+    if large.isEmpty():
+        return left.join(right, key)
+
+    def cut(d: DataFrame, by: str, own: str, mine: str, other: str, others: str) -> DataFrame:
+        known = lookup_join(d, large, key, "left")
+        one = F.pmod(F.xxhash64(by), F.coalesce(mine, F.lit(1))).cast("int")
+        return known.withColumn(own, one).withColumn(others, F.explode(F.sequence(F.lit(0), F.coalesce(other, F.lit(1)) - 1))).drop("_l", "_r")
+
+    return cut(left, "t_cls", "_i", "_l", "_r", "_j").join(cut(right, "e_cls", "_j", "_r", "_l", "_i"), [key, "_i", "_j"]).drop("_i", "_j")
 
 
 def _sized(a: Column, b: Column) -> Column:
@@ -116,22 +146,18 @@ def _sized(a: Column, b: Column) -> Column:
     return F.least(a, b) * down >= F.greatest(a, b) * up
 
 
-def _sides(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    cols = [c for c in rows.columns if c not in ("key", "in_train", "in_eval")]
-    side = lambda flag, p: rows.filter(flag).select("key", *[F.col(c).alias(f"{p}_{c}") for c in cols])
-    return side("in_train", "t"), side("in_eval", "e")
+def _side(rows: DataFrame, p: str) -> DataFrame:
+    return rows.select("key", *[F.col(c).alias(f"{p}_{c}") for c in rows.columns if c != "key"])
 
 
-def _prefix_keys(classes: DataFrame) -> DataFrame:
-    """(key, cls, n, in_train, in_eval): the rarest words of each class, as many as prefix filtering needs."""
+def _prefix_keys(classes: DataFrame, seen: DataFrame) -> DataFrame:
+    """(key, cls, n): the rarest words of each class, as many as prefix filtering needs; `seen` has the (key, count) of all words."""
     up, down = THRESHOLD
     split = classes.withColumn("words", F.split("word_set", " "))
-    one = split.select("cls", "in_train", "in_eval", F.size("words").alias("n"), F.explode("words").alias("key"))
-    seen = stage(one.groupBy("key").count(), "word-counts")
-    ranked = lookup_join(one, seen, "key")
-    ordered = ranked.groupBy("cls", "in_train", "in_eval", "n").agg(F.array_sort(F.collect_list(F.struct("count", "key"))).alias("w"))
+    one = stage(split.select("cls", F.size("words").alias("n"), F.explode("words").alias("key")), "words")
+    ordered = lookup_join(one, seen, "key").groupBy("cls", "n").agg(F.array_sort(F.collect_list(F.struct("count", "key"))).alias("w"))
     need = F.col("n") - F.ceil(F.col("n") * up / down).cast("int") + 1
-    return ordered.select("cls", "in_train", "in_eval", "n", F.explode(F.slice("w", F.lit(1), need)).alias("w")).select("w.key", "cls", "n", "in_train", "in_eval")
+    return ordered.select("cls", "n", F.explode(F.slice("w", F.lit(1), need)).alias("w")).select("w.key", "cls", "n")
 
 
 def similar_classes(classes: DataFrame) -> DataFrame:
@@ -139,17 +165,22 @@ def similar_classes(classes: DataFrame) -> DataFrame:
 
     classes: (cls, word_set, in_train, in_eval), unique by cls, no empty set.
     """
-    rows = stage(_bands(classes), "bands")
-    sizes = rows.groupBy("key").agg(F.count_if("in_train").alias("t"), F.count_if("in_eval").alias("e"))
-    heavy = stage(sizes.filter(F.greatest("t", "e") > HEAVY).filter("t > 0 AND e > 0").select("key"), "heavy")
+    e = stage(_bands(classes.filter("in_eval")), "eval-bands")
+    t = stage(used_buckets(_bands(classes.filter("in_train")), e), "train-bands")
+    sizes = t.groupBy("key").agg(F.count("*").alias("t")).join(e.groupBy("key").agg(F.count("*").alias("e")), "key")
+    heavy = stage(sizes.filter(F.col("t") * F.col("e") > HEAVY).select("key"), "heavy")
     crowded = not heavy.isEmpty()
-    t, e = _sides(rows.join(heavy, "key", "left_anti") if crowded else rows)
+    light = lambda d: d.join(heavy, "key", "left_anti") if crowded else d
     near = F.bit_count(F.col("t_s0").bitwiseXOR(F.col("e_s0"))) + F.bit_count(F.col("t_s1").bitwiseXOR(F.col("e_s1"))) <= SKETCH_BITS - SKETCH_LEAST
-    met = t.join(e, "key").filter((F.col("t_cls") != F.col("e_cls")) & _sized(F.col("t_n"), F.col("e_n")) & near).select("t_cls", "e_cls")
+    other = (F.col("t_cls") != F.col("e_cls")) & _sized(F.col("t_n"), F.col("e_n"))
+    met = _side(light(t), "t").join(_side(light(e), "e"), "key").filter(other & near).select("t_cls", "e_cls")
     if crowded:
-        inside = lookup_join(rows, heavy, "key").select("cls").distinct()
-        pt, pe = _sides(_prefix_keys(classes.join(inside, "cls", "left_semi")))
-        met = met.unionByName(pt.join(pe, "key").filter((F.col("t_cls") != F.col("e_cls")) & _sized(F.col("t_n"), F.col("e_n"))).select("t_cls", "e_cls"))
+        inside = [lookup_join(d.select("key", "cls"), heavy, "key", counted=d).select("cls").distinct() for d in (t, e)]
+        some = [stage(classes.join(i, "cls", "left_semi").select("cls", "word_set"), "crowded") for i in inside]
+        both = some[0].unionByName(some[1]).distinct()
+        seen = stage(both.select(F.explode(F.split("word_set", " ")).alias("key")).groupBy("key").count(), "word-counts")
+        pt, pe = (stage(_side(_prefix_keys(d, seen), p), "prefix") for d, p in zip(some, "te"))
+        met = met.unionByName(blocked_join(pt, pe, "key").filter(other).select("t_cls", "e_cls"))
     sets = classes.select("cls", F.split("word_set", " ").alias("w"))
     both = met.distinct().join(sets.select(F.col("cls").alias("t_cls"), F.col("w").alias("t_w")), "t_cls")
     both = both.join(sets.select(F.col("cls").alias("e_cls"), F.col("w").alias("e_w")), "e_cls")
@@ -166,8 +197,9 @@ def class_pairs(samples: DataFrame, splits: DataFrame) -> tuple[DataFrame, DataF
     `splits` that have no sample are left out.
     """
     rows = stage(word_sets(samples), "word-sets")
-    first = rows.groupBy("sample_id").agg(F.min(F.struct(F.coalesce("line_number", F.lit(1 << 62)), "cls", (F.col("word_set") == "").alias("empty"))).alias("f"))
-    members = stage(first.select("sample_id", "f.cls", "f.empty").join(memberships(splits), "sample_id"), "members")
+    first = rows.groupBy("sample_id").agg(F.min(F.struct(F.coalesce("line_number", F.lit(1 << 62)).alias("n"), "cls")).alias("f"))
+    none = F.unhex(F.lit(hashlib.blake2b(b"", digest_size=16).hexdigest()))
+    members = stage(first.select("sample_id", "f.cls", (F.col("f.cls") == none).alias("empty")).join(memberships(splits), "sample_id"), "members")
     flags = members.filter("NOT empty").groupBy("cls").agg(F.max("in_train").alias("in_train"), F.max("in_eval").alias("in_eval"))
     sets = rows.groupBy("cls").agg(F.first("word_set").alias("word_set"))
     classes = stage(sets.join(flags, "cls"), "classes")
@@ -175,19 +207,38 @@ def class_pairs(samples: DataFrame, splits: DataFrame) -> tuple[DataFrame, DataF
     return members, stage(similar_classes(classes).unionByName(same), "pairs")
 
 
+def represented(members: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(membership, links) with the smallest sample_id of a class as its name: (sample_id, class_id, in_train, in_eval) and (train_class, eval_class).
+
+    Samples without words are classes of their own; one that stands on both sides links to itself.
+    """
+    name = members.filter("NOT empty").groupBy("cls").agg(F.min("sample_id").alias("class_id"))
+    known = lookup_join(members, name, "cls", "left")
+    membership = known.select("sample_id", F.when(F.col("empty"), F.col("sample_id")).otherwise(F.col("class_id")).alias("class_id"), "in_train", "in_eval")
+    t, e = (name.select(F.col("cls").alias(c), F.col("class_id").alias(n)) for c, n in (("t_cls", "train_class"), ("e_cls", "eval_class")))
+    links = pairs.join(t, "t_cls").join(e, "e_cls").select("train_class", "eval_class")
+    alone = members.filter("empty AND in_train AND in_eval").select(F.col("sample_id").alias("train_class"), F.col("sample_id").alias("eval_class"))
+    return membership, links.unionByName(alone)
+
+
 def expand(members: DataFrame, pairs: DataFrame) -> DataFrame:
     """(left_id, right_id) of every pair of a train and an evaluation member of a class pair, the smaller id first.
 
-    The train members of a class are cut into blocks of about BLOCK, so a class that a third of all
-    rows share is many blocks. A sample on both sides gives (id, id).
+    The members of a class are cut into blocks of about BLOCK on both sides, so a class that a third of
+    all rows share is many blocks and no task expands more than one pair of them. A sample on
+    both sides gives (id, id).
     """
-    train = members.filter("in_train AND NOT empty").select(F.col("cls").alias("t_cls"), F.col("sample_id").alias("t_id"), F.col("in_eval").alias("t_both"))
-    evals = members.filter("in_eval AND NOT empty").select(F.col("cls").alias("e_cls"), F.col("sample_id").alias("e_id"), F.col("in_train").alias("e_both"))
-    large = train.groupBy("t_cls").count().filter(F.col("count") > BLOCK).select("t_cls", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
-    train = lookup_join(train, large, "t_cls", "left").withColumn("block", F.pmod(F.xxhash64("t_id"), F.coalesce("blocks", F.lit(1))).cast("int")).drop("blocks")
-    some = evals.join(pairs, "e_cls").join(large, "t_cls", "left")
-    some = some.withColumn("block", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1))).drop("blocks", "e_cls")
-    met = some.join(train, ["t_cls", "block"])
+
+    def side(flag: str, p: str, other: str) -> tuple[DataFrame, DataFrame]:
+        rows = members.filter(f"{flag} AND NOT empty").select(F.col("cls").alias(f"{p}_cls"), F.col("sample_id").alias(f"{p}_id"), F.col(other).alias(f"{p}_both"))
+        large = rows.groupBy(f"{p}_cls").count().filter(F.col("count") > BLOCK).select(f"{p}_cls", F.ceil(F.col("count") / BLOCK).cast("int").alias(f"{p}_blocks"))
+        cut = lookup_join(rows, large, f"{p}_cls", "left").withColumn(f"{p}_block", F.pmod(F.xxhash64(f"{p}_id"), F.coalesce(f"{p}_blocks", F.lit(1))).cast("int"))
+        return cut.drop(f"{p}_blocks"), large
+
+    (train, t_large), (evals, e_large) = side("in_train", "t", "in_eval"), side("in_eval", "e", "in_train")
+    each = lambda p: F.explode(F.sequence(F.lit(0), F.coalesce(f"{p}_blocks", F.lit(1)) - 1))
+    cells = pairs.join(t_large, "t_cls", "left").join(e_large, "e_cls", "left").withColumn("t_block", each("t")).withColumn("e_block", each("e")).drop("t_blocks", "e_blocks")
+    met = cells.join(evals, ["e_cls", "e_block"]).join(train, ["t_cls", "t_block"])
     # Two samples that are both on both sides meet twice.
     met = met.filter(~(F.col("t_both") & F.col("e_both")) | (F.col("t_id") <= F.col("e_id")))
     alone = members.filter("empty AND in_train AND in_eval").select(F.col("sample_id").alias("left_id"), F.col("sample_id").alias("right_id"))

@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from callframe.functions.text import words
 from callframe.llm import overlap
@@ -43,7 +44,7 @@ def corpus(seed=5, n=160):
     return texts, splits
 
 
-@pytest.mark.parametrize("heavy, block", [(5_000, 2_000), (2, 3)])
+@pytest.mark.parametrize("heavy, block", [(1_000_000, 2_000), (2, 3)])
 def test_against_brute_force(spark, samples, row, monkeypatch, heavy, block):
     monkeypatch.setattr(overlap, "HEAVY", heavy)
     monkeypatch.setattr(overlap, "BLOCK", block)
@@ -90,3 +91,39 @@ def test_report_counts_samples_without_words(spark, samples, row):
     sp = spark.createDataFrame([(k, s) for k, v in on.items() for s in v], "sample_id string, split string")
     got = {(r.split, r.source): (r.leaked, r.links) for r in overlap.report(df, sp, *overlap.class_pairs(df, sp)).collect()}
     assert got == {("dev_seen", "x"): (3, 3), ("test_seen", "x"): (1, 1), ("dev_seen", None): (1, 1)}
+
+
+def test_buckets_nobody_uses_are_dropped_before_the_shuffle(spark):
+    rows = spark.range(1000).select(F.col("id").alias("key"), F.lit(1).alias("n"))
+    used = rows.filter("key % 10 = 3").select("key")
+    kept = overlap.used_buckets(rows, used)
+    assert {r.key for r in kept.collect()} == {k for k in range(1000) if k % 10 == 3} and kept.columns == ["key", "n"]
+    high = spark.createDataFrame([(-(1 << 63),), (-1,), (5,)], "key bigint")
+    assert {r.key for r in overlap.used_buckets(high, high).collect()} == {-(1 << 63), -1, 5}
+    assert overlap.used_buckets(rows, used.limit(0)).count() == 0
+
+
+def test_blocks_on_both_sides(spark, monkeypatch):
+    monkeypatch.setattr(overlap, "BLOCK", 4)
+    left = spark.createDataFrame([("hot" if i % 2 else f"k{i}", f"t{i}") for i in range(40)], "key string, t_cls string")
+    right = spark.createDataFrame([("hot" if i % 3 else f"k{i}", f"e{i}") for i in range(40)], "key string, e_cls string")
+    got = [tuple(r) for r in overlap.blocked_join(left, right, "key").select("key", "t_cls", "e_cls").collect()]
+    want = [tuple(r) for r in left.join(right, "key").select("key", "t_cls", "e_cls").collect()]
+    assert sorted(got) == sorted(want) and len(want) > 500
+
+
+def test_links_and_members_give_all_pairs(spark, samples, row):
+    texts, splits = corpus(seed=8, n=80)
+    texts |= {"z1": "", "z2": "!!", "s001x": texts["s001"]}
+    splits += [("z1", "train"), ("z1", "dev_seen"), ("z2", "train"), ("s001x", "dev_seen")]
+    df = samples(*[row(i, k, text=t) for i, (k, t) in enumerate(texts.items())])
+    members, links = overlap.represented(*overlap.class_pairs(df, spark.createDataFrame(splits, "sample_id string, split string")))
+    members, links = members.collect(), links.collect()
+    train, evals = {}, {}
+    for m in members:
+        if m.in_train:
+            train.setdefault(m.class_id, []).append(m.sample_id)
+        if m.in_eval:
+            evals.setdefault(m.class_id, []).append(m.sample_id)
+    pairs = {(min(a, b), max(a, b)) for x in links for a in train[x.train_class] for b in evals[x.eval_class]}
+    assert pairs == brute(texts, splits) and len(links) == len(set(links))
