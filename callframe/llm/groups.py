@@ -2,8 +2,10 @@
 
 Distributed union-find: every task folds its edges into local forests, the forests are
 merged where they share a node, and the contracted graph goes through the same step over
-fewer, larger forests until no node has two roots. Then whole groups go, largest first, to
-the split furthest below its target.
+fewer, larger forests until no node has two roots. What is left of the graph is folded in one
+forest as soon as it fits; if it is larger and does not shrink (long chains over all
+tasks), rounds of star operations contract it without gathering it. Then whole groups go,
+largest first, to the split furthest below its target.
 """
 
 from __future__ import annotations
@@ -16,14 +18,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from callframe.functions.skew import lookup_join
-from callframe.functions.staging import stage
+from callframe.functions.staging import partitions, stage
 from callframe.functions.text import group_key, user_text
 
 #: Nodes that one local forest may hold before it is written and a new one begun.
 FOREST_NODES = 400_000
+#: A level that leaves more than this share of the torn roots does not shrink the graph.
+SHRINK = 0.7
 #: Sorts after every record id, so that the smallest node of a group is a record.
 HUB = "\U0010ffff"
-#: Hash ranges per group size when ranks are counted, per million groups of that size.
+#: Groups of one size that a task orders when ranks are counted.
 RANK_ROWS = 100_000
 
 
@@ -71,21 +75,51 @@ def components(edges: DataFrame) -> DataFrame:
     not gather its edges. Rounds end when no forest disagrees with another.
     """
     links = stage(local_forests(edges.filter(F.col("a").isNotNull() & F.col("b").isNotNull())), "forest")
-    return _merge(links, 1)
+    return _merge(links, partitions(links))
 
 
-def _merge(links: DataFrame, level: int) -> DataFrame:
+def _merge(links: DataFrame, parts: int, before: int | None = None) -> DataFrame:
     least = links.groupBy("node").agg(F.min("root").alias("least"), F.max("root").alias("most"))
     torn = least.filter("least < most").select("node", "least")
-    seams = stage(links.join(torn, "node").filter("root > least").select(F.col("root").alias("a"), F.col("least").alias("b")).distinct(), f"seams{level}")
-    if seams.isEmpty():
+    seams = stage(links.join(torn, "node").filter("root > least").select(F.col("root").alias("a"), F.col("least").alias("b")).distinct(), "seams")
+    n = seams.count()
+    if not n:
         return least.select("node", F.col("least").alias("root"))
-    # The next forests are local to the lower root, and fewer by half at each level.
-    parts = max(1, links.sparkSession.sparkContext.defaultParallelism >> level)
-    above = _merge(stage(local_forests(seams.repartition(parts, "b")), f"forest{level}"), level + 1)
+    if n <= FOREST_NODES // 2:  # one forest holds all of it
+        above = local_forests(seams.repartition(1))
+    elif before is not None and n > SHRINK * before:
+        above = _stars(seams)
+    else:  # forests local to the lower root, fewer by half at each level
+        parts = max(2, parts // 2)
+        above = _merge(stage(local_forests(seams.repartition(parts, "b")), "forest"), parts, n)
     above = above.select(F.col("node").alias("least"), F.col("root").alias("top"))
-    mine = stage(least.select("node", "least"), f"roots{level}")
-    return lookup_join(mine, above, "least", "left").select("node", F.coalesce("top", "least").alias("root"))
+    mine = stage(least.select("node", "least"), "roots")
+    return lookup_join(mine, stage(above, "tops"), "least", "left").select("node", F.coalesce("top", "least").alias("root"))
+
+
+def _stars(edges: DataFrame) -> DataFrame:
+    """(node, root) of any graph (a, b) by alternating large and small stars, which needs about log^2 rounds and gathers nothing.
+
+    Large star: every larger neighbour of a node goes to the least of its neighbourhood; small star: every
+    smaller one, and the node itself. When neither changes anything, each node hangs on its component's least.
+    """
+
+    def star(e: DataFrame, large: bool) -> DataFrame:
+        both = e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        both = stage(both if large else both.filter("b < a"), "star")
+        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        met = lookup_join(both, low, "a")
+        moved = met.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")) if large else met.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
+        return stage(moved.filter("a <> b").distinct(), "star")
+
+    def digest(e: DataFrame) -> tuple:
+        return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+
+    now, seen = edges, None
+    while (mark := digest(now)) != seen:
+        now, seen = star(star(now, True), False), mark
+    roots = now.select("b").distinct().select(F.col("b").alias("node"), F.col("b").alias("root"))
+    return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots)
 
 
 def request_groups(samples: DataFrame, heldout: DataFrame) -> DataFrame:

@@ -42,6 +42,34 @@ def test_small_forests_agree_with_large_ones(spark, monkeypatch):
     assert {x.node: x.root for x in got.collect()} == plain_components(edges)
 
 
+@pytest.mark.parametrize("shape", ["chain", "random", "star"])
+def test_stars_contract_any_graph(spark, shape):
+    r = random.Random(9)
+    name = lambda i: f"n{i:05d}"
+    order = r.sample(range(60), 60)
+    edges = {
+        "chain": [(name(order[i]), name(order[i + 1])) for i in range(59)],
+        "random": [(name(r.randrange(60)), name(r.randrange(60))) for _ in range(40)],
+        "star": [(name(7), name(i)) for i in range(60) if i != 7],
+    }[shape]
+    edges = [(a, b) for a, b in edges if a != b]
+    got = groups._stars(spark.createDataFrame(edges, "a string, b string"))
+    rows = got.collect()
+    assert len(rows) == len({x.node for x in rows}) and {x.node: x.root for x in rows} == plain_components(edges)
+
+
+def test_a_graph_that_does_not_shrink_goes_to_the_stars(spark, monkeypatch):
+    called = []
+    real = groups._stars
+    monkeypatch.setattr(groups, "_stars", lambda e: called.append(1) or real(e))
+    monkeypatch.setattr(groups, "FOREST_NODES", 4)
+    monkeypatch.setattr(groups, "SHRINK", 0.0)
+    order = random.Random(2).sample(range(120), 120)
+    edges = [(f"n{order[i]:03d}", f"n{order[i + 1]:03d}") for i in range(119)]
+    got = groups.components(spark.createDataFrame(edges, "a string, b string").repartition(6))
+    assert {x.node: x.root for x in got.collect()} == plain_components(edges) and called
+
+
 def test_null_ends_and_empty(spark):
     assert groups.components(spark.createDataFrame([], "a string, b string")).count() == 0
     assert groups.components(spark.createDataFrame([(None, "x"), ("y", None)], "a string, b string")).count() == 0
