@@ -35,17 +35,25 @@ def select_sample(rows: DataFrame, key: str, rate: float) -> DataFrame:
 
 
 def growth(rows: DataFrame, key: str, batch: str, rates: list[float]) -> DataFrame:
-    """(batch, rate, members, added): members of the sample after each load batch and those that it added.
+    """(batch_no, rate, members, added, lost) of the samples drawn anew after each load batch.
 
-    A key counts for the first batch that delivers it. Members never leave, so `members` is the
-    running sum of `added`. The list of batches is bounded by the loads, not by the rows.
+    The sample of every prefix of batches is selected by itself, and compared with those of the
+    earlier prefixes: `lost` counts members of an earlier one that are missing. Rows with a NULL
+    batch belong to no prefix. The list of batches is bounded by the loads, not by the rows.
     """
-    from pyspark.sql import Window
-
-    firsts = rows.filter(F.col(key).isNotNull() & F.col(batch).isNotNull()).groupBy(key).agg(F.min(batch).alias(batch))
-    marked = firsts.withColumn("slot", slot(bucket(F.col(key))))
-    sums = [F.count_if(F.col("slot") < round(r * BUCKETS)).alias(f"r{i}") for i, r in enumerate(rates)]
-    per = marked.groupBy(batch).agg(*sums)
-    pairs = F.array(*[F.struct(F.lit(float(r)).alias("rate"), F.col(f"r{i}").alias("added")) for i, r in enumerate(rates)])
-    long = per.select(F.col(batch).alias("batch_no"), F.explode(pairs).alias("p")).select("batch_no", "p.rate", "p.added")
-    return long.withColumn("members", F.sum("added").over(Window.partitionBy("rate").orderBy("batch_no")))
+    batches = sorted(r[0] for r in rows.select(batch).filter(F.col(batch).isNotNull()).distinct().collect())
+    spark = rows.sparkSession
+    grid = spark.createDataFrame([(b, i, float(r), round(r * BUCKETS)) for i, b in enumerate(batches) for r in rates], "batch_no bigint, at int, rate double, cut bigint")
+    if not batches:
+        return grid.select("batch_no", "rate", F.lit(0).cast("bigint").alias("members"), F.lit(0).cast("bigint").alias("added"), F.lit(0).cast("bigint").alias("lost"))
+    drawn = None
+    for i, b in enumerate(batches):
+        for r in rates:
+            one = select_sample(rows.filter(F.col(batch) <= b), key, r).select(key, F.lit(i).alias("at"), F.lit(float(r)).alias("rate"))
+            drawn = one if drawn is None else drawn.unionByName(one)
+    # At most one number per batch is gathered for a key.
+    held = drawn.groupBy(key, "rate").agg(F.collect_set("at").alias("held"))
+    each = held.select("rate", "held", F.array_min("held").alias("since"), F.explode(F.sequence(F.lit(0), F.lit(len(batches) - 1))).alias("at"))
+    now = F.array_contains("held", F.col("at"))
+    sums = each.groupBy("at", "rate").agg(F.count_if(now).alias("members"), F.count_if(now & (F.col("since") == F.col("at"))).alias("added"), F.count_if(~now & (F.col("since") < F.col("at"))).alias("lost"))
+    return grid.join(sums, ["at", "rate"], "left").select("batch_no", "rate", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("members", "added", "lost")])

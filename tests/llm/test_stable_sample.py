@@ -38,3 +38,12 @@ def test_growth(spark):
     assert [r.members for r in got if r.rate == 1.0] == [100, 200, 300]
     half = [r for r in got if r.rate == 0.5]
     assert [r.members for r in half] == [sum(x.added for x in half[: i + 1]) for i in range(3)]
+    assert all(r.lost == 0 for r in got) and ss.growth(df.limit(0), "k", "b", [0.5]).count() == 0
+
+
+def test_growth_sees_a_lost_member(spark, monkeypatch):
+    df = spark.createDataFrame([(f"k{i}", i % 3) for i in range(90)], "k string, b int")
+    real = ss.select_sample
+    # A sampler that depends on the number of rows: not stable.
+    monkeypatch.setattr(ss, "select_sample", lambda rows, key, rate: real(rows, key, rate).orderBy("slot").limit(20))
+    assert sum(r.lost for r in ss.growth(df, "k", "b", [1.0]).collect()) > 0
