@@ -34,6 +34,8 @@ SHARE = 0.30
 CHUNK_WORDS = 512
 #: Bytes of a frame and of one match in the worst case, for the limits.
 FRAME_BYTES, MATCH_BYTES = 24, 7
+#: Words up to which the compressor's tables keep every position of a text; longer texts are measured without asking it.
+TABLE_WORDS = 1 << 20
 SCORES = "doc_id bigint, n_words bigint, ratio double, chunk_ratio double, raw_ratio double, band string, share double"
 CODE = 4
 #: Texts of so many bytes or more are incompressible if their raw ratio is below the limit.
@@ -74,28 +76,30 @@ def incompressible(raw_bytes: int, raw_ratio: float) -> bool:
 def repeated_share(tokens: list[str]) -> float:
     """Exactly 1 - (different / all runs of five consecutive words); 0 for texts with fewer words.
 
-    Runs are compared by the ranks of their words, not by hashes.
+    Runs are compared by ranks, not by hashes: words get ranks, pairs of words, pairs of pairs and
+    those with a fifth word, each from the ranks of their parts, so a text of any length takes
+    a few numbers a word.
     """
     n = len(tokens) - RUN + 1
     if n <= 0:
         return 0.0
-    rank: dict[str, int] = {}
-    ids = [rank.setdefault(t, len(rank)) for t in tokens]
-    if len(rank) < 1 << 12:  # five ranks fit in 60 bits
-        a = np.array(ids, np.int64)
-        key = a[:n].copy()
-        for k in range(1, RUN):
-            key = (key << 12) | a[k : n + k]
-        return 1 - len(np.unique(key)) / n
-    return 1 - len({*zip(*(ids[k : n + k] for k in range(RUN)))}) / n
+    known: dict[str, int] = {}
+    one = np.array([known.setdefault(t, len(known)) for t in tokens], np.int64)
+    two = _ranks(one[:-1], one[1:])
+    four = _ranks(two[:-2], two[2:])
+    return 1 - len(np.unique(four[:n] * len(known) + one[RUN - 1 :])) / n
+
+
+def _ranks(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.unique(a * (int(b.max()) + 1) + b, return_inverse=True)[1].astype(np.int64)
 
 
 def score(text: str | None, share: float = SHARE) -> tuple[int, float | None, float | None, float | None, str, float | None]:
     """(words, ratio, highest chunk ratio, raw ratio, band, exact share or NULL where the band rules it out).
 
     Bands: `short` (fewer than LEAST_WORDS words, NULL and empty texts too), `repetitive`
-    (a candidate, measured exactly), `incompressible`, `plain`. A document longer than the
-    largest window (2^27 bytes of codes) is always a candidate.
+    (a candidate, measured exactly), `incompressible`, `plain`. A document of more than TABLE_WORDS
+    words is always a candidate.
     """
     import zstandard as zstd
 
@@ -111,7 +115,7 @@ def score(text: str | None, share: float = SHARE) -> tuple[int, float | None, fl
         step = CODE * CHUNK_WORDS
         comp = compressor(CHUNK_WORDS)
         chunk = max(len(p) / len(comp.compress(p)) for i in range(0, len(data), step) if (p := data[i : i + step]))
-    if ratio >= limit(n, share) or chunk >= 1.5 * limit(CHUNK_WORDS, share) or len(data) > 1 << 27:
+    if ratio >= limit(n, share) or chunk >= 1.5 * limit(CHUNK_WORDS, share) or n > TABLE_WORDS:
         return n, ratio, chunk, raw_ratio, "repetitive", repeated_share(tokens)
     return n, ratio, chunk, raw_ratio, "incompressible" if incompressible(len(raw), raw_ratio) else "plain", None
 

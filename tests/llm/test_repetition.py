@@ -57,3 +57,18 @@ def test_threshold_is_inclusive(spark):
     assert share(words(" ".join(t))) == 0.25
     df = spark.createDataFrame([(1, " ".join(t))], "doc_id bigint, text string")
     assert repetition.repetitive(df, 0.25).count() == 1 and repetition.repetitive(df, 0.26).count() == 0
+
+
+def test_share_by_brute_force():
+    r = random.Random(12)
+    for n in (0, 4, 5, 6, 30, 400):
+        for vocabulary in (1, 2, 7, 5000):
+            t = [f"w{r.randrange(vocabulary)}" for _ in range(n)]
+            runs = [tuple(t[i : i + 5]) for i in range(n - 4)]
+            assert abs(repetition.repeated_share(t) - (1 - len(set(runs)) / len(runs) if runs else 0.0)) < 1e-12
+
+
+def test_texts_beyond_the_tables_are_measured(monkeypatch):
+    monkeypatch.setattr(repetition, "TABLE_WORDS", 50)
+    assert repetition.score(" ".join(f"w{i}" for i in range(51)))[4] == "repetitive"
+    assert repetition.score(" ".join(f"w{i}" for i in range(50)))[4] == "plain"
