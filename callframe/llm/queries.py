@@ -50,6 +50,16 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return overlap.expand(members, pairs)
 
 
+def p6_links(spark: SparkSession, d: str) -> DataFrame:
+    """Similar classes of equal word sets, one row a pair of classes, named by their smallest sample_id."""
+    return overlap.represented(*overlap.class_pairs(table(spark, d, "canonical_samples"), table(spark, d, "sample_splits")))[1]
+
+
+def p6_members(spark: SparkSession, d: str) -> DataFrame:
+    """The class of every sample that has a split; with p6_links all pairs of p6_found follow."""
+    return overlap.represented(*overlap.class_pairs(table(spark, d, "canonical_samples"), table(spark, d, "sample_splits")))[0]
+
+
 def p6_report(spark: SparkSession, d: str) -> DataFrame:
     samples, splits = table(spark, d, "canonical_samples"), table(spark, d, "sample_splits")
     return overlap.report(samples, splits, *overlap.class_pairs(samples, splits))
@@ -96,6 +106,12 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return repetition.repetitive(table(spark, d, "documents"))
 
 
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Documents above the limit with their number of words and the share that repeats."""
+    found = repetition.scores(table(spark, d, "documents")).filter((F.col("band") == "repetitive") & (F.col("share") >= repetition.SHARE - 1e-12))
+    return found.select("doc_id", "n_words", F.round("share", 9).alias("share"))
+
+
 def p9_scores(spark: SparkSession, d: str) -> DataFrame:
     scored = repetition.scores(table(spark, d, "documents"))
     return scored.withColumns({c: F.round(c, 6) for c in ("ratio", "chunk_ratio", "raw_ratio", "share")})
@@ -109,6 +125,8 @@ QUERIES = {
     "p5_sample": p5_sample,
     "p5_growth": p5_growth,
     "p6_found": p6_found,
+    "p6_links": p6_links,
+    "p6_members": p6_members,
     "p6_report": p6_report,
     "p7_found": p7_found,
     "p7_report": p7_report,
@@ -118,5 +136,6 @@ QUERIES = {
     "p8_report": p8_report,
     "p8_extended": p8_extended,
     "p9_found": p9_found,
+    "p9_shares": p9_shares,
     "p9_scores": p9_scores,
 }
