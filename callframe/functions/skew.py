@@ -11,15 +11,17 @@ SALTS = 64
 
 
 def hot_keys(df: DataFrame, key: str, share: float = HOT_SHARE, least: int = 10_000) -> list:
-    """Keys with more than `share` of all rows and at least `least` of them, from one aggregation of the key column.
+    """Keys with more than `share` of all rows and at least `least` of them.
 
-    At most 1/share values reach the driver, whatever the size of df.
+    At most 1/share values reach the driver, whatever the size of df. df should be cheap to
+    read (a raw column, a staged table): it is counted first, which Parquet answers from its footers,
+    and small inputs end there.
     """
+    total = df.count()
+    if total < least:
+        return []
     counts = df.groupBy(key).count()
-    # The total goes beside the counts in one pass; only keys above `least` are kept with it.
-    total = counts.agg(F.sum("count").alias("_total"))
-    large = counts.filter((F.col("count") >= least) & F.col(key).isNotNull()).join(F.broadcast(total), F.col("count") > share * F.col("_total"))  # one row
-    return [r[0] for r in large.select(key).collect()]
+    return [r[0] for r in counts.filter((F.col("count") >= least) & (F.col("count") > share * total) & F.col(key).isNotNull()).select(key).collect()]
 
 
 def lookup_join(big: DataFrame, small: DataFrame, key: str, how: str = "inner", salts: int = SALTS, counted: DataFrame | None = None) -> DataFrame:
