@@ -32,7 +32,7 @@ from callframe.functions.text import user_text, words
 BANDS, ROWS = 32, 4
 SKETCH_BITS, SKETCH_LEAST = 128, 94
 THRESHOLD = (3, 4)  # intersection / union >= 3/4
-HEAVY = 1_000_000
+HEAVY = 25_000_000
 #: Rows of a key that one block holds, on either side.
 BLOCK = 2_000
 #: Bits of the field of used buckets, so at most FIELD_BITS / 64 rows are broadcast.
