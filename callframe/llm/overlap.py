@@ -36,7 +36,7 @@ HEAVY = 25_000_000
 #: Rows of a key that one block holds, on either side.
 BLOCK = 2_000
 #: Bits of the field of used buckets, so at most FIELD_BITS / 64 rows are broadcast.
-FIELD_BITS = 1 << 25
+FIELD_BITS = 1 << 24
 #: Seed of the hash functions.
 SEED = 20_240_601
 
@@ -87,7 +87,7 @@ def memberships(splits: DataFrame) -> DataFrame:
 
 
 def _bands(classes: DataFrame) -> DataFrame:
-    """(key, cls, n, s0, s1): one row per class and band."""
+    """(key, cls, n, in_train, s0, s1): one row per class and band."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mult, add = _hashers()
@@ -98,18 +98,20 @@ def _bands(classes: DataFrame) -> DataFrame:
                     tokens = [s.split(" ") for s in sets[at : at + 2_000]]
                     made = [signature(t, mult, add) for t in tokens]
                     sketch = np.repeat(np.array([s for _, s in made]), BANDS, axis=0)
+                    many = pa.array(np.repeat(np.arange(len(tokens)), BANDS))
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array(np.concatenate([k for k, _ in made])),
-                            batch.column(0).slice(at, len(tokens)).take(pa.array(np.repeat(np.arange(len(tokens)), BANDS))),
+                            batch.column(0).slice(at, len(tokens)).take(many),
                             pa.array(np.repeat([len(t) for t in tokens], BANDS), pa.int32()),
+                            batch.column(2).slice(at, len(tokens)).take(many),
                             pa.array(sketch[:, 0]),
                             pa.array(sketch[:, 1]),
                         ],
-                        names=["key", "cls", "n", "s0", "s1"],
+                        names=["key", "cls", "n", "in_train", "s0", "s1"],
                     )
 
-    return spread(classes.select("cls", "word_set")).mapInArrow(run, "key bigint, cls binary, n int, s0 bigint, s1 bigint")
+    return spread(classes.select("cls", "word_set", "in_train")).mapInArrow(run, "key bigint, cls binary, n int, in_train boolean, s0 bigint, s1 bigint")
 
 
 def used_buckets(rows: DataFrame, others: DataFrame) -> DataFrame:
@@ -147,7 +149,7 @@ def _sized(a: Column, b: Column) -> Column:
 
 
 def _side(rows: DataFrame, p: str) -> DataFrame:
-    return rows.select("key", *[F.col(c).alias(f"{p}_{c}") for c in rows.columns if c != "key"])
+    return rows.select("key", *[F.col(c).alias(f"{p}_{c}") for c in rows.columns if c not in ("key", "in_train")])
 
 
 def _prefix_keys(classes: DataFrame, seen: DataFrame) -> DataFrame:
@@ -166,7 +168,8 @@ def similar_classes(classes: DataFrame) -> DataFrame:
     classes: (cls, word_set, in_train, in_eval), unique by cls, no empty set.
     """
     e = stage(_bands(classes.filter("in_eval")), "eval-bands")
-    t = stage(used_buckets(_bands(classes.filter("in_train")), e), "train-bands")
+    only = stage(used_buckets(_bands(classes.filter("in_train AND NOT in_eval")), e), "train-bands")
+    t = only.unionByName(e.filter("in_train"))  # classes of both sides have their bands already
     sizes = t.groupBy("key").agg(F.count("*").alias("t")).join(e.groupBy("key").agg(F.count("*").alias("e")), "key")
     heavy = stage(sizes.filter(F.col("t") * F.col("e") > HEAVY).select("key"), "heavy")
     crowded = not heavy.isEmpty()
