@@ -185,11 +185,80 @@ def test_evidence(spark, value, kind, query, schema, want):
     assert df.select(evidence.evidence(*cols, F.lit("filter.offset"), F.lit("20"))).first()[0] == want
 
 
-def test_schema_mapping():
-    s = {"description": "Use hi for very strong wind. Default is lo.", "oneOf": [{"const": "x1", "title": "storm warning level"}]}
-    assert evidence.mapped("hi", "say hi", s) and not evidence.mapped("lo", "say lo", s)
-    assert evidence.mapped("x1", "give the storm warning now", s) and not evidence.mapped("x1", "give it now", s)
-    assert not evidence.mapped("", "x", s) and not evidence.mapped(True, "true", s)
+@pytest.mark.parametrize(
+    "value, kind, query, want",
+    [
+        ("hi", "string", "say hi", True),
+        ("lo", "string", "say lo", False),  # named only as a default
+        ("x1", "string", "give the storm warning now", True),
+        ("x1", "string", "give it now", False),
+        ("", "string", "x", False),
+        ("true", "boolean", "true", False),
+        ("gusts", "string", "any gust today", True),
+        ("7", "integer", "find severe coastal flooding", True),
+        ("7", "integer", "say 7", False),  # options count for strings
+        ("hidden", "string", "say hidden", False),  # stands below a default
+        (None, "null", "x", False),
+    ],
+)
+def test_schema_mapping(spark, value, kind, query, want):
+    from pyspark.sql import functions as F
+
+    s = {
+        "description": "Use hi for very strong wind. Default is lo. Also gusts, and 7 means severe coastal flooding.",
+        "oneOf": [{"const": "x1", "title": "storm warning level"}, {"const": "y"}],
+        "default": {"description": "hidden"},
+    }
+    df = spark.createDataFrame([(value, kind, query, json.dumps(s))], "v string, k string, q string, s string").withColumn("l", evidence.json_leaves("s"))
+    hit = evidence.schema_mapping(F.col("v"), F.col("k"), F.col("q"), F.col("l"))
+    assert df.select(hit).first()[0] is want
+
+
+@pytest.mark.parametrize(
+    "path, value, loose, strict",
+    [
+        ("user.id", "7", True, True),
+        ("security", "7", True, False),
+        ("a.b", "mailto:x@y", True, True),
+        ("a.b", "abcdefgh12", True, True),
+        ("a.b", "abcd efgh 12", True, False),
+        ("a.b", "abcdefghij", False, False),
+        ("stock_symbol", "A", True, True),
+        (None, None, False, False),
+    ],
+)
+def test_opaque(spark, path, value, loose, strict):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(path, value)], "p string, v string")
+    assert tuple(df.select(evidence.opaque(F.col("p"), F.col("v")), evidence.opaque(F.col("p"), F.col("v"), True)).first()) == (loose, strict)
+
+
+def test_default_equivalence(spark, samples, row):
+    tool = '{"properties":{"n":{"default":5},"s":{"default":"New York"},"o":{},"z":{"default":null}}}'
+    df = samples(row(1, "s", tools=[("t", tool), ("t", '{"properties":{"n":{"default":6}}}')]))
+    kind = "sample_id string, tool string, gold_call_index int, path string, type string, gold string, pred string"
+    rows = [
+        ("n", "missing_argument", "5.0", None, True),
+        ("n", "extra_argument", None, "6", True),
+        ("n", "missing_argument", "7", None, False),
+        ("n", "wrong_value", "5", "6", False),
+        ("s", "extra_argument", None, '"new-york"', True),
+        ("o", "missing_argument", "null", None, False),
+        ("z", "missing_argument", "null", None, True),
+    ]
+    got = evidence.default_equivalent(spark.createDataFrame([("s", "t", i, p, t, g, q) for i, (p, t, g, q, _) in enumerate(rows)], kind), df)
+    assert {r.gold_call_index for r in got.collect()} == {i for i, r in enumerate(rows) if r[-1]}
+
+
+def test_page_and_limit_of_the_call(spark, samples, row):
+    tool = '{"properties":{"offset":{"type":"integer","description":"records to skip"}}}'
+    calls = [("t", '{"limit":25,"offset":25}'), ("t", '{"limit":"25","offset":25}'), ("t", '{"offset":25}')]
+    df = samples(row(1, "s", text="the second page with a limit of 25", tools=[("t", tool)], calls=calls), row(2, "u", text="the second page", tools=[("t", tool)], calls=calls[:1]))
+    kind = "sample_id string, tool string, gold_call_index int, path string, type string, gold_present boolean, gold string"
+    rows = [("s", "t", 0, "offset", "wrong_value", True, "25"), ("u", "t", 0, "offset", "wrong_value", True, "25"), ("s", "t", 9, "offset", "wrong_value", True, "75")]
+    got = {(r.sample_id, r.gold_call_index): r.evidence for r in evidence.ground_diffs(spark.createDataFrame(rows, kind), df).collect()}
+    assert got == {("s", 0): ["pagination"], ("u", 0): [], ("s", 9): []}
 
 
 def test_schema_at(spark):
