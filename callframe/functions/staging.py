@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import atexit
+import io
+import os
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 _STAGED: dict[str, str] = {}
+_SHIPPED: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,20 +34,49 @@ def stage(df: DataFrame, name: str = "stage", by: str | None = None) -> DataFram
     out = df.write.option("compression", "zstd")
     (out.partitionBy(by) if by else out).parquet(path)
     if not _STAGED:
-        atexit.register(release, spark)
+        atexit.register(release, spark, True)
     _STAGED[path] = spark.sparkContext.applicationId
     kept = spark.read.schema(df.schema).parquet(path)
     return kept.select(df.columns) if by else kept
 
 
-def release(spark: SparkSession) -> None:
+def release(spark: SparkSession, ending: bool = False) -> None:
     """Remove the tables staged so far; call it between jobs of a long session, when their results have been written."""
-    paths = [*_STAGED]
-    _STAGED.clear()
-    for path in paths:
+    for path in [p for p in _STAGED if ending or not p.endswith("-package")]:
+        del _STAGED[path]
         _remove(spark, path)
 
 
+def put(spark: SparkSession, path: str, data: bytes) -> None:
+    """Write a small file in any file system that the cluster knows."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(p, True)
+    try:
+        out.write(bytearray(data))
+    finally:
+        out.close()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the workers, once a session, as a zip in the shared folder."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in os.walk(os.path.join(root, "callframe")):
+            for n in sorted(names):
+                if n.endswith(".py"):
+                    z.write(os.path.join(folder, n), os.path.relpath(os.path.join(folder, n), root))
+    path = f"{shared_dir(spark)}/callframe-{context.applicationId}-{uuid.uuid4().hex}-package/callframe.zip"
+    put(spark, path, held.getvalue())
+    context.addPyFile(path if "://" in path else f"file://{path}")
+    _SHIPPED.add(context.applicationId)
+    _STAGED[path.rsplit("/", 1)[0]] = context.applicationId
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm

@@ -90,9 +90,9 @@ def argument_diffs(paired: DataFrame, key: str = "sample_id") -> DataFrame:
     return met.withColumn("type", kind).filter("type IS NOT NULL").select(*ids, "path", "type", F.col("gk").isNotNull().alias("gold_present"), F.col("qk").isNotNull().alias("pred_present"), "gold", "pred", F.col("gk").alias("gold_kind"))
 
 
-def diagnose(paired: DataFrame, key: str = "sample_id") -> DataFrame:
-    """(key, analysis_status, diagnostics): the distinct diagnostics of each row in their fixed order."""
-    types = argument_diffs(paired, key).groupBy(key).agg(F.collect_set("type").alias("types"))  # at most five per row
+def diagnose(paired: DataFrame, key: str = "sample_id", diffs: DataFrame | None = None) -> DataFrame:
+    """(key, analysis_status, diagnostics): the distinct diagnostics of each row in their fixed order; diffs are its argument_diffs where they are at hand."""
+    types = (argument_diffs(paired, key) if diffs is None else diffs).groupBy(key).agg(F.collect_set("type").alias("types"))  # at most five per row
     none = F.array().cast("array<string>")
     out = paired.select(key, "analysis_status", "ambiguous_names", "unmatched").join(types, key, "left")
     has = F.concat(
@@ -117,3 +117,10 @@ def value_types(diffs: DataFrame, key: str = "sample_id") -> DataFrame:
     """(value_type, samples, diffs) of wrong values: distinct samples and differences per type of the expected value."""
     kind = F.when(F.col("gold_kind").isin("integer", "number"), "number").otherwise(F.col("gold_kind"))
     return diffs.filter("type = 'wrong_value'").groupBy(kind.alias("value_type")).agg(F.count_distinct(key).alias("samples"), F.count("*").alias("diffs"))
+
+
+def cooccurrence(diagnosed: DataFrame) -> DataFrame:
+    """(left, right, samples): rows that have two diagnostics together, each pair once, in their fixed order."""
+    n = F.size("diagnostics")
+    pairs = F.flatten(F.transform("diagnostics", lambda a, i: F.transform(F.slice("diagnostics", i + 2, F.greatest(n - i - 1, F.lit(0))), lambda b: F.struct(a.alias("left"), b.alias("right")))))
+    return diagnosed.select(F.explode(pairs).alias("p")).groupBy("p.left", "p.right").agg(F.count("*").alias("samples"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Role names of the training format and of chat requests.
 TRAINING_ROLES = {"user": "human", "assistant": "gpt"}
@@ -72,8 +73,12 @@ def benchmark_request(entries: DataFrame) -> DataFrame:
 def benchmark_results(queue: DataFrame, predictions: DataFrame, partial: bool = False) -> DataFrame:
     """(ordinal, id, result, input_token_count, output_token_count, latency) in the order of the queue (ordinal, id).
 
-    Unknown or repeated prediction ids are an error; missing ones are unless partial.
+    Unknown or repeated prediction ids are an error; missing ones are unless partial. The optional
+    numbers must be of a numeric type; a boolean is none.
     """
+    for c in ("prompt_tokens", "response_tokens", "latency"):
+        if c in predictions.columns and not isinstance(predictions.schema[c].dataType, T.NumericType):
+            raise ValueError(f"{c} must be a number, not {predictions.schema[c].dataType.simpleString()}")
     unknown = predictions.join(queue, "id", "left_anti").select("id")
     twice = predictions.groupBy("id").count().filter("count > 1").select("id")
     bad = unknown.unionByName(twice).limit(5).collect()

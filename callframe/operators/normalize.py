@@ -7,6 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from callframe.functions.batched import batched
 from callframe.functions.jsonx import canon, loads
@@ -186,11 +187,19 @@ def canonical_id(source: str, raw: Column) -> Column:
     return F.concat(F.lit(source + "_"), raw.cast("string"))
 
 
+def _require_id(raw: DataFrame) -> None:
+    """Ids are texts or integers; a boolean or a fraction is an error of the whole input."""
+    kind = raw.schema["id"].dataType
+    if not isinstance(kind, (T.StringType, T.IntegralType, T.NullType)):
+        raise ValueError(f"id must be a text or an integer, not {kind.simpleString()}")
+
+
 def from_flat(raw: DataFrame, source: str = "xlam") -> DataFrame:
     """(id, query, answers, tools) rows to canonical columns and `error`.
 
     Rows that cannot be converted keep their id and have the first reason in error and NULL elsewhere.
     """
+    _require_id(raw)
     out = raw.withColumn("_t", flat_tools("tools")).withColumn("_c", calls("answers"))
     error = F.coalesce(F.when(F.col("id").isNull(), "id is missing"), F.when(F.col("query").isNull(), "query must be a string"), F.col("_t.error"), F.col("_c.error"))
     good = lambda c: F.when(F.col("error").isNull(), c)
@@ -215,6 +224,7 @@ def from_conversations(raw: DataFrame, source: str = "hermes") -> DataFrame:
     source's system text gives way to the unified one; the answer's text is kept only if it
     has no call.
     """
+    _require_id(raw)
     roles = F.transform("conversations", lambda m: m["from"])
     n = lambda r: F.size(F.filter(roles, lambda x: x == r))
     out = raw.withColumn("_t", wrapped_tools("tools")).withColumn("_c", calls(F.coalesce("call_items", F.lit("[]"))))

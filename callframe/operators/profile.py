@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from callframe.functions.jsonx import json_nodes
+from callframe.functions.skew import lookup_join
 
 
 def describe(rows: DataFrame, value: Column, *by: str) -> DataFrame:
@@ -33,6 +34,58 @@ def counters(samples: DataFrame, **flags: Column) -> DataFrame:
     return agg.select(F.explode(F.array(*[F.struct(F.lit(k).alias("counter"), F.col(k).alias("n")) for k in flags])).alias("r")).select("r.*")
 
 
+def call_counters(samples: DataFrame) -> DataFrame:
+    """(counter, n): the counters of a data set of tool calls, all in one pass.
+
+    Rows, answers, tools and calls per row, calls of unlisted tools, repeated names, missing
+    parts of tools, parameters, messages and metadata, and requests by their first and last role.
+    """
+    n_calls, n_tools = F.coalesce(F.size("assistant.tool_calls"), F.lit(0)), F.coalesce(F.size("tools"), F.lit(0))
+    called, listed = F.coalesce("assistant.tool_calls.function.name", F.array().cast("array<string>")), F.coalesce("tools.function.name", F.array().cast("array<string>"))
+    roles, texts = F.coalesce("messages.role", F.array().cast("array<string>")), F.coalesce("messages.content", F.array().cast("array<string>"))
+    some = lambda a, f: F.size(F.filter(a, f)) > 0
+    role = lambda r: F.size(F.filter(roles, lambda x: x == r))
+    flags = {
+        "rows": F.lit(True),
+        "null_source": F.col("source").isNull(),
+        "null_id": F.col("sample_id").isNull(),
+        "no_messages": F.size(roles) <= 0,
+        "no_system": role("system") == 0,
+        "one_system": role("system") == 1,
+        "several_systems": role("system") > 1,
+        "no_user": role("user") == 0,
+        "one_user": role("user") == 1,
+        "several_users": role("user") > 1,
+        "has_assistant_turn": role("assistant") > 0,
+        "unknown_role": some(roles, lambda x: ~x.isin("system", "user", "assistant")),
+        "null_content": some(texts, lambda x: x.isNull()),
+        "empty_content": some(texts, lambda x: x == ""),
+        "starts_with_system": F.try_element_at(roles, F.lit(1)) == "system",
+        "ends_with_user": F.try_element_at(roles, F.lit(-1)) == "user",
+        "no_tools": n_tools == 0,
+        "one_tool": n_tools == 1,
+        "several_tools": n_tools > 1,
+        "repeated_tool": F.size(F.array_distinct(listed)) < n_tools,
+        "null_description": some(F.col("tools"), lambda t: t["function"]["description"].isNull()),
+        "null_parameters": some(F.col("tools"), lambda t: t["function"]["parameters"].isNull()),
+        "empty_parameters": some(F.col("tools"), lambda t: t["function"]["parameters"] == "{}"),
+        "text_answer": n_calls == 0,
+        "null_answer": F.col("assistant.content").isNull() & (n_calls == 0),
+        "text_and_calls": F.col("assistant.content").isNotNull() & (n_calls > 0),
+        "single_call": n_calls == 1,
+        "several_calls": n_calls > 1,
+        "same_tool_twice": F.size(F.array_distinct(called)) < n_calls,
+        "unlisted_call": F.size(F.array_except(called, listed)) > 0,
+        "calls_without_tools": (n_calls > 0) & (n_tools == 0),
+        "unused_tools": F.size(F.array_except(listed, called)) > 0,
+        "empty_arguments": some(F.col("assistant.tool_calls"), lambda c: c["function"]["arguments"] == "{}"),
+        "null_arguments": some(F.col("assistant.tool_calls"), lambda c: c["function"]["arguments"].isNull()),
+        "null_metadata": F.col("metadata").isNull(),
+        "null_category": F.col("metadata.category").isNull(),
+    }
+    return counters(samples, **flags)
+
+
 def problems(samples: DataFrame, key: str, **categories: Column) -> DataFrame:
     """(key, category, occurrences): one row per sample and category that occurs; each category is an integer column."""
     pairs = F.array(*[F.struct(F.lit(k).alias("category"), F.coalesce(c.cast("bigint"), F.lit(0)).alias("occurrences")) for k, c in categories.items()])
@@ -50,9 +103,13 @@ def error_sample(errors: DataFrame, order: str, most: int = 200) -> DataFrame:
 
 
 def repeated_later(rows: DataFrame, by: str, order: str) -> DataFrame:
-    """Rows whose value occurred before, in input order; NULL values are never repeats."""
-    n = F.row_number().over(Window.partitionBy(by).orderBy(order))
-    return rows.filter(F.col(by).isNotNull()).withColumn("_n", n).filter("_n > 1").drop("_n")
+    """Rows whose value occurred before, in the order of a unique column; NULL values are never repeats.
+
+    The first occurrence of each value is found with map-side combining; rows of a frequent
+    value meet it in a salted join, not in one window.
+    """
+    first = rows.filter(F.col(by).isNotNull()).groupBy(by).agg(F.min(order).alias("_first"))
+    return lookup_join(rows, first, by).filter(F.col(order) > F.col("_first")).drop("_first")
 
 
 def value_kinds(rows: DataFrame, column: str) -> DataFrame:
@@ -96,3 +153,22 @@ def threshold_band(value: Column, *bands: tuple[int, str]) -> Column:
     for bound, name in reversed(bands[:-1]):
         out = F.when(value >= bound, name).otherwise(out)
     return out
+
+
+def semantic_distribution(annotated: DataFrame, bucket: str, buckets: tuple[str, ...], *by: str) -> DataFrame:
+    """(by..., bucket, n, share): annotated rows per bucket with a row for every bucket of every group, zero filled; rows without a bucket are left out."""
+    rows = annotated.filter(F.col(bucket).isNotNull())
+    flags = [F.count_if(F.col(bucket) == b).alias(f"b{i}") for i, b in enumerate(buckets)]
+    total = rows.groupBy(*by).agg(F.count("*").alias("_n"), *flags)
+    pairs = F.array(*[F.struct(F.lit(b).alias("bucket"), F.col(f"b{i}").alias("n")) for i, b in enumerate(buckets)])
+    one = total.select(*by, "_n", F.explode(pairs).alias("p"))
+    return one.select(*by, "p.bucket", "p.n", F.try_divide(F.col("p.n").cast("double"), F.col("_n").cast("double")).alias("share"))
+
+
+def union_in_order(**sources: DataFrame) -> DataFrame:
+    """Union of candidate sets with their `source` name and its place in the order given; columns meet by name, missing ones are NULL."""
+    out = None
+    for i, (name, d) in enumerate(sources.items()):
+        d = d.withColumns({"candidate_source": F.lit(name), "source_order": F.lit(i)})
+        out = d if out is None else out.unionByName(d, allowMissingColumns=True)
+    return out

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +9,9 @@ from pyspark.sql import functions as F
 from callframe.functions.batched import batched
 from callframe.functions.jsonx import canon, loads
 from callframe.functions.schema_check import enum_sites
+from callframe.functions.skew import lookup_join
+from callframe.functions.staging import stage
+from callframe.operators.calls import audit_missing_tools, audit_names, parse_calls, sample_tools, tool_names
 
 #: Names of the repairs.
 REPAIRS = ("boundary_literal_escape", "python_literal_syntax", "nested_tool_name", "recovered_tools", "removed_enum")
@@ -104,5 +105,59 @@ def repair_summary(repaired: DataFrame) -> DataFrame:
     return fixed.join(seen, "repair", "left").na.fill(0, ["calls"])
 
 
-def dump(value) -> str:
-    return json.dumps(value, ensure_ascii=False)
+def expected_names(parsed: DataFrame) -> DataFrame:
+    """(sample_id, expected_names): different names that the calls of a sample use; a sample of any number of calls has few of them."""
+    name = F.coalesce(F.col("candidate_name"), F.lit(None).cast("string"))
+    return parsed.filter(name.isNotNull() & F.col("sample_id").isNotNull()).groupBy("sample_id").agg(F.array_sort(F.collect_set(name)).alias("expected_names"))
+
+
+def repair_samples(calls: DataFrame, samples: DataFrame, evidence: DataFrame, key: str = "call_id") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(repaired calls, repaired tools, log): all five repairs of every sample, each only with its evidence.
+
+    calls (key, sample_id, raw_content); samples (sample_id, tools, system_texts, line_number), of
+    which the first delivery counts; evidence of `investigate_enums`, in which two verdicts on one
+    site are an error. Syntax and nested names are repaired in the calls; empty tools are
+    filled from the system texts if they name all tools that the calls use; enums that cannot
+    be met are removed from the tools. The log has a row per sample with its repairs and their
+    number; a sample with any failure is `repair_failed`, whatever else was repaired.
+    """
+    conflicts = evidence.groupBy("tool_name", "schema_path").agg(F.count_distinct("removable").alias("n")).filter("n > 1").limit(5).collect()
+    if conflicts:
+        raise ValueError(f"conflicting evidence: {[(r[0], r[1]) for r in conflicts]}")
+    parsed = stage(parse_calls(calls, key, ("sample_id",)), "parsed")
+    known = audit_missing_tools(sample_tools(samples, tools=F.col("tools"), tool_names=tool_names(F.col("tools")), system_texts=F.col("system_texts")))
+    named = audit_names(parsed.withColumn("tool_names", F.array().cast("array<string>")))
+    ready = restore_tools(lookup_join(known, expected_names(named), "sample_id", "left").withColumn("expected_names", F.coalesce("expected_names", F.array().cast("array<string>"))))
+    ready = stage(ready.withColumn("tool_names", F.when(F.col("restored_tools").isNotNull(), F.col("recovery.names")).otherwise(F.col("tool_names"))), "tools")
+    done = repair_calls(audit_names(lookup_join(parsed, ready.select("sample_id", "tool_names"), "sample_id", "left")))
+    listed = ready.select("sample_id", F.posexplode("tools.function").alias("tool_index", "f")).select("sample_id", "tool_index", F.col("f.name").alias("tool_name"), "f.parameters")
+    tools = repair_schemas(listed, evidence)
+    rows = [
+        done.select("sample_id", "repairs", "failure"),
+        ready.filter("restored_tools IS NOT NULL").select("sample_id", F.array(F.lit(REPAIRS[3])).alias("repairs"), F.lit(None).cast("string").alias("failure")),
+        tools.filter("removed > 0").select("sample_id", F.array_repeat(F.lit(REPAIRS[4]), F.col("removed")).alias("repairs"), F.lit(None).cast("string").alias("failure")),
+    ]
+    every = rows[0].unionByName(rows[1]).unionByName(rows[2])
+    return done, tools, repair_log(every.filter(F.col("sample_id").isNotNull()))
+
+
+def repaired_ids(log: DataFrame) -> DataFrame:
+    """(sample_id) of the samples whose repairs all went well."""
+    return log.filter("status = 'repaired'").select("sample_id")
+
+
+def require_repaired(log: DataFrame, samples: DataFrame) -> None:
+    """Acceptance: every sample is logged at most once and exists; a repaired one has repairs, a failed one a reason."""
+    bad = log.groupBy("sample_id").count().filter("count > 1").select("sample_id")
+    bad = bad.unionByName(log.join(samples, "sample_id", "left_anti").select("sample_id"))
+    bad = bad.unionByName(log.filter("(status = 'repaired' AND cardinality(repair_counts) = 0) OR (status = 'repair_failed') <> (failure IS NOT NULL)").select("sample_id"))
+    some = bad.limit(5).collect()
+    if some:
+        raise ValueError(f"repair log: {[r[0] for r in some]}")
+
+
+def log_summary(log: DataFrame) -> DataFrame:
+    """(repair, repairs, samples): every kind of repair with its number and its samples, zero filled."""
+    seen = log.select("sample_id", F.explode("repair_counts").alias("repair", "n")).groupBy("repair").agg(F.sum("n").alias("repairs"), F.count("*").alias("samples"))
+    fixed = log.sparkSession.createDataFrame([(r,) for r in REPAIRS], "repair string")
+    return fixed.join(seen, "repair", "left").na.fill(0, ["repairs", "samples"])

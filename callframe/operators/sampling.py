@@ -49,17 +49,25 @@ def stable_random(seed: int, label: str) -> random.Random:
 
 
 def stratified_sample(rows: DataFrame, stratum: str, key: str, count: int, seed: int) -> DataFrame:
-    """Quota rows of each stratum with the lowest seeded hash; strata are few (their counts reach the driver)."""
+    """Quota rows of each stratum with the lowest seeded hash; strata are few (their counts reach the driver).
+
+    The highest quota is a literal limit first, so every task keeps no more rows of a stratum than that before the shuffle.
+    """
     sizes = {r[0]: r[1] for r in rows.filter(F.col(stratum).isNotNull()).groupBy(stratum).count().collect()}
-    spark = rows.sparkSession
-    quota = spark.createDataFrame([*quotas(sizes, count).items()], f"`{stratum}` string, quota bigint")
-    return top_per_group(rows.withColumn("_h", hash_rank(F.col(key), seed)).join(F.broadcast(quota), stratum), [stratum], ["_h", key], F.col("quota")).drop("_h", "quota")
+    wanted = quotas(sizes, count)
+    quota = rows.sparkSession.createDataFrame([*wanted.items()], f"`{stratum}` string, quota bigint")
+    hashed = rows.filter(F.col(stratum).isNotNull()).withColumn("_h", hash_rank(F.col(key), seed))
+    most = top_per_group(hashed, [stratum], ["_h", key], max(wanted.values(), default=0), "_rank")
+    return most.join(F.broadcast(quota), stratum).filter("_rank <= quota").drop("_h", "_rank", "quota")  # one row a stratum
+
 
+def top_per_group(rows: DataFrame, by: list[str], order: list, n: int, rank: str | None = None) -> DataFrame:
+    """The first n rows of each group, with their rank if a name is given.
 
-def top_per_group(rows: DataFrame, by: list[str], order: list, n) -> DataFrame:
-    """The first n rows of each group. The window has its own limit per task before the shuffle, so groups may be large."""
-    rank = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
-    return rows.withColumn("_rank", rank).filter(F.col("_rank") <= n).drop("_rank")
+    n is a literal, so the window limits each group per task before the shuffle, and groups may be large.
+    """
+    out = rows.withColumn(rank or "_rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col(rank or "_rank") <= n)
+    return out if rank else out.drop("_rank")
 
 
 def top_labels(rows: DataFrame, label: str, n: int) -> DataFrame:

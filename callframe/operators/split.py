@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import random
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from callframe.functions.skew import lookup_join
+from callframe.functions.staging import stage
 from callframe.functions.text import group_key, user_text
 from callframe.operators.calls import tool_names
 
@@ -46,54 +49,97 @@ def hold_out(tool_groups: dict[str, dict[str, int]], frequency: dict[str, int],
     return held, unseen
 
 
-def select_unseen(samples: DataFrame, **options) -> tuple[list[str], DataFrame]:
-    """(held-out tools, unseen group keys) of keyed samples.
+def select_unseen(samples: DataFrame, seed: int = SEED, least: int = LEAST_SAMPLES, share: float = UNSEEN_SHARE) -> tuple[list[str], DataFrame]:
+    """(held-out tools, unseen group keys) of keyed samples, by the rule of `hold_out`.
 
-    The greedy loop is sequential by nature and runs on the driver over tools: it fetches the groups of
-    one eligible tool at a time, only of tools that can still be accepted.
+    The greedy walk over the tools runs on the driver with one number a tool: how many samples of
+    groups that are not yet unseen list it. That is one aggregation for each tool that is
+    accepted; no group reaches the driver. The tools themselves are taken to be a bounded list.
     """
-    seed, least, share = options.get("seed", SEED), options.get("least", LEAST_SAMPLES), options.get("share", UNSEEN_SHARE)
     total = samples.count()
-    freq = {r[0]: r[1] for r in tool_frequency(samples).filter(F.col("samples") >= least).collect()}
-    order = sorted(freq)
+    order = sorted(r[0] for r in tool_frequency(samples).filter(F.col("samples") >= least).collect())
     random.Random(seed).shuffle(order)
     sizes = samples.groupBy("group_key").agg(F.count("*").alias("n"))
-    listed = samples.select("group_key", F.explode("tool_names").alias("tool_name")).distinct()
-    pairs = lookup_join(listed.filter(F.col("tool_name").isin(order) if len(order) <= 2000 else F.lit(True)), sizes, "group_key").cache()
-    # A tool whose groups alone hold more than twice the target can never come closer.
-    target = round(total * share)
-    reach = {r[0] for r in pairs.groupBy("tool_name").agg(F.sum("n").alias("s")).filter(F.col("s") <= 2 * target).select("tool_name").collect()}
-    held, unseen, n = [], {}, 0
-    for tool in order:
-        if n >= target and held:
-            break
-        if tool not in reach and not unseen:
-            continue
-        mine = {r[0]: r[1] for r in pairs.filter(F.col("tool_name") == tool).select("group_key", "n").limit(4 * target + len(unseen) + 1).collect()}
-        new = {g: k for g, k in mine.items() if g not in unseen}
-        if new and abs(target - n - sum(new.values())) < abs(target - n):
+    listed = stage(samples.select("group_key", F.explode("tool_names").alias("tool_name")).distinct(), "listed")
+    pairs = stage(lookup_join(listed, sizes, "group_key"), "tool-groups")
+    target, held, n, at = round(total * share), [], 0, 0
+    left = pairs
+    while at < len(order) and (n < target or not held):
+        new = {r[0]: r[1] for r in left.groupBy("tool_name").agg(F.sum("n").alias("n")).collect()}
+        while at < len(order) and not (new.get(order[at], 0) and abs(target - n - new[order[at]]) < abs(target - n)):
+            at += 1
+        if at < len(order):
+            tool = order[at]
             held.append(tool)
-            unseen |= new
-            n += sum(new.values())
-    pairs.unpersist()
-    spark = samples.sparkSession
-    return held, spark.createDataFrame([(t,) for t in held], "tool_name string").join(listed, "tool_name").select("group_key").distinct()
+            n += new[tool]
+            at += 1
+            left = stage(left.join(left.filter(F.col("tool_name") == tool).select("group_key").distinct(), "group_key", "left_anti"), "tool-groups")
+    chosen = samples.sparkSession.createDataFrame([(t,) for t in held], "tool_name string")
+    return held, listed.join(F.broadcast(chosen), "tool_name").select("group_key").distinct()  # one row a tool
 
 
 def shuffled_90_5_5(groups: list[str], seed: int = SEED) -> dict[str, str]:
-    """Exact mode: a seeded permutation of the distinct sorted groups, cut 90/10, and the rest again in halves."""
+    """Exact mode on a list: a seeded permutation of the distinct sorted groups, cut 90/10, and the rest again in halves."""
     names = sorted(set(groups))
-    if len(names) < 3:
+    train, dev, _ = _cuts(len(names), seed)
+    return {g: SPLITS[0] if i in train else SPLITS[1] if i in dev else SPLITS[2] for i, g in enumerate(names)}
+
+
+def _cuts(n: int, seed: int) -> tuple[set[int], set[int], set[int]]:
+    """Ranks of the sorted groups that go to train, dev_seen and test_seen."""
+    if n < 3:
         raise ValueError("at least three groups are needed")
+    order = np.random.RandomState(seed).permutation(n)
+    rest = np.sort(order[: n - int(np.floor(TRAIN_SHARE * n))])
+    again = np.random.RandomState(seed + 1).permutation(len(rest))
+    cut = len(rest) - int(np.floor(0.5 * len(rest)))
+    return {*order[len(rest) :].tolist()}, {*rest[again[cut:]].tolist()}, {*rest[again[:cut]].tolist()}
+
 
-    def cut(items: list[str], share: float, seed: int) -> tuple[list[str], list[str]]:
-        order = np.random.RandomState(seed).permutation(len(items))
-        rest = len(items) - int(np.floor(share * len(items)))
-        return [items[i] for i in order[rest:]], [items[i] for i in order[:rest]]
+def seeded_split(samples: DataFrame, seed: int = SEED) -> DataFrame:
+    """keyed samples with `split`: per source, the distinct groups in sorted order permuted by numpy's seeded generator and cut 90/5/5.
 
-    train, other = cut(names, TRAIN_SHARE, seed)
-    dev, test = cut(sorted(other), 0.5, seed + 1)
-    return {g: s for s, part in zip(SPLITS, (train, dev, test)) for g in part}
+    A group that spans sources, a NULL source and a source with fewer than three groups are
+    errors. Ranks of the groups come from a range-partitioned sort; the permutation depends on
+    their number alone and is made once per source in a task (a few bytes a group), so no group
+    reaches the driver.
+    """
+    if not samples.filter(F.col("source").isNull()).isEmpty():
+        raise ValueError("a sample has no source")
+    torn = cross_source_groups(samples).count()
+    if torn:
+        raise ValueError(f"{torn} groups span several sources")
+    groups = stage(samples.select("source", "group_key").distinct().repartitionByRange("source", "group_key").sortWithinPartitions("source", "group_key").withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id()), "groups")
+    sizes = groups.groupBy("source").count()
+    few = sizes.filter("count < 3").limit(5).collect()
+    if few:
+        raise ValueError(f"sources with fewer than three groups: {[r[0] for r in few]}")
+    # Partitions are in order: a rank is the number of groups of the source in those before, and the place within.
+    before = groups.groupBy("source", "_p").agg(F.count("*").alias("_n"), F.min("_i").alias("_low"))
+    base = before.withColumn("_base", F.sum("_n").over(Window.partitionBy("source").orderBy("_p")) - F.col("_n"))
+    ranked = groups.join(base, ["source", "_p"]).select("source", "group_key", (F.col("_base") + F.col("_i") - F.col("_low")).alias("rank"))
+
+    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for source, n in zip(frame["source"], frame["count"]):
+                for split, ranks in zip(SPLITS, _cuts(n, seed)):
+                    ranks = np.array(sorted(ranks), np.int64)
+                    for at in range(0, len(ranks), 100_000):
+                        yield pd.DataFrame({"source": source, "rank": ranks[at : at + 100_000], "split": split})
+
+    places = sizes.repartition("source").mapInPandas(cut, "source string, rank bigint, split string")
+    return lookup_join(samples, ranked.join(places, ["source", "rank"]).select("group_key", "split"), "group_key")
+
+
+def split_dataset(samples: DataFrame, seed: int = SEED, **options) -> tuple[list[str], DataFrame]:
+    """(held-out tools, keyed samples with `split`): groups of held-out tools are unseen, the others are split per source by `seeded_split`."""
+    k = stage(keyed(samples), "keyed")
+    held, unseen = select_unseen(k, seed, **options)
+    unseen = stage(unseen, "unseen")
+    marked = lookup_join(k, unseen.withColumn("_unseen", F.lit(True)), "group_key", "left")
+    seen = seeded_split(marked.filter(F.col("_unseen").isNull()).drop("_unseen"), seed)
+    out = marked.filter("_unseen").drop("_unseen").withColumn("split", F.lit(SPLITS[3]))
+    return held, seen.select(out.columns).unionByName(out)
 
 
 def hash_split(samples: DataFrame, seed: int = SEED, by: str = "group_key") -> DataFrame:
@@ -108,7 +154,7 @@ def split_by_tools(samples: DataFrame, heldout: DataFrame, seed: int = SEED) ->
     k = keyed(samples)
     hit = k.select("group_key", F.explode("tool_names").alias("tool_name")).join(heldout.select("tool_name").distinct(), "tool_name", "left_semi")
     unseen = hit.select("group_key").distinct().withColumn("_unseen", F.lit(True))
-    out = lookup_join(hash_split(k, seed), unseen, "group_key", "left")
+    out = lookup_join(hash_split(k, seed), unseen, "group_key", "left", counted=k.select("group_key"))
     return out.withColumn("split", F.when(F.col("_unseen"), SPLITS[3]).otherwise(F.col("split"))).drop("_unseen")
 
 
@@ -140,6 +186,10 @@ def source_distribution(assigned: DataFrame) -> DataFrame:
 
 
 def first_delivery(samples: DataFrame, key: str = "sample_id", order: str = "line_number") -> DataFrame:
-    """The first row of each key; later ones are dropped, rows with a NULL key all stay."""
-    n = F.row_number().over(Window.partitionBy(key).orderBy(order))
-    return samples.withColumn("_n", n).filter((F.col("_n") == 1) | F.col(key).isNull()).drop("_n")
+    """The first row of each key in the order of a unique column; later ones are dropped, rows with a NULL key all stay.
+
+    Only keys and order are shuffled to find the first; the rows meet it in a salted join.
+    """
+    first = samples.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min(order).alias("_first"))
+    met = lookup_join(samples, first, key, "left")
+    return met.filter(F.col(key).isNull() | (F.col(order) == F.col("_first"))).drop("_first").select(samples.columns)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from callframe.functions.skew import lookup_join
-from callframe.functions.staging import shared_dir
+from callframe.functions.staging import shared_dir, stage
 from callframe.functions.text import group_key, user_text
 from callframe.operators import align, calls, export, legacy, normalize, predict, profile, repair, sampling, split, validate
 from callframe.plans.evaluation import predictions
@@ -35,9 +35,9 @@ def tag_calls(spark: SparkSession, d: str) -> DataFrame:
 
 
 def audit_calls(spark: SparkSession, d: str) -> DataFrame:
-    """Layers 1 to 5 of every parsed call: the issues in order."""
+    """Layers 1 to 5 of every parsed call: the issues by name."""
     audited = calls.audit_all(table(spark, d, "tool_call_parses"), _samples(spark, d))
-    return audited.select("call_id", "candidate_name", "name_source", "verified", F.array_join("issues", ",").alias("issues"))
+    return audited.select("call_id", "candidate_name", "name_source", "verified", F.array_join(F.array_sort("issues"), ",").alias("issues"))
 
 
 def _canonical_calls(spark: SparkSession, d: str) -> DataFrame:
@@ -66,14 +66,43 @@ def recovered_tools(spark: SparkSession, d: str) -> DataFrame:
     return r.select("line_number", F.array_join("recovery.names", ",").alias("names"), F.size("recovery_issues").alias("issues"))
 
 
-def enum_investigation(spark: SparkSession, d: str) -> DataFrame:
-    """Layer 6: enums that no value can meet, with what the calls show at their place."""
+def _planted(spark: SparkSession, d: str) -> DataFrame:
+    """Samples with faults planted by rule: integer properties of every third line can only be null; every fifth lists its tools in the system text alone."""
     s = _samples(spark, d)
+    broken = lambda t: t["function"].withField("parameters", F.regexp_replace(t["function"]["parameters"], r'"type": ?"integer"', '"type":"integer","enum":[null]'))
+    tools = F.when(F.col("line_number") % 3 == 0, F.transform("tools", lambda t: t.withField("function", broken(t)))).otherwise(F.col("tools"))
+    moved = (F.col("line_number") % 5 == 0) & (F.size("tools") > 0)
+    texts = F.when(moved, F.array(F.concat(F.lit("<tools>"), calls.tools_json(F.col("tools")), F.lit("</tools>")))).otherwise(F.array().cast("array<string>"))
+    return s.withColumns({"system_texts": texts, "tools": F.when(moved, F.array().cast(s.schema["tools"].dataType)).otherwise(tools)})
+
+
+def _enum_evidence(spark: SparkSession, d: str) -> DataFrame:
+    s = _planted(spark, d)
     defs = s.select(F.explode("tools.function").alias("f")).select(F.col("f.name").alias("tool_name"), "f.parameters").filter("parameters IS NOT NULL")
     made = s.select(F.explode("assistant.tool_calls.function").alias("f")).select(F.col("f.name").alias("tool_name"), "f.arguments")
     return calls.investigate_enums(defs, made)
 
 
+def enum_investigation(spark: SparkSession, d: str) -> DataFrame:
+    """Layer 6 on planted definitions: enums that no value can meet, with what the calls show at their place."""
+    return _enum_evidence(spark, d)
+
+
+def _sample_repairs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return repair.repair_samples(table(spark, d, "tool_call_parses"), _planted(spark, d), stage(_enum_evidence(spark, d), "evidence"))
+
+
+def sample_repairs(spark: SparkSession, d: str) -> DataFrame:
+    """Repair log of every sample that has calls or repaired tools, on planted faults."""
+    log = _sample_repairs(spark, d)[2]
+    count = lambda r: F.coalesce(F.try_element_at("repair_counts", F.lit(r)), F.lit(0)).alias(r)
+    return log.select("sample_id", "status", "failure", *map(count, repair.REPAIRS))
+
+
+def sample_repair_summary(spark: SparkSession, d: str) -> DataFrame:
+    return repair.log_summary(_sample_repairs(spark, d)[2])
+
+
 def _repaired(spark: SparkSession, d: str) -> DataFrame:
     parses = table(spark, d, "tool_call_parses")
     tools = calls.sample_tools(_samples(spark, d), tool_names=calls.tool_names(F.col("tools")))
@@ -83,7 +112,7 @@ def _repaired(spark: SparkSession, d: str) -> DataFrame:
 
 def repaired_calls(spark: SparkSession, d: str) -> DataFrame:
     """Repairs of every parsed call that its audit allows, and the name and number of arguments of the repaired call."""
-    name, args = F.get_json_object("repaired", "$.name"), F.size(F.json_object_keys(F.get_json_object("repaired", "$.arguments")))
+    name, args = F.get_json_object("repaired", "$.name"), F.when(~F.array_contains("issues", "invalid_arguments_type"), F.size(F.json_object_keys(F.get_json_object("repaired", "$.arguments"))))
     return _repaired(spark, d).select("call_id", F.array_join("repairs", ",").alias("repairs"), "failure", name.alias("name"), args.alias("arguments"))
 
 
@@ -116,7 +145,7 @@ def _validated(spark: SparkSession, d: str) -> DataFrame:
 
 def validation_status(spark: SparkSession, d: str) -> DataFrame:
     """Contract status of every sample row."""
-    return _validated(spark, d).select("line_number", "status", F.array_join("issues", ",").alias("issues"), "first")
+    return _validated(spark, d).select("line_number", "status", F.array_join(F.array_sort("issues"), ",").alias("issues"), "first")
 
 
 def validation_summary(spark: SparkSession, d: str) -> DataFrame:
@@ -167,6 +196,13 @@ def held_out_tools(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(t,) for t in held], "tool_name string")
 
 
+def seeded_split(spark: SparkSession, d: str) -> DataFrame:
+    """Seeded 90/5/5 split per source, groups being the equal requests of one source."""
+    rows = split.keyed(_samples(spark, d)).withColumn("source", F.coalesce("source", F.substring_index("sample_id", "_", 1)))
+    rows = rows.withColumn("group_key", F.sha2(F.concat_ws("|", "source", "group_key"), 256)).select("line_number", "source", "group_key")
+    return split.seeded_split(stage(rows, "keyed")).select("line_number", "split")
+
+
 def split_overlaps(spark: SparkSession, d: str) -> DataFrame:
     return split.split_overlaps(table(spark, d, "sample_splits"), "sample_id")
 
@@ -258,9 +294,14 @@ def ordinal_alignment(spark: SparkSession, d: str) -> DataFrame:
 
 
 def manifest_digests(spark: SparkSession, d: str) -> DataFrame:
-    """Digest of the ordered distinct ids of each split."""
+    """Tree digest of the distinct ids of each split."""
     ids = table(spark, d, "sample_splits").select("split", "sample_id").distinct()
-    return files.sequence_digest(ids, "sample_id", "sample_id", "split")
+    return files.tree_digest(ids, "sample_id", "split")
+
+
+def selection_digest(spark: SparkSession, d: str) -> DataFrame:
+    """Digest of the held-out tools' names in order."""
+    return files.sequence_digest(table(spark, d, "heldout_tools").select("split_seed", "tool_name"), "tool_name", "tool_name", "split_seed")
 
 
 def training_export(spark: SparkSession, d: str) -> DataFrame:
@@ -304,22 +345,25 @@ def length_profile(spark: SparkSession, d: str) -> DataFrame:
 
 
 def sample_counters(spark: SparkSession, d: str) -> DataFrame:
-    """Flags of the sample rows, all counted in one pass."""
-    n_calls, n_tools = F.coalesce(F.size("assistant.tool_calls"), F.lit(0)), F.size("tools")
-    called, listed = F.col("assistant.tool_calls.function.name"), F.col("tools.function.name")
-    return profile.counters(
-        _samples(spark, d),
-        rows=F.lit(True),
-        no_tools=n_tools == 0,
-        one_tool=n_tools == 1,
-        text_answer=n_calls == 0,
-        single_call=n_calls == 1,
-        multi_call=n_calls > 1,
-        repeated_tool=F.size(F.array_distinct(listed)) < n_tools,
-        unknown_call=F.size(F.array_except(called, listed)) > 0,
-        null_source=F.col("source").isNull(),
-        late=F.col("produced_at") < F.col("loaded_at"),
-    )
+    """The counters of the sample rows, all in one pass."""
+    return profile.call_counters(_samples(spark, d))
+
+
+def audit_semantics(spark: SparkSession, d: str) -> DataFrame:
+    """Issue details of the recorded audits per bucket and tool source, zero filled."""
+    x = table(spark, d, "tool_call_audits").select(F.col("argument_schema_validation.tool_definition_source").alias("defined"), F.explode("argument_schema_validation.issue_details.issue").alias("bucket"))
+    return profile.semantic_distribution(x, "bucket", ("argument_type_mismatch", "enum_mismatch", "missing_required_argument", "unexpected_argument", "invalid_tool_schema"), "defined")
+
+
+def candidate_union(spark: SparkSession, d: str) -> DataFrame:
+    """Ids that are candidates for review, from three sources in a fixed order."""
+    s = _samples(spark, d)
+    parts = {
+        "unlisted": s.filter(F.size(F.array_except("assistant.tool_calls.function.name", "tools.function.name")) > 0),
+        "no_tools": s.filter(F.size("tools") == 0),
+        "no_source": s.filter("source IS NULL"),
+    }
+    return profile.union_in_order(**{k: v.select("line_number") for k, v in parts.items()})
 
 
 def _problems(spark: SparkSession, d: str) -> DataFrame:
@@ -431,6 +475,8 @@ QUERIES = {
         argument_audit,
         recovered_tools,
         enum_investigation,
+        sample_repairs,
+        sample_repair_summary,
         repaired_calls,
         repair_summary,
         normalized_flat,
@@ -444,6 +490,7 @@ QUERIES = {
         tool_frequency,
         hash_split,
         held_out_tools,
+        seeded_split,
         split_overlaps,
         request_overlaps,
         leaked_tools,
@@ -462,6 +509,7 @@ QUERIES = {
         run_key_faults,
         ordinal_alignment,
         manifest_digests,
+        selection_digest,
         training_export,
         chat_requests,
         benchmark_requests,
@@ -469,6 +517,8 @@ QUERIES = {
         role_sequences,
         length_profile,
         sample_counters,
+        audit_semantics,
+        candidate_union,
         problem_summary,
         error_sample,
         resumed_stream,
@@ -493,14 +543,57 @@ _NSYS = "len(list_filter(messages, lambda m: m.role = 'system'))"
 _FAILED = f"({_NSYS} <> 1 OR (assistant.content IS NOT NULL AND coalesce(len(assistant.tool_calls), 0) > 0) OR (assistant.content IS NULL AND coalesce(len(assistant.tool_calls), 0) = 0))"
 
 
+_HAS = "len(list_filter({0}, lambda x: {1})) > 0"
+_ROLE = "len(list_filter(r, lambda x: x = '{0}'))"
+_COUNTERS = [
+    ("rows", "true"),
+    ("null_source", "source IS NULL"),
+    ("null_id", "sample_id IS NULL"),
+    ("no_messages", "len(r) = 0"),
+    ("no_system", _ROLE.format("system") + " = 0"),
+    ("one_system", _ROLE.format("system") + " = 1"),
+    ("several_systems", _ROLE.format("system") + " > 1"),
+    ("no_user", _ROLE.format("user") + " = 0"),
+    ("one_user", _ROLE.format("user") + " = 1"),
+    ("several_users", _ROLE.format("user") + " > 1"),
+    ("has_assistant_turn", _ROLE.format("assistant") + " > 0"),
+    ("unknown_role", _HAS.format("r", "x NOT IN ('system', 'user', 'assistant')")),
+    ("null_content", _HAS.format("tx", "x IS NULL")),
+    ("empty_content", _HAS.format("tx", "x = ''")),
+    ("starts_with_system", "r[1] = 'system'"),
+    ("ends_with_user", "r[-1] = 'user'"),
+    ("no_tools", "nt = 0"),
+    ("one_tool", "nt = 1"),
+    ("several_tools", "nt > 1"),
+    ("repeated_tool", "len(list_distinct(l)) < nt"),
+    ("null_description", _HAS.format("tools", "x.function.description IS NULL")),
+    ("null_parameters", _HAS.format("tools", "x.function.parameters IS NULL")),
+    ("empty_parameters", _HAS.format("tools", "x.function.parameters = '{}'")),
+    ("text_answer", "nc = 0"),
+    ("null_answer", "assistant.content IS NULL AND nc = 0"),
+    ("text_and_calls", "assistant.content IS NOT NULL AND nc > 0"),
+    ("single_call", "nc = 1"),
+    ("several_calls", "nc > 1"),
+    ("same_tool_twice", "len(list_distinct(c)) < nc"),
+    ("unlisted_call", _HAS.format("c", "NOT list_contains(l, x)")),
+    ("calls_without_tools", "nc > 0 AND nt = 0"),
+    ("unused_tools", _HAS.format("l", "NOT list_contains(c, x)")),
+    ("empty_arguments", _HAS.format("assistant.tool_calls", "x.function.arguments = '{}'")),
+    ("null_arguments", _HAS.format("assistant.tool_calls", "x.function.arguments IS NULL")),
+    ("null_metadata", "metadata IS NULL"),
+    ("null_category", "metadata.category IS NULL"),
+]
+
+
 def _oracles() -> dict[str, str]:
+    from callframe.plans import checks_sql
     from callframe.plans.evaluation import _pred_sql
 
     pairs = [("train", "dev_seen"), ("train", "test_seen"), ("train", "test_unseen_tools"), ("dev_seen", "test_seen"), ("dev_seen", "test_unseen_tools"), ("test_seen", "test_unseen_tools")]
     grid = "(VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in pairs) + ") AS g(left_split, right_split)"
     types = "(VALUES " + ", ".join("('" + t.replace("'", "''") + "')" for t in TYPES) + ") AS t(source_type)"
     names = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in normalize.TYPE_NAMES.items())
-    return {
+    return checks_sql.ORACLES | {
         "tag_calls": f"""
 WITH p AS (SELECT line_number, raw, (SELECT len(list_filter(messages, lambda m: m.role = 'user')) FROM canonical_samples c WHERE c.line_number = q.line_number) AS users FROM ({_pred_sql()}) q),
 t AS (SELECT line_number, users AS message_index, raw AS txt FROM p UNION ALL SELECT line_number, users + 2, 'again ' || raw FROM p),
@@ -569,7 +662,19 @@ SELECT (SELECT count(DISTINCT sample_id) FROM canonical_samples WHERE sample_id
 SELECT coalesce(a.sample_id, b.sample_id) AS sample_id, coalesce(l, 0) AS left_rows, coalesce(r, 0) AS right_rows FROM (SELECT sample_id, count(*) AS l FROM canonical_samples GROUP BY 1) a
 FULL JOIN (SELECT sample_id, count(*) AS r FROM sample_splits GROUP BY 1) b ON a.sample_id = b.sample_id WHERE coalesce(l, 0) <> 1 OR coalesce(r, 0) <> 1""",
         "ordinal_alignment": f"SELECT line_number FROM canonical_samples WHERE line_number % 5 = 0 AND NOT {_FAILED}",
-        "manifest_digests": "SELECT split, count(*) AS n, sha256(string_agg(sample_id, chr(10) ORDER BY sample_id)) AS sha256 FROM (SELECT DISTINCT split, sample_id FROM sample_splits) GROUP BY 1",
+        "manifest_digests": """
+WITH h AS (SELECT DISTINCT split, sha256(sample_id) AS h FROM sample_splits WHERE sample_id IS NOT NULL), r AS (SELECT split, h, ('0x' || substr(h, 1, 8))::BIGINT % 4096 AS r FROM h),
+d AS (SELECT split, r, count(*) AS n, sha256(string_agg(h, chr(10) ORDER BY h)) AS d FROM r GROUP BY ALL)
+SELECT split, sum(n)::BIGINT AS n, sha256(string_agg(r || ':' || d, chr(10) ORDER BY r)) AS sha256 FROM d GROUP BY split""",
+        "selection_digest": "SELECT split_seed, count(*) AS n, sha256(string_agg(tool_name, chr(10) ORDER BY tool_name)) AS sha256 FROM heldout_tools GROUP BY 1",
+        "audit_semantics": """
+WITH x AS (SELECT argument_schema_validation.tool_definition_source AS defined, unnest(argument_schema_validation.issue_details).issue AS bucket FROM tool_call_audits),
+t AS (SELECT coalesce(defined, '') AS defined, count(*) AS all_rows FROM x WHERE bucket IS NOT NULL GROUP BY 1), c AS (SELECT coalesce(defined, '') AS defined, bucket, count(*) AS n FROM x GROUP BY ALL)
+SELECT nullif(t.defined, '') AS defined, b.bucket, coalesce(n, 0) AS n, coalesce(n, 0) / all_rows AS share
+FROM t CROSS JOIN (VALUES ('argument_type_mismatch'), ('enum_mismatch'), ('missing_required_argument'), ('unexpected_argument'), ('invalid_tool_schema')) AS b(bucket) LEFT JOIN c ON c.defined = t.defined AND c.bucket = b.bucket""",
+        "candidate_union": """
+SELECT line_number, 'unlisted' AS candidate_source, 0 AS source_order FROM canonical_samples WHERE len(list_filter(list_transform(assistant.tool_calls, lambda c: c.function.name), lambda n: NOT list_contains(list_transform(tools, lambda t: t.function.name), n))) > 0
+UNION ALL SELECT line_number, 'no_tools', 1 FROM canonical_samples WHERE len(tools) = 0 UNION ALL SELECT line_number, 'no_source', 2 FROM canonical_samples WHERE source IS NULL""",
         "training_export": f"""
 SELECT line_number, CASE WHEN NOT {_FAILED} THEN len(messages) END::INTEGER AS turns, CASE WHEN NOT {_FAILED} THEN CASE WHEN assistant.content IS NULL THEN 'function_call' ELSE 'gpt' END END AS role,
   CASE WHEN NOT {_FAILED} THEN coalesce(assistant.content, {_CALLS}) END AS answer, CASE WHEN NOT {_FAILED} THEN list_filter(messages, lambda m: m.role = 'system')[1].content END AS system, {_FAILED} AS failed
@@ -588,11 +693,10 @@ WHERE p.assistant.content IS NULL AND NOT failed AND chosen <> raw""",
         "length_profile": """
 SELECT source, count(text) AS count, min(length(text))::INTEGER AS min, round(avg(length(text)), 3) AS mean, median(length(text)) AS median, quantile_disc(length(text), 0.9)::DOUBLE AS p90,
   max(length(text))::INTEGER AS max FROM documents WHERE text IS NOT NULL GROUP BY 1""",
-        "sample_counters": """
-WITH s AS (SELECT *, coalesce(len(assistant.tool_calls), 0) AS nc, len(tools) AS nt, list_transform(tools, lambda t: t.function.name) AS l, list_transform(assistant.tool_calls, lambda t: t.function.name) AS c FROM canonical_samples)
-SELECT unnest(['rows', 'no_tools', 'one_tool', 'text_answer', 'single_call', 'multi_call', 'repeated_tool', 'unknown_call', 'null_source', 'late']) AS counter,
-  unnest([count(*), count(*) FILTER (nt = 0), count(*) FILTER (nt = 1), count(*) FILTER (nc = 0), count(*) FILTER (nc = 1), count(*) FILTER (nc > 1), count(*) FILTER (len(list_distinct(l)) < nt),
-  count(*) FILTER (len(list_filter(c, lambda x: NOT list_contains(l, x))) > 0), count(*) FILTER (source IS NULL), count(*) FILTER (produced_at < loaded_at)]) AS n FROM s""",
+        "sample_counters": f"""
+WITH s AS (SELECT *, coalesce(len(assistant.tool_calls), 0) AS nc, coalesce(len(tools), 0) AS nt, coalesce(list_transform(tools, lambda t: t.function.name), []) AS l, coalesce(list_transform(assistant.tool_calls, lambda t: t.function.name), []) AS c,
+  coalesce(list_transform(messages, lambda m: m.role), []) AS r, coalesce(list_transform(messages, lambda m: m.content), []) AS tx FROM canonical_samples)
+SELECT unnest({[k for k, _ in _COUNTERS]}) AS counter, unnest([{', '.join(f"count(*) FILTER ({v})" for _, v in _COUNTERS)}]) AS n FROM s""",
         "problem_summary": """
 WITH s AS (SELECT sample_id, tools, list_transform(tools, lambda t: t.function.name) AS l, list_transform(assistant.tool_calls, lambda t: t.function.name) AS c FROM canonical_samples),
 p AS (SELECT sample_id, 'unlisted_call' AS category, len(list_filter(c, lambda x: NOT list_contains(l, x))) AS n FROM s UNION ALL SELECT sample_id, 'repeated_tool', len(l) - len(list_distinct(l)) FROM s

@@ -10,7 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from callframe.functions.staging import stage
 from callframe.operators import align, diff, evidence, predict, score
+from callframe.plans.checks_sql import walk
 from callframe.sources.tables import table
 
 
@@ -50,20 +52,19 @@ def prediction_modes(spark: SparkSession, d: str) -> DataFrame:
 
 
 NUMBERS = ["gold_call_count", "predicted_call_count", "tool_name_tp", "argument_exact_matches"]
-FLAGS = ["response_mode_correct", "format_valid", "tool_name_exact", "argument_exact", "full_call_exact", "no_tool_correct"]
+FLAGS = ["response_mode_correct", "format_valid", "schema_valid", "tool_name_exact", "argument_exact", "full_call_exact", "no_tool_correct"]
 
 
 def score_samples(spark: SparkSession, d: str) -> DataFrame:
-    no_schema = F.filter("errors", lambda e: e != "schema_invalid")
-    return scored(spark, d).select("line_number", "call_kind", *NUMBERS, *FLAGS, F.array_join(no_schema, ",").alias("errors"))
+    return scored(spark, d).select("line_number", "call_kind", *NUMBERS, *FLAGS, F.array_join("errors", ",").alias("errors"))
 
 
 def score_summary(spark: SparkSession, d: str) -> DataFrame:
-    return score.summarize(scored(spark, d)).drop("schema_valid_rate")
+    return score.summarize(scored(spark, d))
 
 
 def score_by_kind(spark: SparkSession, d: str) -> DataFrame:
-    return score.summarize(scored(spark, d), "call_kind").drop("schema_valid_rate")
+    return score.summarize(scored(spark, d), "call_kind")
 
 
 def schema_validity(spark: SparkSession, d: str) -> DataFrame:
@@ -72,8 +73,7 @@ def schema_validity(spark: SparkSession, d: str) -> DataFrame:
 
 
 def error_histogram(spark: SparkSession, d: str) -> DataFrame:
-    rows = scored(spark, d).select(F.filter("errors", lambda e: e != "schema_invalid").alias("errors"))
-    return score.histogram(rows, "errors", score.ERRORS[:-1])
+    return score.histogram(scored(spark, d), "errors", score.ERRORS)
 
 
 def mode_histogram(spark: SparkSession, d: str) -> DataFrame:
@@ -81,8 +81,7 @@ def mode_histogram(spark: SparkSession, d: str) -> DataFrame:
 
 
 def failure_summary(spark: SparkSession, d: str) -> DataFrame:
-    rows = scored(spark, d).filter("NOT full_call_exact AND gold_mode = 'tool'").select(F.filter("errors", lambda e: e != "schema_invalid").alias("errors"))
-    return align.failure_summary(rows)
+    return align.failure_summary(scored(spark, d).filter("NOT full_call_exact AND gold_mode = 'tool'"))
 
 
 def _aligned(spark: SparkSession, d: str) -> DataFrame:
@@ -95,9 +94,7 @@ def transitions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def transition_errors(spark: SparkSession, d: str) -> DataFrame:
-    no_schema = lambda c: F.filter(c, lambda e: e != "schema_invalid")
-    rows = _aligned(spark, d).withColumn("base_errors", no_schema("base_errors")).withColumn("candidate_errors", no_schema("candidate_errors"))
-    return align.transition_errors(rows, score.ERRORS[:-1])
+    return align.transition_errors(_aligned(spark, d), score.ERRORS)
 
 
 def _altered(spark: SparkSession, d: str) -> DataFrame:
@@ -128,7 +125,13 @@ def argument_diffs(spark: SparkSession, d: str) -> DataFrame:
 
 def diff_summary(spark: SparkSession, d: str) -> DataFrame:
     paired = diff.pair_calls(_altered(spark, d))
-    return diff.summarize(diff.diagnose(paired, "line_number"), diff.argument_diffs(paired, "line_number"), "line_number")
+    diffs = stage(diff.argument_diffs(paired, "line_number"), "diffs")
+    return diff.summarize(diff.diagnose(paired, "line_number", diffs), diffs, "line_number")
+
+
+def diff_cooccurrence(spark: SparkSession, d: str) -> DataFrame:
+    """Diagnostics that occur together in a row."""
+    return diff.cooccurrence(diff.diagnose(diff.pair_calls(_altered(spark, d)), "line_number"))
 
 
 def wrong_value_types(spark: SparkSession, d: str) -> DataFrame:
@@ -173,6 +176,24 @@ def grounded_diffs(spark: SparkSession, d: str) -> DataFrame:
     return g.groupBy("type", "passed").agg(F.count("*").alias("diffs"), F.sum("ungrounded").alias("ungrounded"))
 
 
+def default_equivalents(spark: SparkSession, d: str) -> DataFrame:
+    """Missing and surplus arguments written from the listed defaults, every other line with another value: which equal a default."""
+    tools = table(spark, d, "canonical_samples").select("line_number", F.posexplode("tools.function").alias("i", "f")).select("line_number", "i", F.col("f.name").alias("tool"), evidence.json_leaves("f.parameters").alias("leaves"))
+    one = tools.withColumn("x", F.explode("leaves")).withColumn("path", F.regexp_extract("x.path", r"^properties\.([^.\[]+)\.default$", 1)).filter("path <> '' AND tool IS NOT NULL")
+    value = F.when(F.col("line_number") % 2 == 0, F.col("x.canon")).otherwise(F.lit('"other value"'))
+    kind = F.when(F.col("line_number") % 4 < 2, "missing_argument").otherwise("extra_argument")
+    diffs = one.select("line_number", "tool", F.col("i").alias("gold_call_index"), "path", kind.alias("type"), value.alias("gold"), value.alias("pred"))
+    return evidence.default_equivalent(diffs, table(spark, d, "canonical_samples"), "line_number")
+
+
+def identifier_values(spark: SparkSession, d: str) -> DataFrame:
+    """Argument values that look like identifiers, by the loose and the strict rule."""
+    s = table(spark, d, "canonical_samples").select("line_number", F.posexplode("assistant.tool_calls.function.arguments").alias("call", "args"))
+    one = s.withColumn("x", F.explode(evidence.json_leaves("args"))).filter("x.kind = 'string'").select("line_number", "call", "x.path", "x.text")
+    loose, strict = (evidence.opaque(F.col("path"), F.col("text"), k) for k in (False, True))
+    return one.select("line_number", "call", "path", loose.alias("loose"), strict.alias("strict")).filter("loose OR strict")
+
+
 def enriched_wrong_values(spark: SparkSession, d: str) -> DataFrame:
     """Wrong values with the schema type at their path."""
     found = diff.argument_diffs(diff.pair_calls(_altered(spark, d)), "line_number")
@@ -202,10 +223,13 @@ QUERIES = {
         call_pairing,
         argument_diffs,
         diff_summary,
+        diff_cooccurrence,
         wrong_value_types,
         literal_in_query,
         evidence_rules,
         grounded_diffs,
+        default_equivalents,
+        identifier_values,
         enriched_wrong_values,
         repr_equivalence,
     )
@@ -259,9 +283,16 @@ s2{r} AS (SELECT *, (CASE WHEN tool THEN 'tool' ELSE 'text' END) = pm AS respons
   CASE WHEN tool_name_tp > 0 THEN argument_exact_matches = tool_name_tp END AS argument_exact,
   tool AND format_valid AND gold_call_count = predicted_call_count AND argument_exact_matches = gold_call_count AS full_call_exact,
   CASE WHEN NOT tool THEN pm = 'text' END AS no_tool_correct FROM s1{r}),
+si{r} AS (SELECT k.line_number * 1000 + k.i AS id, k.line_number, list_filter(tools, lambda t: t.function.name = k.name) AS mine, TRY_CAST(b.body AS JSON)->'$.arguments' AS args,
+  len(list_filter(tools, lambda t: coalesce(t.function.name, '') = '' OR coalesce(json_type(t.function.parameters::JSON), '') <> 'OBJECT')) = 0 AS formed
+  FROM pk{r} k JOIN pb{r} b ON b.line_number = k.line_number AND b.i = k.i JOIN canonical_samples c ON c.line_number = k.line_number WHERE k.ok),
+{walk(f"SELECT id, mine[1].function.parameters::JSON AS s, args AS v FROM si{r} WHERE formed AND len(mine) = 1", r)},
+sw{r} AS (SELECT DISTINCT id FROM found{r} WHERE bad),
+sv{r} AS (SELECT line_number, bool_and(formed AND len(mine) = 1 AND sw{r}.id IS NULL) AS good FROM si{r} LEFT JOIN sw{r} USING (id) GROUP BY 1),
+s3{r} AS (SELECT s2{r}.*, mode <> 'invalid' AND coalesce(good, false) AS schema_valid FROM s2{r} LEFT JOIN sv{r} USING (line_number)),
 sc{r} AS (SELECT *, list_filter([CASE WHEN NOT response_mode_correct THEN 'wrong_mode' END, CASE WHEN tool AND NOT format_valid THEN 'format_error' END, CASE WHEN wrong THEN 'wrong_tool' END,
   CASE WHEN tool_name_tp < gold_call_count THEN 'missing_tool' END, CASE WHEN tool_name_tp < predicted_call_count THEN 'extra_tool' END,
-  CASE WHEN argument_exact_matches < tool_name_tp THEN 'argument_mismatch' END], lambda x: x IS NOT NULL) AS errs FROM s2{r})"""
+  CASE WHEN argument_exact_matches < tool_name_tp THEN 'argument_mismatch' END, CASE WHEN tool AND NOT schema_valid THEN 'schema_invalid' END], lambda x: x IS NOT NULL) AS errs FROM s3{r})"""
 
 
 _METRICS = """count(*) AS rows, count(*) FILTER (tool) AS tool_rows, count(*) FILTER (NOT tool) AS text_rows,
@@ -273,7 +304,8 @@ _METRICS = """count(*) AS rows, count(*) FILTER (tool) AS tool_rows, count(*) FI
   CASE WHEN coalesce(sum(gold_call_count) FILTER (tool), 0) > 0 THEN coalesce(sum(tool_name_tp) FILTER (tool) / nullif(sum(predicted_call_count) FILTER (tool), 0), 0) END::DOUBLE AS tool_name_precision,
   (sum(tool_name_tp) FILTER (tool) / nullif(sum(gold_call_count) FILTER (tool), 0))::DOUBLE AS tool_name_recall,
   CASE WHEN coalesce(sum(gold_call_count) FILTER (tool), 0) > 0 THEN coalesce(2.0 * sum(tool_name_tp) FILTER (tool) / nullif(sum(predicted_call_count) FILTER (tool) + sum(gold_call_count) FILTER (tool), 0), 0) END::DOUBLE AS tool_name_f1,
-  (sum(argument_exact_matches) FILTER (tool) / nullif(sum(tool_name_tp) FILTER (tool), 0))::DOUBLE AS argument_exact_match"""
+  (sum(argument_exact_matches) FILTER (tool) / nullif(sum(tool_name_tp) FILTER (tool), 0))::DOUBLE AS argument_exact_match,
+  count(*) FILTER (tool AND schema_valid) / nullif(count(*) FILTER (tool), 0) AS schema_valid_rate"""
 
 _ALTERED = r"""
 al AS (SELECT line_number, generate_subscripts(assistant.tool_calls, 1) - 1 AS i, unnest(assistant.tool_calls).function AS f, line_number % 4 AS v FROM canonical_samples),
@@ -299,34 +331,54 @@ rp AS (SELECT nk.* FROM nk WHERE parent = '' OR EXISTS (SELECT 1 FROM ob WHERE o
 mt AS (SELECT line_number, name AS tool, gi AS gold_call_index, path, max(kind) FILTER (side = 'g') AS gk, max(kind) FILTER (side = 'p') AS pk,
   max(CASE WHEN kind = 'array' THEN {v} ELSE val::VARCHAR END) FILTER (side = 'g') AS gv, max(CASE WHEN kind = 'array' THEN {v} ELSE val::VARCHAR END) FILTER (side = 'p') AS pv FROM rp GROUP BY ALL),
 df AS (SELECT line_number, tool, gold_call_index, path, CASE WHEN pk IS NULL THEN 'missing_argument' WHEN gk IS NULL THEN 'extra_argument' WHEN gk <> pk THEN 'type_mismatch'
-  WHEN gk = 'array' AND gv <> pv THEN 'nested_structure_mismatch' WHEN gk NOT IN ('array', 'object') AND gv <> pv THEN 'wrong_value' END AS type, gk, gk IS NOT NULL AS gold_present, pk IS NOT NULL AS pred_present FROM mt)
+  WHEN gk = 'array' AND gv <> pv THEN 'nested_structure_mismatch' WHEN gk NOT IN ('array', 'object') AND gv <> pv THEN 'wrong_value' END AS type, gk, gk IS NOT NULL AS gold_present, pk IS NOT NULL AS pred_present, gv, pv FROM mt)
 """.replace("{g}", _SIG.format(a="g")).replace("{p}", _SIG.format(a="p")).replace("{v}", _SIG.format(a="val"))
 
-_LABELS = "(VALUES " + ", ".join(f"('{x}', {i})" for i, x in enumerate(score.ERRORS[:-1])) + ") AS f(label, ord)"
+_LABELS = "(VALUES " + ", ".join(f"('{x}', {i})" for i, x in enumerate(score.ERRORS)) + ") AS f(label, ord)"
 _TRANS = f"""
 ta AS (SELECT a.line_number, a.source, a.call_kind, a.errs AS be, b.errs AS ce, CASE WHEN a.full_call_exact AND b.full_call_exact THEN 'both_correct' WHEN b.full_call_exact THEN 'fixed'
   WHEN a.full_call_exact THEN 'regressed' ELSE 'both_wrong' END AS transition FROM sc0 a JOIN sc1 b USING (line_number))"""
 
 ORACLES = {
-    "prediction_modes": f"""WITH {_score_sql()}
+    "prediction_modes": f"""WITH RECURSIVE {_score_sql()}
 SELECT line_number, mode, calls::INTEGER AS calls, mode = 'tool' AS strict_format_valid, CASE WHEN trim(raw, ' ' || chr(10) || chr(9)) = '' THEN 'empty_prediction'
   WHEN mode = 'invalid' THEN concat_ws(',', bads, CASE WHEN regexp_matches(outside, '</?tool_call') THEN 'malformed_tool_call_tags' END)
   WHEN mode = 'mixed' THEN 'prose_outside_tool_calls' ELSE '' END AS errors FROM mo0""",
-    "score_samples": f"""WITH {_score_sql()}
+    "score_samples": f"""WITH RECURSIVE {_score_sql()}
 SELECT line_number, call_kind, {', '.join(NUMBERS + FLAGS)}, array_to_string(errs, ',') AS errors FROM sc0""",
-    "score_summary": f"WITH {_score_sql()} SELECT {_METRICS} FROM sc0",
-    "score_by_kind": f"WITH {_score_sql()} SELECT call_kind, {_METRICS} FROM sc0 GROUP BY call_kind",
-    "error_histogram": f"""WITH {_score_sql()}, e AS (SELECT unnest(errs) AS label FROM sc0)
+    "score_summary": f"WITH RECURSIVE {_score_sql()} SELECT {_METRICS} FROM sc0",
+    "score_by_kind": f"WITH RECURSIVE {_score_sql()} SELECT call_kind, {_METRICS} FROM sc0 GROUP BY call_kind",
+    "schema_validity": f"WITH RECURSIVE {_score_sql()} SELECT call_kind, schema_valid, count(*) AS samples FROM sc0 GROUP BY ALL",
+    "enriched_wrong_values": f"""WITH {_ALTERED},
+wv AS (SELECT d.line_number, d.tool, d.gold_call_index, d.path, d.gk FROM df d WHERE type = 'wrong_value'),
+dn AS (SELECT line_number, t.function.name AS tool, t.function.parameters AS p FROM (SELECT line_number, unnest(tools) AS t FROM canonical_samples)),
+seen AS (SELECT w.line_number, w.tool, w.gold_call_index, w.path, w.gk, json_extract(dn.p::JSON, '$.properties.' || replace(w.path, '.', '.properties.'))::VARCHAR AS s FROM wv w JOIN dn ON dn.line_number = w.line_number AND dn.tool = w.tool),
+one AS (SELECT line_number, tool, gold_call_index, path, gk, count(DISTINCT s) AS n, min(s) AS s FROM seen GROUP BY ALL)
+SELECT CASE WHEN gk IN ('integer', 'number') THEN 'number' ELSE gk END AS value_type, CASE WHEN n = 1 THEN s::JSON->>'$.type' END AS schema_type, coalesce(CASE WHEN n = 1 THEN json_type(s::JSON, '$.enum') END IS NOT NULL, false) AS enum_field,
+  n > 1 AS schema_ambiguous, count(*) AS diffs FROM one GROUP BY ALL""",
+    "default_equivalents": """
+WITH t AS (SELECT line_number, generate_subscripts(tools, 1) - 1 AS i, unnest(tools).function AS f FROM canonical_samples),
+p AS (SELECT line_number, i, f.name AS tool, e.key AS path, json_type(e.value, '$.default') AS ty FROM t, json_each(CASE WHEN json_type(f.parameters::JSON, '$.properties') = 'OBJECT' THEN f.parameters::JSON->'$.properties' ELSE '{}'::JSON END) e)
+SELECT DISTINCT line_number, tool, i::INTEGER AS gold_call_index, path, CASE WHEN line_number % 4 < 2 THEN 'missing_argument' ELSE 'extra_argument' END AS type FROM p
+WHERE line_number % 2 = 0 AND ty NOT IN ('OBJECT', 'ARRAY') AND tool IS NOT NULL""",
+    "identifier_values": rf"""
+WITH c AS (SELECT line_number, generate_subscripts(assistant.tool_calls, 1) - 1 AS call, unnest(assistant.tool_calls).function.arguments::JSON AS a FROM canonical_samples),
+l AS (SELECT line_number, call, substr(t.fullkey, 3) AS path, t.atom->>'$' AS v FROM c, json_tree(c.a) t WHERE t.type = 'VARCHAR'),
+f AS (SELECT *, regexp_replace(lower(path), '[^a-z0-9]', '', 'g') AS name, regexp_matches(v, '^(?i)[a-z][a-z0-9+.-]*:\S+$') AS uri, regexp_matches(v, '[A-Za-z]') AND regexp_matches(v, '[0-9]') AS mixed FROM l),
+r AS (SELECT line_number, call::INTEGER AS call, path, uri OR (mixed AND length(v) >= 10) OR regexp_matches(name, '{"|".join(evidence.OPAQUE_PARTS)}') AS loose,
+  uri OR (mixed AND regexp_matches(v, '^[A-Za-z0-9_.:+/-]{{10,}}$')) OR name IN {evidence.OPAQUE_PARTS} OR regexp_matches(name, '({"|".join(evidence.OPAQUE_ENDS)})$') AS strict FROM f)
+SELECT * FROM r WHERE loose OR strict""",
+    "error_histogram": f"""WITH RECURSIVE {_score_sql()}, e AS (SELECT unnest(errs) AS label FROM sc0)
 SELECT f.label, f.ord, (SELECT count(*) FROM e WHERE e.label = f.label) AS n FROM {_LABELS}""",
-    "mode_histogram": f"""WITH {_score_sql()}
+    "mode_histogram": f"""WITH RECURSIVE {_score_sql()}
 SELECT f.label, f.ord, (SELECT count(*) FROM mo0 WHERE mode = f.label) AS n FROM (VALUES ('tool', 0), ('text', 1), ('mixed', 2), ('invalid', 3)) AS f(label, ord)""",
-    "failure_summary": f"""WITH {_score_sql()}
+    "failure_summary": f"""WITH RECURSIVE {_score_sql()}
 SELECT count(*) AS failures, count(*) FILTER (len(errs) > 1) AS multi_label, count(*) FILTER (len(errs) = 0) AS unlabeled FROM sc0 WHERE tool AND NOT full_call_exact""",
-    "transitions": f"""WITH {_score_sql()}, {_score_sql(1)}, {_TRANS},
+    "transitions": f"""WITH RECURSIVE {_score_sql()}, {_score_sql(1)}, {_TRANS},
 g AS (SELECT source, call_kind, count(*) AS samples, count(*) FILTER (transition = 'both_correct') AS both_correct, count(*) FILTER (transition = 'fixed') AS fixed,
   count(*) FILTER (transition = 'regressed') AS regressed, count(*) FILTER (transition = 'both_wrong') AS both_wrong FROM ta GROUP BY ROLLUP (source, call_kind))
 SELECT *, fixed - regressed AS net, fixed / nullif(fixed + both_wrong, 0) AS fix_rate, regressed / nullif(regressed + both_correct, 0) AS regression_rate FROM g""",
-    "transition_errors": f"""WITH {_score_sql()}, {_score_sql(1)}, {_TRANS},
+    "transition_errors": f"""WITH RECURSIVE {_score_sql()}, {_score_sql(1)}, {_TRANS},
 e AS (SELECT transition, unnest(CASE transition WHEN 'fixed' THEN be ELSE ce END) AS label FROM ta WHERE transition IN ('fixed', 'regressed'))
 SELECT t.transition, f.label, (SELECT count(*) FROM e WHERE e.transition = t.transition AND e.label = f.label) AS n FROM (VALUES ('fixed'), ('regressed')) AS t(transition), {_LABELS}""",
     "call_pairing": f"WITH {_ALTERED} SELECT line_number, analysis_status, exact_pairs::INTEGER AS exact_pairs, pairs::INTEGER AS pairs, ambiguous::INTEGER AS ambiguous FROM ss",
@@ -335,6 +387,9 @@ SELECT t.transition, f.label, (SELECT count(*) FROM e WHERE e.transition = t.tra
   UNION ALL SELECT line_number, 'partial_argument_analysis' FROM ss WHERE unmatched)
 SELECT f.label, f.ord, (SELECT count(DISTINCT line_number) FROM d WHERE d.label = f.label) AS samples, (SELECT count(*) FROM df WHERE df.type = f.label) AS occurrences
 FROM (VALUES {', '.join(f"('{x}', {i})" for i, x in enumerate(diff.DIAGNOSTICS))}) AS f(label, ord)""",
+    "diff_cooccurrence": f"""WITH {_ALTERED}, d AS (SELECT DISTINCT line_number, type AS label FROM df WHERE type IS NOT NULL UNION ALL SELECT line_number, 'ambiguous_call_pairing' FROM ss WHERE ambiguous > 0
+  UNION ALL SELECT line_number, 'partial_argument_analysis' FROM ss WHERE unmatched), o AS (SELECT line_number, label, ord FROM d JOIN (VALUES {', '.join(f"('{x}', {i})" for i, x in enumerate(diff.DIAGNOSTICS))}) AS f(label, ord) USING (label))
+SELECT a.label AS left, b.label AS right, count(*) AS samples FROM o a JOIN o b ON a.line_number = b.line_number AND a.ord < b.ord GROUP BY ALL""",
     "wrong_value_types": f"""WITH {_ALTERED}
 SELECT CASE WHEN gk IN ('integer', 'number') THEN 'number' ELSE gk END AS value_type, count(DISTINCT line_number) AS samples, count(*) AS diffs FROM df WHERE type = 'wrong_value' GROUP BY 1""",
     "literal_in_query": r"""

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from callframe.functions.skew import lookup_join
 from callframe.functions.staging import stage
-from callframe.functions.text import user_text
-from callframe.operators import align, calls, diff, export, predict, repair, score, split, validate
+from callframe.functions.text import group_key, user_text
+from callframe.operators import align, calls, diff, export, normalize, predict, profile, repair, sampling, score, split, validate
 
 PROTOCOL = {"tags": "<tool_call>", "repair": False, "case_sensitive": True, "matching": "multiset", "array_order": "strict"}
 
@@ -44,7 +44,7 @@ def compare_runs(base: DataFrame, candidate: DataFrame, keep: tuple[str, ...] =
     aligned = stage(align.align(base, candidate, keep=keep), "aligned")
     wrong = diff.pair_calls(candidate.filter(F.array_contains("errors", "argument_mismatch")))
     diffs = stage(diff.argument_diffs(wrong), "diffs")
-    diagnosed = diff.diagnose(wrong)
+    diagnosed = diff.diagnose(wrong, diffs=diffs)
     return {
         "transitions": align.transition_summary(aligned, *keep),
         "transition_errors": align.transition_errors(aligned, score.ERRORS),
@@ -83,6 +83,29 @@ def prepare(samples: DataFrame, heldout: DataFrame, repaired_ids: DataFrame | No
     }
 
 
+def profile_samples(samples: DataFrame) -> dict[str, DataFrame]:
+    """Everything a first look at a data set needs: counters, role sequences, categories, kinds of arguments, repeated requests."""
+    keyed = samples.select("line_number", group_key(user_text("messages")).alias("group_key"))
+    return {
+        "counters": profile.call_counters(samples),
+        "roles": profile.role_sequences(samples),
+        "categories": sampling.most_common(samples.select("line_number", F.col("metadata.category").alias("category")), "category", "line_number", 10),
+        "arguments": profile.value_kinds(samples.select(F.explode("assistant.tool_calls.function.arguments").alias("a")), "a"),
+        "tools": split.tool_frequency(samples),
+        "repeated": profile.repeated_later(keyed, "group_key", "line_number"),
+    }
+
+
+def accept_parsed(converted: DataFrame, raw: DataFrame, key: str = "id") -> dict[str, DataFrame]:
+    """Acceptance of a parser: every raw row comes out once, good or in the error log, and good rows meet the contract."""
+    good, errors = normalize.split_errors(converted)
+    if good.count() + errors.count() != raw.count():
+        raise ValueError("rows were lost or repeated")
+    _unique(good, "sample_id", "parsed samples")
+    numbered = good.withColumn("line_number", F.monotonically_increasing_id())
+    return {"status": validate.summarize(validate.validate(validate.canonical_lines(numbered))), "errors": errors}
+
+
 def requests(samples: DataFrame) -> DataFrame:
     """(sample_id, request): user texts of samples."""
     return samples.select("sample_id", user_text("messages").alias("request"))

@@ -46,7 +46,7 @@ _AS_JSON = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regex
   '\bTrue\b', 'true', 'g'), '\bFalse\b', 'false', 'g'), '\bNone\b', 'null', 'g'), '([:,\[(]\s*)\(([^()]*)\)', '\1[\2]', 'g'), ',\s*([}\]])', '\1', 'g')"""
 
 #: Value of a body as JSON and the issue of layer 1: strict, without the escaped line breaks at its ends, or as a Python literal.
-_VALUES = rf"""
+VALUES = rf"""
 p AS (SELECT call_id, sample_id, raw_content AS raw, regexp_replace(regexp_replace(raw_content, '^\\n', ''), '\\n$', '') AS b FROM tool_call_parses),
 q AS (SELECT *, coalesce(json_valid(raw), false) AS strict, raw <> b AND coalesce(json_valid(b), false) AS edged, {_AS_JSON} AS j FROM p),
 v AS (SELECT *, NOT strict AND NOT edged AND coalesce(json_valid(j) AND json_type(CASE WHEN json_valid(j) THEN j END) = 'OBJECT', false) AS lit FROM q),
@@ -58,9 +58,9 @@ i AS (SELECT *, CASE WHEN v IS NULL THEN [] WHEN ty <> 'OBJECT' THEN ['invalid_t
   CASE WHEN ta IS NULL THEN 'missing_arguments' WHEN ta <> 'OBJECT' THEN 'invalid_arguments_type' END], lambda x: x IS NOT NULL) END AS layer_2 FROM t)"""
 
 ORACLES = {
-    "p1_found": f"""WITH {_VALUES}
+    "p1_found": f"""WITH {VALUES}
 SELECT call_id, layer_1 AS reason FROM i WHERE layer_1 IS NOT NULL UNION ALL SELECT call_id, unnest(layer_2) FROM i""",
-    "p1_loaded": f"""WITH {_VALUES}
+    "p1_loaded": f"""WITH {VALUES}
 SELECT call_id, CASE WHEN tn = 'VARCHAR' THEN v->>'$.name' END AS name, (v->'$.arguments')::VARCHAR AS arguments FROM i WHERE layer_1 IS NULL AND len(layer_2) = 0""",
     "p2_found": """
 WITH RECURSIVE texts AS (

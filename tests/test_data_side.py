@@ -266,6 +266,96 @@ def test_exact_group_split():
     assert n == [90, 5, 5] and parts == split.shuffled_90_5_5([f"g{i}" for i in reversed(range(100))])
 
 
+def test_seeded_split_is_the_list_function(spark):
+    rows = [(i, "ab"[i % 2], f"g{i * 7 % 90}{'ab'[i % 2]}") for i in range(400)]
+    got = split.seeded_split(spark.createDataFrame(rows, "line_number int, source string, group_key string").repartition(5)).collect()
+    want = {}
+    for s in "ab":
+        want |= split.shuffled_90_5_5([g for _, x, g in rows if x == s])
+    assert len(got) == 400 and all(r.split == want[r.group_key] for r in got) and len({r.split for r in got}) == 3
+    for bad in ([(1, "a", "g"), (2, "b", "g")], [(1, None, "g")], [(1, "a", "g"), (2, "a", "h")]):
+        with pytest.raises(ValueError):
+            split.seeded_split(spark.createDataFrame(bad, "line_number int, source string, group_key string"))
+
+
+def test_whole_split(spark, samples, row):
+    rows = [row(i, f"s{i}", text=f"request {i // 2} {i % 2}", tools=[(f"t{i % 13}", "{}")], source="xlam" if i % 2 else "hermes") for i in range(300)]
+    held, out = split.split_dataset(samples(*rows), least=5, share=0.2)
+    out = out.collect()
+    assert held and len(out) == 300
+    for r in out:
+        assert (r.split == "test_unseen_tools") == bool(set(r.tool_names) & set(held))
+    assert len({(r.group_key, r.split) for r in out}) == len({r.group_key for r in out})
+
+
+def test_first_delivery(spark):
+    df = spark.createDataFrame([(3, "a", 1), (1, "a", 2), (2, None, 3), (4, None, 4), (5, "b", 5)], "line_number int, sample_id string, _x int")
+    assert sorted(r.line_number for r in split.first_delivery(df).collect()) == [1, 2, 4, 5]
+
+
+def test_plans_have_no_group_in_one_task(spark, samples, row):
+    df = samples(row(1, "a"), row(2, "a"))
+    plan = lambda d: d._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan(split.first_delivery(df))
+    assert "Window" not in plan(profile.repeated_later(df.select("line_number", "sample_id"), "sample_id", "line_number"))
+    assert "WindowGroupLimit" in plan(sampling.top_per_group(df, ["source"], ["line_number"], 2))
+    docs = spark.createDataFrame([(i, "xy"[i % 2]) for i in range(20)], "k int, s string")
+    assert "WindowGroupLimit" in plan(sampling.stratified_sample(docs, "s", "k", 4, 1))
+
+
+def test_all_repairs_of_samples(spark, samples, row):
+    tool = '{"type":"object","properties":{"q":{"type":"string","enum":[null]}}}'
+    text = '<tools>[{"type":"function","function":{"name":"g","parameters":{}}}]</tools>'
+    df = samples(row(1, "a", tools=[("f", tool)], calls=[("f", '{"q":"x"}')]), row(2, "b"), row(3, "c"), row(4, "d", tools=[("f", "{}")]), row(9, "a"))
+    df = df.withColumn("system_texts", F.when(F.col("sample_id").isin("b", "c"), F.array(F.lit(text))).otherwise(F.array().cast("array<string>")))
+    bodies = [
+        (1, "a", '\\n{"name":"f","arguments":{"q":"x"}}'),
+        (2, "a", "{'arguments':{'name':'f'}}"),
+        (3, "b", '{"arguments":{"name":"g"}}'),
+        (4, "c", '{"name":"other","arguments":{}}'),
+        (5, "d", "broken"),
+        (6, "e", '{"arguments":{"name":"g"}}'),
+        (7, None, "{}"),
+    ]
+    made = spark.createDataFrame(bodies, "call_id bigint, sample_id string, raw_content string")
+    evidence = calls.investigate_enums(spark.createDataFrame([("f", tool)], "tool_name string, parameters string"), spark.createDataFrame([("f", '{"q":"x"}')], "tool_name string, arguments string"))
+    done, tools, log = repair.repair_samples(made, df, evidence)
+    got = {r.sample_id: (r.status, dict(r.repair_counts), r.failure) for r in log.collect()}
+    assert got == {
+        "a": ("repaired", {"boundary_literal_escape": 1, "python_literal_syntax": 1, "nested_tool_name": 1, "removed_enum": 1}, None),
+        "b": ("repaired", {"recovered_tools": 1, "nested_tool_name": 1}, None),
+        "c": ("unchanged", {}, None),
+        "d": ("repair_failed", {}, "no_object"),
+        "e": ("repair_failed", {}, "nested_name_not_verified"),
+    }
+    assert done.count() == 7 and tools.filter("removed > 0").count() == 1
+    assert sorted(r.sample_id for r in repair.repaired_ids(log).collect()) == ["a", "b"]
+    assert {r.repair: (r.repairs, r.samples) for r in repair.log_summary(log).collect()}["nested_tool_name"] == (2, 2)
+    known = spark.createDataFrame([(x,) for x in "abcde"], "sample_id string")
+    repair.require_repaired(log, known)
+    with pytest.raises(ValueError):
+        repair.require_repaired(log, known.filter("sample_id <> 'b'"))
+    twice = evidence.unionByName(evidence.withColumn("removable", ~F.col("removable")))
+    with pytest.raises(ValueError):
+        repair.repair_samples(made, df, twice)
+
+
+def test_unions_and_buckets(spark):
+    a, b = spark.createDataFrame([(1, "x")], "k int, s string"), spark.createDataFrame([(2,)], "k int")
+    got = profile.union_in_order(first=a, second=b).collect()
+    assert sorted((r.k, r.s, r.candidate_source, r.source_order) for r in got) == [(1, "x", "first", 0), (2, None, "second", 1)]
+    df = spark.createDataFrame([("p", "x"), ("p", "x"), ("p", None), ("q", "z")], "g string, b string")
+    assert sorted((r.g, r.bucket, r.n, r.share) for r in profile.semantic_distribution(df, "b", ("x", "y"), "g").collect()) == [("p", "x", 2, 1.0), ("p", "y", 0, 0.0), ("q", "x", 0, 0.0), ("q", "y", 0, 0.0)]
+
+
+def test_ids_and_numbers_have_types(spark):
+    with pytest.raises(ValueError):
+        normalize.from_flat(spark.createDataFrame([(True, "q", "[]", "[]")], "id boolean, query string, answers string, tools string"))
+    queue = spark.createDataFrame([(0, "a")], "ordinal int, id string")
+    with pytest.raises(ValueError):
+        export.benchmark_results(queue, spark.createDataFrame([("a", "x", True)], "id string, raw_prediction string, latency boolean"))
+
+
 def test_split_checks(spark):
     df = spark.createDataFrame([("a", "train"), ("a", "test_seen"), ("b", "train"), ("b", "train"), (None, "train"), ("c", None)], "sample_id string, split string")
     got = {(r.left_split, r.right_split): r.shared for r in split.split_overlaps(df, "sample_id").collect()}

@@ -106,3 +106,31 @@ def test_layout(tmp_path, monkeypatch):
     assert layout.part("r", run="x", split="dev") == "r/run=x/split=dev"
     assert layout.shown(str(tmp_path / "a"), str(tmp_path)) == "a" and layout.shown("/x", str(tmp_path)) == "/x"
     assert layout.training_registry(["train"])["train"]["file_name"] == "train.jsonl"
+
+
+def test_profile_and_acceptance(spark, data):
+    from callframe.operators import normalize
+
+    s = spark.read.parquet(f"{data}/canonical_samples.parquet")
+    out = pipelines.profile_samples(s)
+    assert {r.counter: r.n for r in out["counters"].collect()}["rows"] == s.count() and out["roles"].count() and out["arguments"].count() and out["tools"].count()
+    raw = spark.createDataFrame([("1", "q", '[{"name":"f","arguments":{}}]', '[{"name":"f","description":"d","parameters":{}}]'), ("2", None, "[]", "[]")], "id string, query string, answers string, tools string")
+    got = pipelines.accept_parsed(normalize.from_flat(raw), raw)
+    assert got["errors"].count() == 1 and got["status"].filter("source IS NULL").first().total == 1
+    with pytest.raises(ValueError):
+        pipelines.accept_parsed(normalize.from_flat(raw), raw.union(raw))
+
+
+def test_cooccurrence(spark):
+    from callframe.operators import diff
+
+    df = spark.createDataFrame([(["missing_argument", "extra_argument", "wrong_value"],), (["missing_argument", "wrong_value"],), (["wrong_value"],), ([],)], "diagnostics array<string>")
+    assert {(r.left, r.right): r.samples for r in diff.cooccurrence(df).collect()} == {("missing_argument", "extra_argument"): 1, ("missing_argument", "wrong_value"): 2, ("extra_argument", "wrong_value"): 1}
+
+
+def test_workers_get_the_package(spark):
+    import __spark_entry__ as entry
+
+    entry.ship(spark)
+    entry.ship(spark)
+    assert [f for f in spark.sparkContext._python_includes] == ["callframe.zip"]
