@@ -43,7 +43,7 @@ COSINE = 0.30
 #: Items whose runs and passages a task holds at once.
 ITEMS = 5_000
 #: Passages in one matrix product.
-CHUNK = 2_000
+CHUNK = 1_000
 SEED = 11
 #: Least share of an item's words that a paraphrase has in order.
 LCS_SHARE = 0.6
@@ -281,9 +281,14 @@ class Items:
         d = p.project(space.scaled)
         cosine = (d @ self.latent) / np.maximum(np.linalg.norm(d, axis=1, keepdims=True), 1e-9)
         row, column = np.nonzero(cosine >= space.cosine)
-        key, of = np.unique(row * len(self.items) + self.owner[column], return_inverse=True)
-        most = np.full(len(key), -1.0)
-        np.maximum.at(most, of, cosine[row, column])
+        if not len(row):
+            return
+        key = row * len(self.items) + self.owner[column]
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        most = np.maximum.reduceat(cosine[row, column][order], first)
+        key = key[first]
         yield from zip((key // len(self.items)).tolist(), (key % len(self.items)).tolist(), most.tolist())
 
 
