@@ -14,6 +14,7 @@ import warnings
 from typing import Any
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,6 +40,15 @@ NODE = T.StructType(
 )
 
 
+def is_object(value: Column, path: str) -> Column:
+    """Whether a JSON text has an object at a path, and not a string that reads like one; false for NULL and what is no JSON.
+
+    VARIANT only tells the kind here. Texts beyond its size are taken by their first character.
+    """
+    at = F.schema_of_variant(F.try_variant_get(F.try_parse_json(value), path, "variant"))
+    return F.coalesce(at.startswith("OBJECT"), (F.length(value) > 1 << 24) & F.get_json_object(value, path).startswith("{"), F.lit(False))
+
+
 def kind_of(value: Any) -> str:
     """Kind of a parsed value; a boolean is never a number and 1.0 is no integer."""
     if value is None:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from callframe.functions.batched import batched
-from callframe.functions.jsonx import canon, kind_of, loads
+from callframe.functions.jsonx import canon, is_object, kind_of, loads
 from callframe.functions.schema_check import ENUM_EMPTY, ENUM_MISFIT, enum_sites, observed, schema_faults, value_issues
 from callframe.functions.skew import lookup_join
 from callframe.operators.predict import DATA_TAG, tag_bodies
@@ -60,7 +60,7 @@ def audit_names(parsed: DataFrame, names: str = "tool_names") -> DataFrame:
     """
     v = F.col("value")
     args = F.get_json_object(v, "$.arguments")
-    source = F.when(has_key(v, "name"), "top_level_name").when(has_key(args, "name"), "nested_arguments_name")
+    source = F.when(has_key(v, "name"), "top_level_name").when(is_object(v, "$.arguments") & has_key(args, "name"), "nested_arguments_name")
     candidate = F.when(F.col("name_source") == "top_level_name", F.get_json_object(v, "$.name")).when(F.col("name_source").isNotNull(), F.get_json_object(args, "$.name"))
     out = parsed.withColumn("name_source", source).withColumn("candidate_name", candidate)
     known = F.coalesce(F.array_contains(F.col(names), F.col("candidate_name")), F.lit(False))

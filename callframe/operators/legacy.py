@@ -13,8 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from callframe.functions.batched import batched
-from callframe.functions.jsonx import canon, literal, loads
-from callframe.operators.calls import has_key
+from callframe.functions.jsonx import canon, is_object, literal, loads
 
 #: How a body was read.
 MODES = ("strict_json", "escaped_boundary_json", "python_literal", "failed")
@@ -51,14 +50,14 @@ def lenient_call(bodies: pd.Series) -> pd.DataFrame:
 
 def structure(value: Column, names: Column) -> Column:
     """State of a call: normal, nested name repaired, unverifiable (no tools), not a listed tool, or invalid."""
-    args = F.get_json_object(value, "$.arguments")
-    is_object = F.coalesce(args.startswith("{"), F.lit(False))
-    nested = F.get_json_object(args, "$.name")
+    good = is_object(value, "$.arguments")
+    text = lambda path: F.when(F.schema_of_variant(F.try_variant_get(F.try_parse_json(value), path, "variant")) == "STRING", F.get_json_object(value, path))
+    nested = text("$.arguments.name")
     listed = F.coalesce(F.array_contains(names, nested), F.lit(False))
     return (
-        F.when(is_object & has_key(value, "name") & F.get_json_object(value, "$.name").isNotNull(), STRUCTURES[0])
-        .when(is_object & nested.isNotNull() & listed, STRUCTURES[1])
-        .when(is_object & nested.isNotNull() & (F.coalesce(F.size(names), F.lit(0)) <= 0), STRUCTURES[2])
-        .when(is_object & nested.isNotNull(), STRUCTURES[3])
+        F.when(good & text("$.name").isNotNull(), STRUCTURES[0])
+        .when(good & nested.isNotNull() & listed, STRUCTURES[1])
+        .when(good & nested.isNotNull() & (F.coalesce(F.size(names), F.lit(0)) <= 0), STRUCTURES[2])
+        .when(good & nested.isNotNull(), STRUCTURES[3])
         .otherwise(STRUCTURES[4])
     )

@@ -130,6 +130,43 @@ def normalized_flat(spark: SparkSession, d: str) -> DataFrame:
     return n.select("sample_id", F.size("messages").alias("messages"), F.col("tools")[0]["function"]["parameters"].alias("parameters"), F.size("assistant.tool_calls").alias("calls"), F.col("error").isNotNull().alias("failed"))
 
 
+def normalized_conversations(spark: SparkSession, d: str) -> DataFrame:
+    """Samples written as raw conversations and normalised again; every sixth has a second answer, which is an error."""
+    turn = lambda who, text: F.struct(F.lit(who).alias("from"), text.alias("value"))
+    users = F.transform(F.filter("messages", lambda m: m["role"] == "user"), lambda m: turn("human", m["content"]))
+    answer = F.array(turn("gpt", F.coalesce("assistant.content", F.lit(""))))
+    twice = F.when(F.col("line_number") % 6 == 0, answer).otherwise(F.array().cast("array<struct<`from`:string,value:string>>"))
+    items = F.concat(F.lit("["), F.array_join(F.transform("assistant.tool_calls", lambda c: F.concat(F.lit('{"name":"'), c["function"]["name"], F.lit('","arguments":'), c["function"]["arguments"], F.lit("}"))), ","), F.lit("]"))
+    nothing = F.lit(None).cast("string")
+    tool = F.lit('[{"type":"function","function":{"name":"t","description":"d","parameters":{"type":"object","properties":{}}}}]')
+    raw = _samples(spark, d).select(F.col("line_number").alias("id"), nothing.alias("category"), nothing.alias("subcategory"), nothing.alias("task"), tool.alias("tools"), F.concat(users, answer, twice).alias("conversations"), items.alias("call_items"))
+    n = normalize.from_conversations(raw)
+    return n.select("sample_id", F.size("messages").alias("messages"), F.size("tools").alias("tools"), F.size("assistant.tool_calls").alias("calls"), "assistant.content", F.col("error").isNotNull().alias("failed"))
+
+
+def benchmark_records(spark: SparkSession, d: str) -> DataFrame:
+    """Result records of the evaluation items, with the length of the text as the number of prompt tokens."""
+    items = table(spark, d, "eval_items")
+    queue = items.select(F.col("item_id").alias("ordinal"), F.col("entry_id").alias("id")).groupBy("id").agg(F.min("ordinal").alias("ordinal"))
+    made = items.groupBy(F.col("entry_id").alias("id")).agg(F.min("text").alias("raw_prediction")).withColumn("prompt_tokens", F.length("raw_prediction"))
+    return export.benchmark_results(queue, made)
+
+
+def written_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Splits written as JSON lines and read again: lines, errors and the highest line number, by split."""
+    path = f"{shared_dir(spark)}/lines-{uuid.uuid4().hex}"
+    files.write_lines(table(spark, d, "sample_splits").select("sample_id", "split", "source"), path)
+    lines = files.read_lines(spark, path, blank="reject")
+    return lines.groupBy(F.get_json_object("canon", "$.split").alias("split")).agg(F.count("*").alias("lines"), F.count("error").alias("errors"), F.count_distinct(F.get_json_object("canon", "$.sample_id")).alias("samples"))
+
+
+def batch_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """Calls whose sample was loaded in the same batch, by the key of both."""
+    keys = _samples(spark, d).select("batch_no", "sample_id", "source").groupBy("batch_no", "sample_id").agg(F.min("source").alias("source"))
+    rows = table(spark, d, "tool_call_parses").select("call_id", "batch_no", "sample_id")
+    return rows.join(keys, ["batch_no", "sample_id"]).select("call_id", "batch_no", "source")
+
+
 TYPES = ("str", "string", "int", "integer", "float", "number", "bool", "boolean", "list", "List", "array", "dict", "Dict", "object", "int, optional", "str, default 'x'", "Foo")
 
 
@@ -480,6 +517,10 @@ QUERIES = {
         repaired_calls,
         repair_summary,
         normalized_flat,
+        normalized_conversations,
+        benchmark_records,
+        written_lines,
+        batch_lookup,
         type_grammar,
         validation_status,
         validation_summary,
@@ -588,6 +629,7 @@ _COUNTERS = [
 def _oracles() -> dict[str, str]:
     from callframe.plans import checks_sql
     from callframe.plans.evaluation import _pred_sql
+    from callframe.plans.training import AS_JSON
 
     pairs = [("train", "dev_seen"), ("train", "test_seen"), ("train", "test_unseen_tools"), ("dev_seen", "test_seen"), ("dev_seen", "test_unseen_tools"), ("test_seen", "test_unseen_tools")]
     grid = "(VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in pairs) + ") AS g(left_split, right_split)"
@@ -615,6 +657,13 @@ SELECT 'xlam_' || line_number AS sample_id, CASE WHEN k < 3 THEN 2 END AS messag
   WHEN 1 THEN '{"properties":{"x":{"description":"n","items":{"type":"integer"},"type":"array"}},"required":["x"],"type":"object"}'
   WHEN 2 THEN '{"properties":{"x":{"description":"n","type":"string"}},"required":["x"],"type":"object"}' END AS parameters,
   CASE WHEN k < 3 THEN coalesce(len(assistant.tool_calls), 0) END::INTEGER AS calls, k = 3 AS failed FROM s""",
+        "normalized_conversations": """
+SELECT 'hermes_' || line_number AS sample_id, CASE WHEN ok THEN users + 1 END::INTEGER AS messages, CASE WHEN ok THEN 1 END::INTEGER AS tools, CASE WHEN ok THEN nc END::INTEGER AS calls, CASE WHEN ok AND nc = 0 THEN coalesce(assistant.content, '') END AS content, NOT ok AS failed
+FROM (SELECT *, line_number % 6 <> 0 AND users > 0 AS ok FROM (SELECT *, len(list_filter(messages, lambda m: m.role = 'user')) AS users, coalesce(len(assistant.tool_calls), 0) AS nc FROM canonical_samples))""",
+        "benchmark_records": "SELECT min(item_id) AS ordinal, entry_id AS id, min(text) AS result, length(min(text))::INTEGER AS input_token_count FROM eval_items GROUP BY entry_id",
+        "written_lines": "SELECT split, count(*) AS lines, 0::BIGINT AS errors, count(DISTINCT sample_id) AS samples FROM sample_splits GROUP BY split",
+        "batch_lookup": """
+SELECT call_id, batch_no, source FROM tool_call_parses JOIN (SELECT batch_no, sample_id, min(source) AS source FROM canonical_samples GROUP BY ALL) USING (batch_no, sample_id)""",
         "type_grammar": f"""
 SELECT r_regionkey, source_type, CASE trim(regexp_replace(regexp_replace(source_type, ',\\s*optional\\b', '', 'i'), ',\\s*default(\\s*=\\s*|\\s+).*$', '', 'i')) {names} END AS schema_type FROM region, {types}""",
         "contract_violations": """
@@ -705,6 +754,16 @@ p AS (SELECT sample_id, 'unlisted_call' AS category, len(list_filter(c, lambda x
 SELECT category, count(DISTINCT sample_id) AS samples, sum(n)::BIGINT AS occurrences FROM p WHERE n > 0 GROUP BY 1""",
         "error_sample": "SELECT call_id, error_type FROM tool_call_parses WHERE parse_success = false ORDER BY call_id LIMIT 200",
         "resumed_stream": "SELECT event_type, count(*) AS events, count(DISTINCT event_id) AS ids FROM events GROUP BY 1",
+        "legacy_modes": rf"""
+WITH p AS (SELECT call_id, sample_id, raw_content AS raw, regexp_extract(raw_content, '^(?s)((?:\s|\\[rnt])*)(.*?)((?:\s|\\[rnt])*)$', ['lead', 'b', 'tail']) AS x FROM tool_call_parses),
+e AS (SELECT call_id, sample_id, raw, x.b AS b, x.lead || x.tail AS ends FROM p),
+j AS (SELECT *, coalesce(json_valid(b), false) AS strict, {AS_JSON} AS j FROM e),
+v AS (SELECT *, CASE WHEN strict THEN b WHEN coalesce(json_valid(j), false) THEN j END::JSON AS v FROM j),
+k AS (SELECT sample_id, CASE WHEN coalesce(json_type(v), '') <> 'OBJECT' THEN 'failed' WHEN NOT strict THEN 'python_literal' WHEN regexp_matches(ends, '\\[rnt]') THEN 'escaped_boundary_json' ELSE 'strict_json' END AS mode, v FROM v),
+t AS (SELECT sample_id, list_transform(tools, lambda t: t.function.name) AS names FROM canonical_samples QUALIFY row_number() OVER (PARTITION BY sample_id ORDER BY line_number) = 1),
+s AS (SELECT mode, CASE WHEN mode = 'failed' OR coalesce(json_type(v, '$.arguments'), '') <> 'OBJECT' THEN 'invalid' WHEN json_type(v, '$.name') = 'VARCHAR' THEN 'normal' WHEN json_type(v, '$.arguments.name') IS DISTINCT FROM 'VARCHAR' THEN 'invalid'
+  WHEN list_contains(names, v->>'$.arguments.name') THEN 'nested_name_repaired' WHEN coalesce(len(names), 0) = 0 THEN 'nested_name_unverifiable' ELSE 'nested_name_not_in_candidates' END AS structure FROM k LEFT JOIN t USING (sample_id))
+SELECT mode, structure, count(*) AS calls FROM s GROUP BY ALL""",
         "value_kinds": """
 WITH a AS (SELECT unnest(assistant.tool_calls).function.arguments::JSON AS a FROM canonical_samples)
 SELECT CASE WHEN t.fullkey = '$' THEN '' ELSE substr(t.fullkey, 3) END AS path, CASE WHEN t.type IN ('UBIGINT', 'BIGINT', 'HUGEINT', 'UHUGEINT') THEN 'integer' WHEN t.type = 'DOUBLE' THEN 'number'

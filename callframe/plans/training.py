@@ -39,16 +39,26 @@ def p2_bridge(spark: SparkSession, d: str) -> DataFrame:
     return shred.bridge(_shredded(spark, d)).select("child", "record_id", "parent_index", hexed("node"), hexed("parent"), "ordinal", "path", "kind")
 
 
-QUERIES = {"p1_found": p1_found, "p1_loaded": p1_loaded, "p2_found": p2_found, "p2_nodes": p2_nodes, "p2_bridge": p2_bridge}
+def p2_places(spark: SparkSession, d: str) -> DataFrame:
+    """Every place of every record with its path and kind, from the bridge."""
+    return shred.bridge(_shredded(spark, d)).select("child", "record_id", "parent_index", "path", "kind")
+
+
+def p2_values(spark: SparkSession, d: str) -> DataFrame:
+    """The scalars of the store with how often each occurs in all records."""
+    return shred.distinct_nodes(_shredded(spark, d)).filter(~F.col("kind").isin("object", "array")).select("kind", "body", "occurrences")
+
+
+QUERIES = {"p1_found": p1_found, "p1_loaded": p1_loaded, "p2_found": p2_found, "p2_nodes": p2_nodes, "p2_bridge": p2_bridge, "p2_places": p2_places, "p2_values": p2_values}
 
 #: A Python literal written as JSON: quotes, constants, tuples and commas before a bracket; what that makes no JSON was no literal of a dict.
-_AS_JSON = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(b, '''([^''"\\]*)''', '"\1"', 'g'),
+AS_JSON = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(b, '''([^''"\\]*)''', '"\1"', 'g'),
   '\bTrue\b', 'true', 'g'), '\bFalse\b', 'false', 'g'), '\bNone\b', 'null', 'g'), '([:,\[(]\s*)\(([^()]*)\)', '\1[\2]', 'g'), ',\s*([}\]])', '\1', 'g')"""
 
 #: Value of a body as JSON and the issue of layer 1: strict, without the escaped line breaks at its ends, or as a Python literal.
 VALUES = rf"""
 p AS (SELECT call_id, sample_id, raw_content AS raw, regexp_replace(regexp_replace(raw_content, '^\\n', ''), '\\n$', '') AS b FROM tool_call_parses),
-q AS (SELECT *, coalesce(json_valid(raw), false) AS strict, raw <> b AND coalesce(json_valid(b), false) AS edged, {_AS_JSON} AS j FROM p),
+q AS (SELECT *, coalesce(json_valid(raw), false) AS strict, raw <> b AND coalesce(json_valid(b), false) AS edged, {AS_JSON} AS j FROM p),
 v AS (SELECT *, NOT strict AND NOT edged AND coalesce(json_valid(j) AND json_type(CASE WHEN json_valid(j) THEN j END) = 'OBJECT', false) AS lit FROM q),
 w AS (SELECT call_id, sample_id, CASE WHEN strict THEN NULL WHEN edged THEN 'boundary_literal_escape' WHEN lit THEN 'python_literal_syntax' ELSE 'unclassified_parse_failure' END AS layer_1,
   CASE WHEN strict THEN raw WHEN edged THEN b WHEN lit THEN j END::JSON AS v FROM v),
@@ -57,11 +67,25 @@ i AS (SELECT *, CASE WHEN v IS NULL THEN [] WHEN ty <> 'OBJECT' THEN ['invalid_t
   CASE WHEN tn IS NULL THEN CASE WHEN ta = 'OBJECT' AND tan IS NOT NULL THEN 'nested_tool_name' ELSE 'missing_tool_name' END END,
   CASE WHEN ta IS NULL THEN 'missing_arguments' WHEN ta <> 'OBJECT' THEN 'invalid_arguments_type' END], lambda x: x IS NOT NULL) END AS layer_2 FROM t)"""
 
+#: Every JSON text of the records as a document (child, record_id, parent_index, doc).
+_DOCS = """
+docs AS (
+  SELECT 'param' AS child, line_number AS record_id, i::INTEGER AS parent_index, t.function.parameters::JSON AS doc FROM (SELECT line_number, generate_subscripts(tools, 1) - 1 AS i, unnest(tools) AS t FROM canonical_samples)
+  UNION ALL SELECT 'argument', line_number, i::INTEGER, c.function.arguments::JSON FROM (SELECT line_number, generate_subscripts(assistant.tool_calls, 1) - 1 AS i, unnest(assistant.tool_calls) AS c FROM canonical_samples)
+  UNION ALL SELECT 'audit', audit_id, 0, to_json(argument_schema_validation) FROM tool_call_audits WHERE argument_schema_validation IS NOT NULL
+), places AS (
+  SELECT child, record_id, parent_index, t.fullkey, t.atom, CASE WHEN t.type IN ('UBIGINT', 'BIGINT', 'HUGEINT', 'UHUGEINT') THEN 'integer' WHEN t.type = 'DOUBLE' THEN 'number' WHEN t.type = 'VARCHAR' THEN 'string' ELSE lower(t.type) END AS kind
+  FROM docs, json_tree(doc) t WHERE doc IS NOT NULL)"""
+
 ORACLES = {
     "p1_found": f"""WITH {VALUES}
 SELECT call_id, layer_1 AS reason FROM i WHERE layer_1 IS NOT NULL UNION ALL SELECT call_id, unnest(layer_2) FROM i""",
     "p1_loaded": f"""WITH {VALUES}
 SELECT call_id, CASE WHEN tn = 'VARCHAR' THEN v->>'$.name' END AS name, (v->'$.arguments')::VARCHAR AS arguments FROM i WHERE layer_1 IS NULL AND len(layer_2) = 0""",
+    "p2_places": f"""WITH {_DOCS}
+SELECT child, record_id, parent_index, CASE WHEN fullkey = '$' THEN '' ELSE replace(regexp_replace(fullkey, '^\\$\\.?', ''), '"', '') END AS path, kind FROM places""",
+    "p2_values": f"""WITH {_DOCS}
+SELECT kind, atom::VARCHAR AS body, count(*) AS occurrences FROM (SELECT kind, coalesce(atom, 'null'::JSON) AS atom FROM places WHERE kind NOT IN ('object', 'array')) GROUP BY ALL""",
     "p2_found": """
 WITH RECURSIVE texts AS (
   SELECT DISTINCT t.tool.function.parameters AS txt

@@ -24,6 +24,7 @@ def test_extraction_numbers_calls_across_messages(spark):
         ('{"name":"f"}', [], ("f", "top_level_name", False, ["missing_tools"])),
         ('{"name":null}', ["f"], (None, "top_level_name", False, ["unknown_tool"])),
         ("[1]", ["f"], (None, None, False, ["missing_tool_name"])),
+        ('{"arguments":"{\\"name\\":\\"f\\"}"}', ["f"], (None, None, False, ["missing_tool_name"])),
         (None, None, (None, None, False, ["missing_tool_name"])),
     ],
 )

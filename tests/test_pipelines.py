@@ -73,6 +73,9 @@ def test_legacy_structure(spark):
         ('{"arguments":{"name":"f"}}', ["g"], "nested_name_not_in_candidates"),
         ('{"name":"f"}', ["f"], "invalid"),
         ('{"arguments":[],"name":"f"}', ["f"], "invalid"),
+        ('{"arguments":"{\\"name\\":\\"f\\"}","name":"f"}', ["f"], "invalid"),
+        ('{"arguments":"{\\"name\\":\\"f\\"}"}', ["f"], "invalid"),
+        ('{"arguments":{"name":7}}', ["f"], "invalid"),
         (None, None, "invalid"),
     ]
     df = spark.createDataFrame(rows, "v string, n array<string>, want string").withColumn("got", legacy.structure(F.col("v"), F.col("n")))
