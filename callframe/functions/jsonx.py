@@ -59,8 +59,11 @@ def kind_of(value: Any) -> str:
 _KINDS = {bool: "boolean", int: "integer", float: "number", str: "string", list: "array", dict: "object"}
 
 
+_CANON = json.JSONEncoder(ensure_ascii=False, sort_keys=True, separators=(",", ":"))
+
+
 def canon(value: Any) -> str:
-    return json.dumps(value, ensure_ascii=False, sort_keys=True, separators=(",", ":"))
+    return _CANON.encode(value)
 
 
 def _no_constant(name: str) -> Any:

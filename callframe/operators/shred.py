@@ -20,10 +20,10 @@ where one tree has a large share of all rows. Texts that are no JSON are rows of
 from __future__ import annotations
 
 import hashlib
-import json
 from collections.abc import Iterator
 from typing import Any, NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -53,9 +53,9 @@ def identities(value: Any) -> dict[int, tuple[bytes, str, str]]:
             continue
         kind = kind_of(v)
         if isinstance(v, dict):
-            body = json.dumps({k: out[id(v[k])][0].hex() for k in sorted(v)}, ensure_ascii=False, separators=(",", ":"))
+            body = canon({k: out[id(x)][0].hex() for k, x in v.items()})
         elif isinstance(v, list):
-            body = json.dumps([out[id(x)][0].hex() for x in v], separators=(",", ":"))
+            body = canon([out[id(x)][0].hex() for x in v])
         else:
             body = canon(v)
         out[id(v)] = (_digest(kind, body), kind, body)
@@ -173,10 +173,25 @@ def _clean(text: str | None) -> str | None:
     return text if text is None else text.encode("utf-8", "backslashreplace").decode("utf-8")
 
 
+def _strings(values: list[str | None]) -> pa.Array:
+    try:
+        return pa.array(values, pa.string())
+    except UnicodeEncodeError:
+        return pa.array(map(_clean, values), pa.string())
+
+
+def _lists(column: tuple[list[tuple] | None, ...], kind: pa.StructType) -> pa.Array:
+    """Lists of tuples as an array of lists of structs, column by column; NULL is an empty list."""
+    flat = [x for rows in column if rows for x in rows]
+    ends = np.cumsum([0] + [len(rows) if rows else 0 for rows in column])
+    cols = [*zip(*flat)] if flat else [()] * kind.num_fields
+    parts = [_strings([*c]) if kind.field(i).type == pa.string() else pa.array(c, kind.field(i).type) for i, c in enumerate(cols)]
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(parts, fields=[*kind]))
+
+
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    cols = [*zip(*rows)]
-    tidy = {"members": lambda m: m and [x._replace(path=_clean(x.path))._asdict() for x in m], "flat": lambda f: f and [{"child": c, "at": i, "path": _clean(p)} for c, i, p in f], "body": _clean}
-    return pa.RecordBatch.from_arrays([pa.array(map(tidy[n], c) if n in tidy else c, t) for c, (n, t) in zip(cols, _FIELDS)], names=[n for n, _ in _FIELDS])
+    made = {"members": lambda c: _lists(c, _MEMBER), "flat": lambda c: _lists(c, _FLAT), "body": lambda c: _strings([*c])}
+    return pa.RecordBatch.from_arrays([made[n](c) if n in made else pa.array(c, t) for c, (n, t) in zip(zip(*rows), _FIELDS)], names=[n for n, _ in _FIELDS])
 
 
 class Shredded(NamedTuple):
