@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 #: A Han character is a word by itself; otherwise a longest run of letters and digits.
 WORD = re.compile(r"[一-鿿]|[^\W_一-鿿]+")
-WORD_JVM = r"[\x{4E00}-\x{9FFF}]|[\p{L}\p{N}&&[^\x{4E00}-\x{9FFF}]]+"
 
 #: Unicode white space as Python's str.split sees it (no-break and ideographic space too).
 SPACES = r"[\x{9}-\x{D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
@@ -42,14 +41,3 @@ def collapse_space(text: Column) -> Column:
 def group_key(text: Column) -> Column:
     """SHA-256 of the collapsed text: equal keys are equal requests."""
     return F.sha2(collapse_space(text), 256)
-
-
-def words_col(text: Column) -> Column:
-    """Words of a text as an array, in the JVM."""
-    return F.regexp_extract_all(F.lower(text), F.lit(WORD_JVM), F.lit(0))
-
-
-def title_tokens(name: Column) -> Column:
-    """camelCase and snake_case name as lower-case tokens."""
-    spaced = F.regexp_replace(name, r"([a-z0-9])([A-Z])", r"$1 $2")
-    return F.filter(F.split(F.lower(spaced), r"[^a-z0-9]+"), lambda t: t != "")

@@ -425,18 +425,42 @@ def error_sample(spark: SparkSession, d: str) -> DataFrame:
     return profile.error_sample(bad, "call_id")
 
 
-def resumed_stream(spark: SparkSession, d: str) -> DataFrame:
-    """events appended by two runs of a resumable stream, the second of which finds nothing to do."""
+def _resumed(spark: SparkSession, d: str, partition: str | None) -> DataFrame:
     base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     source = f"{d}/events.parquet"
     schema = spark.read.parquet(source).schema
     # A stream reads folders: the pattern matches the one file or the files below a folder.
     path = source if os.path.isdir(source) else f"{d}/event[s].parquet"
     for _ in range(2):
-        resume.stream_once(spark, path, schema, f"{base}/out", f"{base}/state", "event_id")
+        resume.stream_once(spark, path, schema, f"{base}/out", f"{base}/state", "event_id", partition)
     return spark.read.parquet(f"{base}/out").groupBy("event_type").agg(F.count("*").alias("events"), F.count_distinct("event_id").alias("ids"))
 
 
+def resumed_stream(spark: SparkSession, d: str) -> DataFrame:
+    """events appended by two runs of a resumable stream, the second of which finds nothing to do."""
+    return _resumed(spark, d, None)
+
+
+def resumed_by_category(spark: SparkSession, d: str) -> DataFrame:
+    """The same with a folder for each type of event."""
+    return _resumed(spark, d, "event_type")
+
+
+def generated(spark: SparkSession, d: str) -> DataFrame:
+    """Answers of a stand-in for a model to every evaluation item; it fails on every tenth, which keeps its row."""
+
+    def backend():
+        def answer(row: dict) -> str:
+            if row["item_id"] % 10 == 0:
+                raise RuntimeError("refused")
+            return f"{row['item_id']}:{len(row['text'])}"
+
+        return answer
+
+    items = table(spark, d, "eval_items").select("item_id", F.coalesce("text", F.lit("")).alias("text"))
+    return resume.generate(items, backend, ["item_id", "text"]).select("item_id", "raw_prediction", "error")
+
+
 def json_arguments(spark: SparkSession, d: str) -> DataFrame:
     """Strict parse of events.props: kind and number of members."""
     from callframe.functions.jsonx import json_strict
@@ -563,6 +587,8 @@ QUERIES = {
         problem_summary,
         error_sample,
         resumed_stream,
+        resumed_by_category,
+        generated,
         json_arguments,
         legacy_modes,
         value_kinds,
@@ -753,6 +779,8 @@ p AS (SELECT sample_id, 'unlisted_call' AS category, len(list_filter(c, lambda x
   UNION ALL SELECT sample_id, 'missing_parameters', len(list_filter(tools, lambda t: t.function.parameters IS NULL)) FROM s)
 SELECT category, count(DISTINCT sample_id) AS samples, sum(n)::BIGINT AS occurrences FROM p WHERE n > 0 GROUP BY 1""",
         "error_sample": "SELECT call_id, error_type FROM tool_call_parses WHERE parse_success = false ORDER BY call_id LIMIT 200",
+        "resumed_by_category": "SELECT event_type, count(*) AS events, count(DISTINCT event_id) AS ids FROM events GROUP BY 1",
+        "generated": "SELECT item_id, CASE WHEN item_id % 10 <> 0 THEN item_id || ':' || length(coalesce(text, '')) END AS raw_prediction, CASE WHEN item_id % 10 = 0 THEN 'RuntimeError: refused' END AS error FROM eval_items",
         "resumed_stream": "SELECT event_type, count(*) AS events, count(DISTINCT event_id) AS ids FROM events GROUP BY 1",
         "legacy_modes": rf"""
 WITH p AS (SELECT call_id, sample_id, raw_content AS raw, regexp_extract(raw_content, '^(?s)((?:\s|\\[rnt])*)(.*?)((?:\s|\\[rnt])*)$', ['lead', 'b', 'tail']) AS x FROM tool_call_parses),

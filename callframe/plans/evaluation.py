@@ -150,8 +150,17 @@ def literal_in_query(spark: SparkSession, d: str) -> DataFrame:
     return v.select("line_number", "call", "argument", evidence.plain_literal(F.col("value"), F.col("kind"), F.col("query")).alias("literal"))
 
 
+def bounded_in_query(spark: SparkSession, d: str) -> DataFrame:
+    """Scalars of each call at any depth that the user text holds by the rule of the grounding."""
+    from callframe.functions.text import user_text
+
+    s = table(spark, d, "canonical_samples").select("line_number", user_text("messages").alias("query"), F.posexplode("assistant.tool_calls.function.arguments").alias("call", "args"))
+    one = s.withColumn("x", F.explode(evidence.json_leaves("args"))).filter("x.kind <> 'null'")
+    return one.select("line_number", "call", "x.path", evidence.bounded_literal(F.col("x.text"), F.col("x.kind"), F.col("query")).alias("literal"))
+
+
 def evidence_rules(spark: SparkSession, d: str) -> DataFrame:
-    """First rule that grounds a value in a sentence written from lineitem numbers."""
+    """First rule that grounds a value in a sentence written from lineitem numbers; the values of every third line are off by one."""
     line = table(spark, d, "lineitem")
     k = F.pmod(F.col("l_orderkey") + F.col("l_linenumber"), F.lit(4))
     pct, n = F.round(F.col("l_discount") * 100).cast("int"), F.pmod(F.col("l_orderkey"), F.lit(9)).cast("int") + 2
@@ -161,7 +170,9 @@ def evidence_rules(spark: SparkSession, d: str) -> DataFrame:
         .when(k == 2, F.concat(F.lit("show page "), n.cast("string"), F.lit(" with 20 rows each")))
         .otherwise(F.concat(F.lit("ship it on "), F.date_format("l_shipdate", "MMMM d, yyyy"), F.lit(" please")))
     )
-    value = F.when(k == 0, (pct / 100).cast("decimal(4,2)").cast("string")).when(k == 1, (n * 12).cast("string")).when(k == 2, ((n - 1) * 20).cast("string")).otherwise(F.date_format("l_shipdate", "yyyy-MM-dd"))
+    off = F.when(F.col("l_linenumber") % 3 == 0, 1).otherwise(0)
+    day = F.date_add(F.col("l_shipdate").cast("date"), off)
+    value = F.when(k == 0, ((pct + off) / 100).cast("decimal(4,2)").cast("string")).when(k == 1, (n * 12 + off).cast("string")).when(k == 2, ((n - 1) * 20 + off).cast("string")).otherwise(F.date_format(day, "yyyy-MM-dd"))
     kind = F.when(k == 0, "number").when(k == 3, "string").otherwise("integer")
     schema = F.element_at(F.array(*map(F.lit, ("a fraction", "", "offset of the first row", "format yyyy-mm-dd"))), (k + 1).cast("int"))
     rows = line.select(k.alias("k"), text.alias("query"), value.alias("value"), kind.alias("kind"), schema.alias("schema"))
@@ -207,6 +218,19 @@ def repr_equivalence(spark: SparkSession, d: str) -> DataFrame:
     return p.select("p_partkey", evidence.equivalent_text(F.col("p_name"), copy).alias("same"))
 
 
+def argument_equivalence(spark: SparkSession, d: str) -> DataFrame:
+    """Arguments against a copy that is written otherwise (marks between words, 1.0 for 1) or differs (1 as text), by the rule for JSON values."""
+    s = table(spark, d, "canonical_samples").select("line_number", F.posexplode("assistant.tool_calls.function.arguments").alias("call", "a"))
+    k = F.col("line_number") % 4
+    copy = (
+        F.when(k == 0, F.regexp_replace("a", r'": "([a-z]+) ([a-z]+)"', '": "$1-$2!"'))
+        .when(k == 1, F.regexp_replace("a", r'": ?([0-9]+)([,}])', '": $1.0$2'))
+        .when(k == 2, F.regexp_replace("a", r'": ?([0-9]+)([,}])', '": "$1"$2'))
+        .otherwise(F.col("a"))
+    )
+    return s.select("line_number", "call", evidence.equivalent_json("a", copy).alias("same"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -226,12 +250,14 @@ QUERIES = {
         diff_cooccurrence,
         wrong_value_types,
         literal_in_query,
+        bounded_in_query,
         evidence_rules,
         grounded_diffs,
         default_equivalents,
         identifier_values,
         enriched_wrong_values,
         repr_equivalence,
+        argument_equivalence,
     )
 }
 
@@ -398,9 +424,29 @@ WITH s AS (SELECT line_number, lower(array_to_string(list_transform(list_filter(
 n AS (SELECT line_number, call, q, t.key AS argument, t.type AS ty, t.atom AS atom FROM s, json_each(s.a) t WHERE t.type NOT IN ('OBJECT', 'ARRAY', 'NULL', 'BOOLEAN'))
 SELECT line_number, call::INTEGER AS call, argument, CASE WHEN ty = 'VARCHAR' THEN contains(q, lower(atom->>'$'))
   ELSE regexp_matches(q, '(^|[^0-9.])' || replace(replace(atom::VARCHAR, '.', '\.'), '-', '\-') || '($|[^0-9.])') END AS literal FROM n""",
+    "bounded_in_query": rf"""
+WITH s AS (SELECT line_number, trim(regexp_replace(lower(array_to_string(list_transform(list_filter(messages, lambda m: m.role = 'user'), lambda m: m.content), chr(10))), '[\x{{9}}-\x{{D}}\x{{1C}}-\x{{20}}\x{{85}}\x{{A0}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}]+', ' ', 'g')) AS q,
+  generate_subscripts(assistant.tool_calls, 1) - 1 AS call, unnest(assistant.tool_calls).function.arguments::JSON AS a FROM canonical_samples),
+l AS (SELECT line_number, call, q, t.fullkey, t.type AS ty, CASE WHEN t.type = 'VARCHAR' THEN lower(trim(regexp_replace(t.atom->>'$', '\s+', ' ', 'g'))) ELSE t.atom::VARCHAR END AS v FROM s, json_tree(s.a) t WHERE t.type NOT IN ('OBJECT', 'ARRAY', 'NULL')),
+e AS (SELECT *, regexp_replace(v, '([^\p{{L}}\p{{N}}_ ])', '\\\1', 'g') AS x FROM l),
+n AS (SELECT *, '(^|[^0-9.])' AS lead, '($|[^0-9.]|\.$|\.[^0-9])' AS tail FROM e)
+SELECT line_number, call::INTEGER AS call, CASE WHEN fullkey = '$' THEN '' ELSE replace(regexp_replace(fullkey, '^\$\.?', ''), '"', '') END AS path, CASE
+  WHEN ty = 'VARCHAR' THEN v <> '' AND CASE WHEN v IN {evidence.AMBIGUOUS} THEN contains(q, '''' || v || '''') OR contains(q, '"' || v || '"') OR contains(q, '`' || v || '`')
+    WHEN regexp_full_match(v, '[\p{{L}}\p{{N}}_-]+') THEN regexp_matches(q, '(^|[^\p{{L}}\p{{N}}_])' || x || '($|[^\p{{L}}\p{{N}}_])') ELSE contains(q, v) END
+  WHEN ty = 'BOOLEAN' THEN regexp_matches(q, '(^|[^\p{{L}}\p{{N}}_])' || x || '($|[^\p{{L}}\p{{N}}_])')
+  ELSE regexp_matches(q, lead || x || tail) OR (regexp_matches(v, '^-?[0-9]+\.0+$') AND regexp_matches(q, lead || regexp_replace(x, '\\\.0+$', '') || tail)) END AS literal FROM n""",
     "evidence_rules": """
-WITH r AS (SELECT (l_orderkey + l_linenumber) % 4 AS k, round(l_discount * 100)::INTEGER AS pct, (l_orderkey % 9)::INTEGER + 2 AS n FROM lineitem)
-SELECT k, CASE k WHEN 0 THEN 'percentage' WHEN 1 THEN 'dozen' WHEN 2 THEN 'pagination' ELSE 'date' END AS rule, count(*) AS n FROM r GROUP BY ALL""",
+WITH r AS (SELECT (l_orderkey + l_linenumber) % 4 AS k, l_linenumber % 3 = 0 AS off FROM lineitem)
+SELECT k, CASE WHEN off THEN 'none' WHEN k = 0 THEN 'percentage' WHEN k = 1 THEN 'dozen' WHEN k = 2 THEN 'pagination' ELSE 'date' END AS rule, count(*) AS n FROM r GROUP BY ALL""",
+    "argument_equivalence": r"""
+WITH s AS (SELECT line_number, generate_subscripts(assistant.tool_calls, 1) - 1 AS call, unnest(assistant.tool_calls).function.arguments AS a FROM canonical_samples),
+x AS (SELECT line_number, call, a::JSON AS g, (CASE line_number % 4 WHEN 0 THEN upper_text WHEN 1 THEN regexp_replace(a, '": ?([0-9]+)([,}])', '": \1.0\2', 'g') WHEN 2 THEN regexp_replace(a, '": ?([0-9]+)([,}])', '": "\1"\2', 'g') ELSE a END)::JSON AS p
+  FROM (SELECT *, regexp_replace(a, '": "([a-z]+) ([a-z]+)"', '": "\1-\2!"', 'g') AS upper_text FROM s)),
+n AS (SELECT *, (SELECT string_agg(t.fullkey || ':' || CASE t.type WHEN 'VARCHAR' THEN 's' || regexp_replace(lower(t.atom->>'$'), '[^\p{L}\p{N}]+', '', 'g') WHEN 'OBJECT' THEN 'o' WHEN 'ARRAY' THEN 'a' WHEN 'BOOLEAN' THEN t.atom::VARCHAR WHEN 'NULL' THEN 'null'
+  ELSE 'n' || (t.atom::VARCHAR::DOUBLE)::VARCHAR END, '|' ORDER BY t.fullkey) FROM json_tree(g) t) AS gs,
+  (SELECT string_agg(t.fullkey || ':' || CASE t.type WHEN 'VARCHAR' THEN 's' || regexp_replace(lower(t.atom->>'$'), '[^\p{L}\p{N}]+', '', 'g') WHEN 'OBJECT' THEN 'o' WHEN 'ARRAY' THEN 'a' WHEN 'BOOLEAN' THEN t.atom::VARCHAR WHEN 'NULL' THEN 'null'
+  ELSE 'n' || (t.atom::VARCHAR::DOUBLE)::VARCHAR END, '|' ORDER BY t.fullkey) FROM json_tree(p) t) AS ps FROM x)
+SELECT line_number, call::INTEGER AS call, gs = ps AS same FROM n""",
     "repr_equivalence": """
 SELECT p_partkey, regexp_replace(lower(p_name), '[^\\p{L}\\p{N}]+', '', 'g') = regexp_replace(lower(CASE p_partkey % 3 WHEN 0 THEN upper(replace(p_name, ' ', '-')) WHEN 1 THEN p_name || '!' ELSE p_name || ' x' END),
   '[^\\p{L}\\p{N}]+', '', 'g') AS same FROM part""".replace("\\\\", "\\"),
