@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from callframe.functions.skew import lookup_join
-from callframe.functions.staging import shared_dir, stage
+from callframe.functions.staging import put, shared_dir, stage
 from callframe.functions.text import group_key, user_text
 from callframe.operators import align, calls, export, legacy, normalize, predict, profile, repair, sampling, split, validate
 from callframe.plans.evaluation import predictions
@@ -130,6 +130,43 @@ def normalized_flat(spark: SparkSession, d: str) -> DataFrame:
     return n.select("sample_id", F.size("messages").alias("messages"), F.col("tools")[0]["function"]["parameters"].alias("parameters"), F.size("assistant.tool_calls").alias("calls"), F.col("error").isNotNull().alias("failed"))
 
 
+def _array_file(spark: SparkSession, rows: DataFrame) -> str:
+    """Path of a file with one JSON array of the rows, which are few."""
+    path = f"{shared_dir(spark)}/array-{uuid.uuid4().hex}.json"
+    texts = [r[0] for r in rows.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"})).collect()]
+    put(spark, path, ("[" + ",\n".join(texts) + "]").encode())
+    return path
+
+
+def _loaded(spark: SparkSession, rows: DataFrame, schema: str) -> DataFrame:
+    return files.read_json_array(spark, _array_file(spark, rows)).select(F.from_json("value", schema).alias("r")).select("r.*")
+
+
+def loaded_flat(spark: SparkSession, d: str) -> DataFrame:
+    """Evaluation items (240, fixed) as a file of the flat source: read as an array, parsed and normalised; every seventh has broken answers."""
+    answers = F.when(F.col("item_id") % 7 == 0, "[{").otherwise('[{"name":"f","arguments":{"n":1}}]')
+    tools = F.lit('[{"name":"f","description":"d","parameters":{"n":{"type":"int","description":"n"}}}]')
+    rows = table(spark, d, "eval_items").select(F.col("item_id").alias("id"), F.col("text").alias("query"), answers.alias("answers"), tools.alias("tools"))
+    n = normalize.from_flat(_loaded(spark, rows, "id bigint, query string, answers string, tools string"))
+    return n.select("sample_id", F.try_element_at("messages", F.lit(2))["content"].alias("query"), F.size("assistant.tool_calls").alias("calls"), F.col("error").isNotNull().alias("failed"))
+
+
+def loaded_conversations(spark: SparkSession, d: str) -> DataFrame:
+    """Evaluation items (240, fixed) as a file of conversations: read as an array, their calls extracted, parsed and normalised; every seventh call is broken."""
+    turn = lambda who, text: F.struct(F.lit(who).alias("from"), text.alias("value"))
+    body = F.when(F.col("item_id") % 7 == 0, "{bad").otherwise('{"name":"f","arguments":{"n":1}}')
+    tag = F.concat(F.lit("<tool_call>"), body, F.lit("</tool_call>"))
+    tools = F.lit('[{"type":"function","function":{"name":"f","description":"d","parameters":{"type":"object","properties":{}}}}]')
+    rows = table(spark, d, "eval_items").select(F.col("item_id").cast("string").alias("id"), tools.alias("tools"), F.array(turn("human", F.coalesce("text", F.lit(""))), turn("gpt", tag)).alias("conversations"))
+    raw = stage(_loaded(spark, rows, "id string, tools string, conversations array<struct<`from` string, value string>>"), "raw")
+    nothing = F.lit(None).cast("string")
+    made = calls.extract_calls(raw, key="id").withColumn("call_id", F.col("sample_id").cast("bigint"))
+    parsed = calls.parse_calls(made, "call_id", ("sample_id",)).filter("ok").groupBy("sample_id").agg(F.concat(F.lit("["), F.array_join(F.collect_list("value"), ","), F.lit("]")).alias("call_items"))
+    joined = raw.join(parsed.withColumnRenamed("sample_id", "id"), "id", "left").withColumns({"category": nothing, "subcategory": nothing, "task": nothing})
+    n = normalize.from_conversations(joined)
+    return n.select("sample_id", F.size("assistant.tool_calls").alias("calls"), F.col("assistant.content").isNotNull().alias("text_left"), F.col("error").isNotNull().alias("failed"))
+
+
 def normalized_conversations(spark: SparkSession, d: str) -> DataFrame:
     """Samples written as raw conversations and normalised again; every sixth has a second answer, which is an error."""
     turn = lambda who, text: F.struct(F.lit(who).alias("from"), text.alias("value"))
@@ -541,6 +578,8 @@ QUERIES = {
         repaired_calls,
         repair_summary,
         normalized_flat,
+        loaded_flat,
+        loaded_conversations,
         normalized_conversations,
         benchmark_records,
         written_lines,
@@ -683,6 +722,9 @@ SELECT 'xlam_' || line_number AS sample_id, CASE WHEN k < 3 THEN 2 END AS messag
   WHEN 1 THEN '{"properties":{"x":{"description":"n","items":{"type":"integer"},"type":"array"}},"required":["x"],"type":"object"}'
   WHEN 2 THEN '{"properties":{"x":{"description":"n","type":"string"}},"required":["x"],"type":"object"}' END AS parameters,
   CASE WHEN k < 3 THEN coalesce(len(assistant.tool_calls), 0) END::INTEGER AS calls, k = 3 AS failed FROM s""",
+        "loaded_flat": """
+SELECT 'xlam_' || item_id AS sample_id, CASE WHEN ok THEN text END AS query, CASE WHEN ok THEN 1 END::INTEGER AS calls, NOT ok AS failed FROM (SELECT *, item_id % 7 <> 0 AND text IS NOT NULL AS ok FROM eval_items)""",
+        "loaded_conversations": "SELECT 'hermes_' || item_id AS sample_id, CASE WHEN item_id % 7 = 0 THEN 0 ELSE 1 END::INTEGER AS calls, item_id % 7 = 0 AS text_left, false AS failed FROM eval_items",
         "normalized_conversations": """
 SELECT 'hermes_' || line_number AS sample_id, CASE WHEN ok THEN users + 1 END::INTEGER AS messages, CASE WHEN ok THEN 1 END::INTEGER AS tools, CASE WHEN ok THEN nc END::INTEGER AS calls, CASE WHEN ok AND nc = 0 THEN coalesce(assistant.content, '') END AS content, NOT ok AS failed
 FROM (SELECT *, line_number % 6 <> 0 AND users > 0 AS ok FROM (SELECT *, len(list_filter(messages, lambda m: m.role = 'user')) AS users, coalesce(len(assistant.tool_calls), 0) AS nc FROM canonical_samples))""",

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from callframe.functions.staging import shared_dir
 from callframe.operators import shred
 from callframe.sources import rejects
 from callframe.sources.tables import table
@@ -19,6 +22,24 @@ def p1_loaded(spark: SparkSession, d: str) -> DataFrame:
     return rejects.usable_calls(rejects.split_calls(table(spark, d, "tool_call_parses")))
 
 
+def p1_csv(spark: SparkSession, d: str) -> DataFrame:
+    """CSV files of all parts, of which four lines in ten are spoilt: typed rows and rejects with their reason, joined to the raw record."""
+    k = F.col("p_partkey") % 10
+    name = F.regexp_replace("p_name", '[",]', " ")
+    line = F.when(k == 3, F.concat_ws(",", "p_partkey", "p_size"))
+    line = line.when(k == 5, F.concat_ws(",", "p_partkey", "p_size", name, F.lit("more"))).when(k == 7, F.concat_ws(",", "p_partkey", F.lit("x"), name))
+    line = line.when(k == 9, F.concat_ws(",", "p_partkey", "p_size", F.concat(F.lit('"'), name, F.lit('" x')))).otherwise(F.concat_ws(",", "p_partkey", "p_size", name))
+    path = f"{shared_dir(spark)}/parts-{uuid.uuid4().hex}"
+    table(spark, d, "part").select(line.alias("value")).repartition(4, "p_partkey").write.text(path)
+    # The shared folder is mounted on the machines.
+    good, bad = rejects.read_csv_rejects(spark, f"{path.removeprefix('file://').removeprefix('file:')}/part-*", {"part": "BIGINT", "size": "INTEGER", "name": "VARCHAR"})
+    loaded = good.select("part", F.lit("loaded").alias("reason"), "size", "name")
+    # Of the errors of a line the first counts, as the reader meets them.
+    rejected = bad.groupBy("file", "line").agg(F.min_by("error_type", F.coalesce("column_name", F.lit(""))).alias("reason"), F.min("raw").alias("raw"))
+    parts = rejected.select(F.regexp_extract("raw", r"^(\d+)", 1).cast("bigint").alias("part"), "reason", F.lit(None).cast("int").alias("size"), F.lit(None).cast("string").alias("name"))
+    return loaded.unionByName(parts)
+
+
 def _shredded(spark: SparkSession, d: str) -> shred.Shredded:
     return shred.shred(shred.all_texts(table(spark, d, "canonical_samples"), table(spark, d, "tool_call_audits")))
 
@@ -49,7 +70,7 @@ def p2_values(spark: SparkSession, d: str) -> DataFrame:
     return shred.distinct_nodes(_shredded(spark, d)).filter(~F.col("kind").isin("object", "array")).select("kind", "body", "occurrences")
 
 
-QUERIES = {"p1_found": p1_found, "p1_loaded": p1_loaded, "p2_found": p2_found, "p2_nodes": p2_nodes, "p2_bridge": p2_bridge, "p2_places": p2_places, "p2_values": p2_values}
+QUERIES = {"p1_found": p1_found, "p1_loaded": p1_loaded, "p1_csv": p1_csv, "p2_found": p2_found, "p2_nodes": p2_nodes, "p2_bridge": p2_bridge, "p2_places": p2_places, "p2_values": p2_values}
 
 #: A Python literal written as JSON: quotes, constants, tuples and commas before a bracket; what that makes no JSON was no literal of a dict.
 AS_JSON = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(b, '''([^''"\\]*)''', '"\1"', 'g'),
@@ -82,6 +103,9 @@ ORACLES = {
 SELECT call_id, layer_1 AS reason FROM i WHERE layer_1 IS NOT NULL UNION ALL SELECT call_id, unnest(layer_2) FROM i""",
     "p1_loaded": f"""WITH {VALUES}
 SELECT call_id, CASE WHEN tn = 'VARCHAR' THEN v->>'$.name' END AS name, (v->'$.arguments')::VARCHAR AS arguments FROM i WHERE layer_1 IS NULL AND len(layer_2) = 0""",
+    "p1_csv": """
+SELECT p_partkey AS part, CASE p_partkey % 10 WHEN 3 THEN 'MISSING COLUMNS' WHEN 5 THEN 'TOO MANY COLUMNS' WHEN 7 THEN 'CAST' WHEN 9 THEN 'UNQUOTED VALUE' ELSE 'loaded' END AS reason,
+  CASE WHEN p_partkey % 10 NOT IN (3, 5, 7, 9) THEN p_size END AS size, CASE WHEN p_partkey % 10 NOT IN (3, 5, 7, 9) THEN regexp_replace(p_name, '[",]', ' ', 'g') END AS name FROM part""",
     "p2_places": f"""WITH {_DOCS}
 SELECT child, record_id, parent_index, CASE WHEN fullkey = '$' THEN '' ELSE replace(regexp_replace(fullkey, '^\\$\\.?', ''), '"', '') END AS path, kind FROM places""",
     "p2_values": f"""WITH {_DOCS}
