@@ -166,7 +166,8 @@ def mix(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER, bl
     `deviation` if that makes the mix longer.
     """
     spark = documents.sparkSession
-    counted = stage(token_counts(documents, tokenizer).join(targets.select("source").distinct(), "source", "left_semi"), "tokens")
+    wanted = documents.join(targets.select("source").distinct(), "source", "left_semi")  # before any text is tokenised
+    counted = stage(token_counts(wanted, tokenizer), "tokens")
     planned = plan(counted, targets)
     if deviation:
         planned = extend(planned, deviation, block)
