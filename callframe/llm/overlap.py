@@ -232,16 +232,24 @@ def expand(members: DataFrame, pairs: DataFrame) -> DataFrame:
     both sides gives (id, id).
     """
 
-    def side(flag: str, p: str, other: str) -> tuple[DataFrame, DataFrame]:
-        rows = members.filter(f"{flag} AND NOT empty").select(F.col("cls").alias(f"{p}_cls"), F.col("sample_id").alias(f"{p}_id"), F.col(other).alias(f"{p}_both"))
-        large = rows.groupBy(f"{p}_cls").count().filter(F.col("count") > BLOCK).select(f"{p}_cls", F.ceil(F.col("count") / BLOCK).cast("int").alias(f"{p}_blocks"))
-        cut = lookup_join(rows, large, f"{p}_cls", "left").withColumn(f"{p}_block", F.pmod(F.xxhash64(f"{p}_id"), F.coalesce(f"{p}_blocks", F.lit(1))).cast("int"))
-        return cut.drop(f"{p}_blocks"), large
-
-    (train, t_large), (evals, e_large) = side("in_train", "t", "in_eval"), side("in_eval", "e", "in_train")
-    each = lambda p: F.explode(F.sequence(F.lit(0), F.coalesce(f"{p}_blocks", F.lit(1)) - 1))
-    cells = pairs.join(t_large, "t_cls", "left").join(e_large, "e_cls", "left").withColumn("t_block", each("t")).withColumn("e_block", each("e")).drop("t_blocks", "e_blocks")
-    met = cells.join(evals, ["e_cls", "e_block"]).join(train, ["t_cls", "t_block"])
+    some = members.filter("NOT empty")
+    sizes = some.groupBy("cls").agg(F.count_if("in_train").alias("t"), F.count_if("in_eval").alias("e")).filter(F.greatest("t", "e") > BLOCK)
+    large = stage(sizes, "large-classes")
+    blocks = not large.isEmpty()
+
+    def side(flag: str, p: str, other: str) -> DataFrame:
+        rows = some.filter(flag).select(F.col("cls").alias(f"{p}_cls"), F.col("sample_id").alias(f"{p}_id"), F.col(other).alias(f"{p}_both"))
+        if not blocks:
+            return rows
+        n = large.select(F.col("cls").alias(f"{p}_cls"), F.ceil(F.greatest(F.col(p), F.lit(1)) / BLOCK).cast("int").alias("_n"))
+        return lookup_join(rows, n, f"{p}_cls", "left").withColumn(f"{p}_block", F.pmod(F.xxhash64(f"{p}_id"), F.coalesce("_n", F.lit(1))).cast("int")).drop("_n")
+
+    cells, t_keys, e_keys = pairs, ["t_cls"], ["e_cls"]
+    for p, keys in (("t", t_keys), ("e", e_keys)) if blocks else ():
+        n = large.select(F.col("cls").alias(f"{p}_cls"), F.ceil(F.greatest(F.col(p), F.lit(1)) / BLOCK).cast("int").alias("_n"))
+        cells = cells.join(n, f"{p}_cls", "left").withColumn(f"{p}_block", F.explode(F.sequence(F.lit(0), F.coalesce("_n", F.lit(1)) - 1))).drop("_n")
+        keys.append(f"{p}_block")
+    met = cells.join(side("in_eval", "e", "in_train"), e_keys).join(side("in_train", "t", "in_eval"), t_keys)
     # Two samples that are both on both sides meet twice.
     met = met.filter(~(F.col("t_both") & F.col("e_both")) | (F.col("t_id") <= F.col("e_id")))
     alone = members.filter("empty AND in_train AND in_eval").select(F.col("sample_id").alias("left_id"), F.col("sample_id").alias("right_id"))
