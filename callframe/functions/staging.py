@@ -15,10 +15,15 @@ _SHIPPED: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; it must be set, since only the cluster knows a folder that all machines share."""
+    """The folder that spark.checkpoint.dir names. Only in local mode (one machine, as in tests) may it be unset: then one below the working directory.
+
+    On a cluster it must be set, since only the cluster knows a folder that all machines share.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
-        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        named = "file://" + os.path.join(os.getcwd(), "spark-warehouse", "shared")
     return named.rstrip("/")
 
 

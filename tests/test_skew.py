@@ -51,13 +51,15 @@ def test_counting_hot_keys_leaves_the_big_side_alone(spark, sides):
     assert joined.columns
 
 
-def test_a_shared_folder_is_needed(spark):
-    class Nothing:
+def test_a_shared_folder_is_needed_on_a_cluster():
+    class Unset:
         conf = type("C", (), {"get": staticmethod(lambda *a: None)})
-        sparkContext = type("S", (), {"getConf": staticmethod(lambda: Nothing.conf)})
+        sparkContext = type("S", (), {"getConf": staticmethod(lambda: Unset.conf), "master": "spark://host:7077"})
 
     with pytest.raises(ValueError):
-        shared_dir(Nothing)
+        shared_dir(Unset)
+    Unset.sparkContext.master = "local[4]"
+    assert shared_dir(Unset).startswith("file:///")
 
 
 def test_release(spark):
