@@ -1,22 +1,31 @@
 """Same or near-same records across splits.
 
 Records with one set of words are one class. Classes that stand in train and classes that
-stand in an evaluation split meet in buckets of banded minwise hashes; pairs of a bucket
-whose one-bit sketches are far apart are dropped in the join, the others are verified by
-their exact Jaccard similarity, and confirmed class pairs are expanded to their members or
-counted by split and source without expanding them.
-
-BANDS and ROWS miss a pair at the threshold with probability 5e-6, the sketch with 1e-6. A train
-row whose bucket no evaluation class uses is dropped before the shuffle, by a bit field of
-fixed size (a bit that two buckets share only lets a row pass in vain). A bucket in which more
+stand in an evaluation split meet by keys, pairs that can't reach the threshold are dropped in the
+join, the others are verified by their exact Jaccard similarity, and confirmed class pairs are
+expanded to their members or counted by split and source without expanding them.
+
+Sets of up to LONG words meet by the first words that they share, in one order of all words, rarest first. Two sets
+that reach the threshold lack few of each other's words, so their first common words are among the
+first of each; a key is the sequence of them, as long as it takes to be rare (INFO bits, DEEP words at most), and every set has a
+key for each sequence it may begin with. That misses no pair, and templates that share their common
+words alone do not meet. A row carries the words it skipped and a parity of all words, which bound the
+common ones from above. A key of more than CROWDED pairs is cut by the sizes of both sets.
+
+Longer sets meet in buckets of banded minwise hashes and are compared by one-bit sketches first. BANDS and ROWS miss
+a pair at the threshold with probability 5e-6, the sketch with 1e-6. A bucket in which more
 than HEAVY pairs would meet is not joined: its classes meet by prefix filtering instead (pairs that
 reach the threshold share one of their rarest words), which is exact. Keys that many rows of both
 sides share are cut into blocks on both sides, so no task sees more than BLOCK x BLOCK of them.
+
+A train row whose key no evaluation class uses is dropped before the shuffle, by a bit field of
+fixed size (a bit that two keys share only lets a row pass in vain).
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,6 +44,14 @@ THRESHOLD = (3, 4)  # intersection / union >= 3/4
 HEAVY = 25_000_000
 #: Rows of a key that one block holds, on either side.
 BLOCK = 2_000
+#: Words of the largest set that meets by its first words.
+LONG = 108
+#: Bits of information that make a key rare enough, and words of a key at most.
+INFO, DEEP = 11.0, 3
+#: Pairs of a key above which it is cut by sizes.
+CROWDED = 1_000_000
+#: Classes that word counts and crowded keys are estimated from. They decide the time only, not the result.
+SOME = 1 << 15
 #: Bits of the field of used buckets, so at most FIELD_BITS / 64 rows are broadcast.
 FIELD_BITS = 1 << 24
 #: Seed of the hash functions.
@@ -162,11 +179,155 @@ def _prefix_keys(classes: DataFrame, seen: DataFrame) -> DataFrame:
     return ordered.select("cls", "n", F.explode(F.slice("w", F.lit(1), need)).alias("w")).select("w.key", "cls", "n")
 
 
+def _least(n: int | np.ndarray) -> int | np.ndarray:
+    """Words that a set of n shares at least with a set that reaches the threshold."""
+    up, down = THRESHOLD
+    return -(-n * up // down)
+
+
+def first_words(codes: np.ndarray, info: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, skipped, key) of every sequence that may be the first words that a set shares with a similar one.
+
+    codes, info: a row for each set, its words in order and their bits of information; n: its size, at least DEEP.
+    Whether a sequence ends depends on its words alone, so both sets of a pair end it at the same word.
+    """
+    room = n - _least(n)
+    row, last, key, bits = np.arange(len(n)), np.full(len(n), -1), np.zeros(len(n), np.uint64), np.zeros(len(n))
+    found = []
+    for i in range(DEEP):
+        choices = room[row] + i - last
+        rep = np.repeat(np.arange(len(row)), choices)
+        at = last[rep] + 1 + np.arange(len(rep)) - np.repeat(np.cumsum(choices) - choices, choices)
+        row = row[rep]
+        key = (key[rep] ^ codes[row, at]) * np.uint64(0x9E3779B97F4A7C15)
+        key ^= key >> np.uint64(29)
+        bits = bits[rep] + info[row, at]
+        ends = (bits >= INFO) | (i == DEEP - 1)
+        found.append((row[ends], at[ends] - i, key[ends]))
+        row, last, key, bits = row[~ends], at[~ends], key[~ends], bits[~ends]
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def _counts(classes: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, sorted, and counts of the words of n classes that alone are no rare key: at most 2^INFO times the mean size of a set."""
+    words = classes.select(F.explode(F.split("word_set", " ")).alias("w")).groupBy(F.xxhash64("w").alias("h")).count()
+    rows = sorted(tuple(r) for r in words.filter(F.col("count") > n * 2.0**-INFO).collect())
+    return np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.uint64)
+
+
+def _first_keys(classes: DataFrame, counts: tuple[np.ndarray, np.ndarray], total: int) -> DataFrame:
+    """(key, cls bigint, n, in_train, in_eval, skipped, parity): a row for each sequence of `first_words`; `counts` of `total` classes order the words."""
+    known, count = counts
+    schema = "key bigint, cls bigint, n smallint, in_train boolean, in_eval boolean, skipped smallint, parity bigint"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            room = np.diff(batch.column(1).offsets.to_numpy())
+            room = room - _least(room) + DEEP
+            most = np.cumsum([math.comb(r, DEEP) for r in room.tolist()])  # sequences of any length are no more
+            cuts = np.searchsorted(most, np.arange(0, most[-1] if len(most) else 0, 500_000))
+            for start, end in zip(cuts, [*cuts[1:], batch.num_rows], strict=True):
+                part = batch.slice(start, end - start)
+                lists = part.column(1)
+                if start == end:
+                    continue
+                n = np.diff(lists.offsets.to_numpy())
+                h = lists.flatten().to_numpy()
+                parity = np.bitwise_xor.reduceat(np.uint64(1) << (h.view(np.uint64) & np.uint64(63)), np.cumsum(n) - n)
+                often = np.zeros(len(h), np.uint64)
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                    often = np.where(known[at] == h, count[at], np.uint64(0))
+                # The count, then the hash: words that aren't counted come first.
+                codes = np.full((len(n), n.max()), np.iinfo(np.uint64).max, np.uint64)
+                codes[np.arange(n.max()) < n[:, None]] = often << np.uint64(43) | h.view(np.uint64) >> np.uint64(21)
+                codes.sort(axis=1)
+                with np.errstate(divide="ignore", over="ignore"):
+                    row, skipped, key = first_words(codes, np.log2(total) - np.log2(codes >> np.uint64(43)), n)
+                many = pa.array(row)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(key.view(np.int64)),
+                        part.column(0).take(many),
+                        pa.array(n[row].astype(np.int16)),
+                        part.column(2).take(many),
+                        part.column(3).take(many),
+                        pa.array(skipped.astype(np.int16)),
+                        pa.array(parity.view(np.int64)[row]),
+                    ],
+                    names=["key", "cls", "n", "in_train", "in_eval", "skipped", "parity"],
+                )
+
+    hashes = F.transform(F.split("word_set", " "), lambda w: F.xxhash64(w))
+    return spread(classes.select(F.xxhash64("cls").alias("cls"), hashes.alias("h"), "in_train", "in_eval")).mapInArrow(run, schema)
+
+
+def _by_sizes(rows: DataFrame, crowded: DataFrame, mine: str) -> DataFrame:
+    """Rows whose key is crowded get a key for every size that a similar set may have, together with their own."""
+    up, down = THRESHOLD
+    # They share at most n - skipped words, so the sizes together are at most that much times (up + down) / up.
+    low, high = F.ceil(F.col("n") * up / down).cast("int"), F.floor((F.col("n") - F.col("skipped")) * (up + down) / up).cast("int") - F.col("n")
+    marked = rows.join(F.broadcast(crowded.withColumn("_cut", F.lit(True))), "key", "left")
+    sizes = F.when(F.col("_cut").isNull(), F.array(F.lit(0))).when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
+    pair = ("n", "_size") if mine == "t" else ("_size", "n")
+    cut = F.xxhash64("key", *[F.col(c).cast("int") for c in pair])
+    return marked.withColumn("_size", F.explode(sizes)).withColumn("key", F.when(F.col("_cut"), cut).otherwise(F.col("key"))).drop("_cut", "_size")
+
+
+def _short_pairs(classes: DataFrame) -> DataFrame:
+    """(t_cls, e_cls) of pairs of sets of up to LONG words that may reach the threshold, as xxhash64 of their classes, staged.
+
+    Sets of fewer than DEEP words have no similar set but themselves.
+    """
+    size = F.size(F.split("word_set", " "))
+    short = classes.filter((F.col("in_train") | F.col("in_eval")) & (size >= DEEP) & (size <= LONG))
+    one_of = max(1, classes.count() // SOME)
+    some = stage(short.filter(F.pmod(F.xxhash64("cls"), F.lit(one_of)) == 0), "some")
+    total = max(1, some.count())
+    counts = _counts(some, total)
+    e = stage(_first_keys(short.filter("in_eval"), counts, total), "eval-keys")
+    t = used_buckets(_first_keys(short.filter("in_train AND NOT in_eval"), counts, total), e).unionByName(e.filter("in_train"))
+    sizes = _first_keys(some, counts, total).groupBy("key").agg(F.count_if("in_train").alias("t"), F.count_if("in_eval").alias("e"))
+    most = max(CROWDED / one_of**2, 16 * (one_of > 1))
+    crowded = stage(sizes.filter(F.col("t") * F.col("e") > most).select("key"), "crowded-keys")  # at most the rows of SOME classes
+    if not crowded.isEmpty():
+        t, e = _by_sizes(t, crowded, "t"), _by_sizes(e, crowded, "e")
+    t, e = (_side(d.drop("in_eval"), p) for d, p in ((t, "t"), (e, "e")))
+    up, down = THRESHOLD
+    n = F.col("t_n") + F.col("e_n")
+    most_common = F.least(F.col("t_n") - F.col("t_skipped"), F.col("e_n") - F.col("e_skipped"), F.floor((n - F.bit_count(F.col("t_parity").bitwiseXOR(F.col("e_parity")))) / 2))
+    near = (F.col("t_cls") != F.col("e_cls")) & (most_common * (up + down) >= n * up)
+    return stage(t.join(e, "key").filter(near).select("t_cls", "e_cls").distinct(), "near-pairs")
+
+
 def similar_classes(classes: DataFrame) -> DataFrame:
     """(t_cls, e_cls) of different classes, one in train and one in an evaluation split, that reach the threshold.
 
     classes: (cls, word_set, in_train, in_eval), unique by cls, no empty set.
     """
+    near = _short_pairs(classes)
+    used = used_buckets(classes.withColumn("key", F.xxhash64("cls")), near.select(F.explode(F.array("t_cls", "e_cls")).alias("key")))
+    sets = stage(used.select("key", "cls", F.split("word_set", " ").alias("w"), "in_train", "in_eval"), "near-sets")
+    t = sets.filter("in_train").select(F.col("key").alias("t_key"), F.col("cls").alias("t_cls"), F.col("w").alias("t_w"))
+    e = sets.filter("in_eval").select(F.col("key").alias("e_key"), F.col("cls").alias("e_cls"), F.col("w").alias("e_w"))
+    pairs = near.select(F.col("t_cls").alias("t_key"), F.col("e_cls").alias("e_key")).join(t, "t_key").join(e, "e_key")
+    found = pairs.filter(_similar("t_w", "e_w")).select("t_cls", "e_cls")
+    size = F.size(F.split("word_set", " "))
+    long = classes.filter(size >= _least(LONG + 1))  # those that a set of more than LONG words may be similar to
+    if long.filter(size > LONG).isEmpty():
+        return found
+    return found.unionByName(_long_pairs(long))
+
+
+def _similar(t: str, e: str) -> Column:
+    """Whether two arrays of different words reach the threshold."""
+    common = F.size(F.array_intersect(t, e))
+    up, down = THRESHOLD
+    return common * down >= (F.size(t) + F.size(e) - common) * up
+
+
+def _long_pairs(classes: DataFrame) -> DataFrame:
+    """(t_cls, e_cls) of the pairs of which one set or both have more than LONG words."""
     e = stage(_bands(classes.filter("in_eval")), "eval-bands")
     only = stage(used_buckets(_bands(classes.filter("in_train AND NOT in_eval")), e), "train-bands")
     t = only.unionByName(e.filter("in_train"))  # classes of both sides have their bands already
@@ -187,9 +348,7 @@ def similar_classes(classes: DataFrame) -> DataFrame:
     sets = classes.select("cls", F.split("word_set", " ").alias("w"))
     both = met.distinct().join(sets.select(F.col("cls").alias("t_cls"), F.col("w").alias("t_w")), "t_cls")
     both = both.join(sets.select(F.col("cls").alias("e_cls"), F.col("w").alias("e_w")), "e_cls")
-    common = F.size(F.array_intersect("t_w", "e_w"))
-    up, down = THRESHOLD
-    return both.filter(common * down >= (F.size("t_w") + F.size("e_w") - common) * up).select("t_cls", "e_cls")
+    return both.filter(_similar("t_w", "e_w") & (F.greatest(F.size("t_w"), F.size("e_w")) > LONG)).select("t_cls", "e_cls")
 
 
 def class_pairs(samples: DataFrame, splits: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -1,5 +1,8 @@
+import hashlib
+import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -127,3 +130,48 @@ def test_links_and_members_give_all_pairs(spark, samples, row):
             evals.setdefault(m.class_id, []).append(m.sample_id)
     pairs = {(min(a, b), max(a, b)) for x in links for a in train[x.train_class] for b in evals[x.eval_class]}
     assert pairs == brute(texts, splits) and len(links) == len(set(links))
+
+
+@pytest.mark.parametrize("change", [{"CROWDED": 0}, {"CROWDED": 0, "SOME": 20}, {"INFO": 2.0}, {"INFO": 60.0}, {"LONG": 8}, {"LONG": 8, "HEAVY": 2, "BLOCK": 3}])
+def test_time_limits_change_no_pair(spark, samples, row, monkeypatch, change):
+    for k, v in change.items():
+        monkeypatch.setattr(overlap, k, v)
+    texts, splits = corpus(seed=6)
+    assert run(spark, samples, row, texts, splits) == brute(texts, splits)
+
+
+def test_similar_sets_share_their_first_words():
+    r, seen = random.Random(3), 0
+    for _ in range(4000):
+        words_of = list(range(1, r.randrange(7, 60)))
+        bits = {w: r.choice([1.0, 4.0, 13.0]) for w in words_of}
+        order = {w: i for i, w in enumerate(sorted(words_of, key=lambda w: (-bits[w], w)))}
+        x = set(r.sample(words_of, r.randrange(3, len(words_of))))
+        y = x ^ set(r.sample(words_of, r.randrange(0, 6)))
+        if len(y) < 3 or 4 * len(x & y) < 3 * len(x | y):
+            continue
+        keys = []
+        for s in (x, y):
+            own = sorted(s, key=order.get)
+            with np.errstate(over="ignore"):
+                found = overlap.first_words(np.array([[order[w] + 1 for w in own]], np.uint64), np.array([[bits[w] for w in own]]), np.array([len(s)]))
+            assert len(found[0]) <= math.comb(len(s) - overlap._least(len(s)) + overlap.DEEP, overlap.DEEP)
+            keys.append(dict(zip(found[2].tolist(), found[1].tolist(), strict=True)))
+        assert any(min(len(x) - keys[0][k], len(y) - keys[1][k]) >= len(x & y) for k in keys[0].keys() & keys[1].keys())
+        seen += 1
+    assert seen > 1000
+
+
+def test_templates_do_not_meet_by_their_common_words(spark):
+    """Requests of one template share half of their words: no pair is similar, so hardly one should be compared."""
+    r = random.Random(4)
+    sets = [" ".join(sorted([f"common{i}" for i in range(24)] + [f"rare{r.randrange(100_000)}" for _ in range(16)])) for _ in range(1500)]
+    rows = [(hashlib.md5(s.encode()).digest(), s, i % 5 > 0, i % 5 == 0) for i, s in enumerate(sets)]
+    classes = spark.createDataFrame(rows, "cls binary, word_set string, in_train boolean, in_eval boolean")
+    counts = overlap._counts(classes, len(sets))
+    met = {}
+    for name, keys in (("words", overlap._first_keys(classes, counts, len(sets))), ("bands", overlap._bands(classes))):
+        by = keys.groupBy("key").agg(F.count_if("in_train").alias("t"), F.count_if(~F.col("in_train")).alias("e"))
+        met[name] = by.agg(F.sum(F.col("t") * F.col("e"))).first()[0]
+    assert met["words"] < 2_000 < 100_000 < met["bands"]
+    assert overlap.similar_classes(classes).count() == 0
