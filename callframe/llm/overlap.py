@@ -307,23 +307,22 @@ def similar_classes(classes: DataFrame) -> DataFrame:
     """
     near = _short_pairs(classes)
     used = used_buckets(classes.withColumn("key", F.xxhash64("cls")), near.select(F.explode(F.array("t_cls", "e_cls")).alias("key")))
-    sets = stage(used.select("key", "cls", F.split("word_set", " ").alias("w"), "in_train", "in_eval"), "near-sets")
-    t = sets.filter("in_train").select(F.col("key").alias("t_key"), F.col("cls").alias("t_cls"), F.col("w").alias("t_w"))
-    e = sets.filter("in_eval").select(F.col("key").alias("e_key"), F.col("cls").alias("e_cls"), F.col("w").alias("e_w"))
-    pairs = near.select(F.col("t_cls").alias("t_key"), F.col("e_cls").alias("e_key")).join(t, "t_key").join(e, "e_key")
-    found = pairs.filter(_similar("t_w", "e_w")).select("t_cls", "e_cls")
     size = F.size(F.split("word_set", " "))
+    sets = stage(used.select("key", "cls", F.col("word_set").alias("w"), size.alias("n"), "in_train", "in_eval"), "near-sets")
+    t, e = (sets.filter(f).select(*[F.col(c).alias(f"{p}_{c}") for c in ("key", "cls", "w", "n")]) for f, p in (("in_train", "t"), ("in_eval", "e")))
+    pairs = near.select(F.col("t_cls").alias("t_key"), F.col("e_cls").alias("e_key")).join(t, "t_key").join(e, "e_key")
+    # Words travel as one string, an array of them takes three times its room.
+    found = pairs.filter(_similar(F.split("t_w", " "), F.split("e_w", " "), F.col("t_n") + F.col("e_n"))).select("t_cls", "e_cls")
     long = classes.filter(size >= _least(LONG + 1))  # those that a set of more than LONG words may be similar to
     if long.filter(size > LONG).isEmpty():
         return found
     return found.unionByName(_long_pairs(long))
 
 
-def _similar(t: str, e: str) -> Column:
-    """Whether two arrays of different words reach the threshold."""
-    common = F.size(F.array_intersect(t, e))
+def _similar(t: Column, e: Column, n: Column) -> Column:
+    """Whether two arrays of different words, n together, reach the threshold."""
     up, down = THRESHOLD
-    return common * down >= (F.size(t) + F.size(e) - common) * up
+    return F.size(F.array_intersect(t, e)) * (up + down) >= n * up
 
 
 def _long_pairs(classes: DataFrame) -> DataFrame:
@@ -348,7 +347,7 @@ def _long_pairs(classes: DataFrame) -> DataFrame:
     sets = classes.select("cls", F.split("word_set", " ").alias("w"))
     both = met.distinct().join(sets.select(F.col("cls").alias("t_cls"), F.col("w").alias("t_w")), "t_cls")
     both = both.join(sets.select(F.col("cls").alias("e_cls"), F.col("w").alias("e_w")), "e_cls")
-    return both.filter(_similar("t_w", "e_w") & (F.greatest(F.size("t_w"), F.size("e_w")) > LONG)).select("t_cls", "e_cls")
+    return both.filter(_similar(F.col("t_w"), F.col("e_w"), F.size("t_w") + F.size("e_w")) & (F.greatest(F.size("t_w"), F.size("e_w")) > LONG)).select("t_cls", "e_cls")
 
 
 def class_pairs(samples: DataFrame, splits: DataFrame) -> tuple[DataFrame, DataFrame]:
